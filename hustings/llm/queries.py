@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import bpe, decontaminate, langid, secret_scan, simhash
+from hustings.llm import bpe, decontaminate, fingerprints, html_extract, langid, secret_scan, simhash
 from hustings.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.digest("fingerprint").alias("fingerprint"),
+        fingerprints.digest("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +54,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
