@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
-Terms are words (lower case, cut at white space and ASCII punctuation) whose presence depends on
-the label in the training fold beyond chance; their document frequencies are counted over all
+Terms are words (lower case, cut at white space and ASCII punctuation) and word beginnings, which
+stand for inflected and compound forms, whose presence depends on the label in the training fold
+beyond chance; their document frequencies are counted over all
 documents. Labelled examples become unit TF-IDF vectors, ordered so that like ones stand together,
 and lie in an inverted index cut into blocks of examples; for each term and block the index knows
 the largest weight. A query first bounds its cosine with every block, then scores blocks from the
@@ -27,23 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.common import prepare, remainder, spread, steps, utf8
-from hustings.llm.wordhash import PUNCTUATED, hashes, lowered, spans
+from hustings.llm.wordhash import PUNCTUATED, hashes, lowered, mixed, spans
 
 NEIGHBOURS = 15
 #: Examples to a block of the index.
 BLOCK = 128
 #: Least dependence (chi-squared) of a term on the label, and least examples that have it.
 LEAST_CHI2, LEAST_EXAMPLES = 30.0, 5
+#: Bytes of the word beginnings that are terms besides whole words.
+BEGINNINGS = (4, 5, 6)
 #: What the prior weighs against the neighbours' similarities.
 PRIOR_WEIGHT = 0.5
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every word."""
+def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every word and of every beginning that is shorter than its word."""
     raw, offsets = utf8(column)
     data = lowered(raw)
     starts, ends, firsts = spans(data, offsets, PUNCTUATED)
-    return hashes(data, starts, ends), np.repeat(np.arange(len(column)), np.diff(firsts))
+    owner = np.repeat(np.arange(len(column)), np.diff(firsts))
+    found, of = [hashes(data, starts, ends)], [owner]
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(ends - starts > n)
+        found.append(mixed(hashes(data, starts[longer], starts[longer] + n) + np.uint64(n)))
+        of.append(owner[longer])
+    return np.concatenate(found), np.concatenate(of)
 
 
 @dataclass
@@ -65,7 +74,7 @@ class Vocabulary:
         n, v = len(column), len(self.terms)
         if not v:
             return np.zeros((n, 0), np.float32)
-        h, owner = word_hashes(column)
+        h, owner = term_hashes(column)
         maybe = np.flatnonzero(self.bitmap[h >> np.uint64(48)])
         h, owner = h[maybe], owner[maybe]
         at = np.minimum(np.searchsorted(self.terms, h), v - 1)
@@ -212,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                h, owner = word_hashes(part.column("text"))
+                h, owner = term_hashes(part.column("text"))
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
