@@ -37,7 +37,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters on the left in which a context word must stand, and around a candidate that prime the compressor.
 NEAR, AROUND = 48, 400
 #: Bytes beyond the frame, for each character, from which a candidate counts as incompressible.
-NOVELTY = 0.62
+NOVELTY = 0.8
 #: Ordinary identifiers of code, as a priming dictionary.
 IDENTIFIERS = (
     b"public static final class function return import from export default const let var def self this None null true false "
@@ -95,7 +95,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + text[end : end + AROUND]
             found = text[m.start() : end]
-            mixed = len({"a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in found}) > 1
+            mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)  # words and numbers alone are ordinary
             if mixed and novelty(found, around) >= NOVELTY:
                 out.append((m.start(), end, "novel"))
     return out
