@@ -198,8 +198,8 @@ def _examples(docs: DataFrame, known: DataFrame, rates: dict[int, float]) -> Dat
     """A sample of labelled texts: a share of each label that depends on doc_id alone."""
     share = F.when(F.col("y") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
     chosen = known.where(spread("doc_id", "toxicity") < share)
-    few = docs.select("doc_id", "text").where(spread("doc_id", "toxicity") < max(rates.values()))
-    return few.join(chosen, "doc_id")
+    few = docs.select(F.col("doc_id").cast("long"), "text").where(spread("doc_id", "toxicity") < max(rates.values()))
+    return few.join(F.broadcast(chosen), "doc_id")  # about `most_each` rows of each label, whatever the table holds
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each: int = 3000, most_terms: int = 2048) -> Model:
