@@ -39,32 +39,42 @@ def _paired_minima(values: Column, step: int) -> Column:
     return F.zip_with(F.slice(values, F.lit(1), F.size(values) - step), F.slice(values, F.lit(step + 1), F.size(values) - step), lambda a, b: F.least(a, b))
 
 
-def gram_hashes(text: Column, k: int = GRAM) -> Column:
-    """For each position: 31 bits of hash above, 31 bits of the position counted down below."""
-    n = F.octet_length(text)
+def gram_hashes(raw: Column, k: int = GRAM, offset: Column | int = 0) -> Column:
+    """For each position of the bytes: 31 bits of hash above, 31 bits of the position (plus offset) counted down below."""
+    n = F.octet_length(raw)
+    top = F.lit(_LOW) - (F.lit(offset) if isinstance(offset, int) else offset)
 
-    def one(raw: Column, i: Column) -> Column:
-        h = F.xxhash64(F.substring(raw, i + 1, F.lit(k))).bitwiseAND(_LOW)
-        return F.shiftleft(h, 31) + (F.lit(_LOW) - i).cast("long")
+    def one(data: Column, i: Column) -> Column:
+        h = F.xxhash64(F.substring(data, i + 1, F.lit(k))).bitwiseAND(_LOW)
+        return F.shiftleft(h, 31) + (top - i).cast("long")
 
     places = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-    # a lambda over one value binds it: the text is encoded once, not for every position
-    grams = F.transform(F.array(F.encode(text, "UTF-8")), lambda raw: F.transform(places, lambda i: one(raw, i)))[0]
+    # a lambda over one value binds it: the bytes are made once, not for every position
+    grams = F.transform(F.array(raw), lambda data: F.transform(places, lambda i: one(data, i)))[0]
     return F.when(n > 0, grams).otherwise(F.array().cast("array<long>"))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Add `out`: distinct choices of all windows, as array of struct (hash: long, position: int, in bytes)."""
-    work = f"__{out}"
-    df = df.withColumn(work, gram_hashes(F.col(text), k))
-    df = df.withColumn(work, F.when(F.size(work) > window, F.col(work)).when(F.size(work) > 0, F.array(F.array_min(work))).otherwise(F.col(work)))
+def with_minima(df: DataFrame, raw: Column, out: str, k: int = GRAM, window: int = WINDOW, offset: Column | int = 0) -> DataFrame:
+    """Add `out`: the choice of every window, in order; of all grams together where they fill no window."""
+    df = df.withColumn(out, gram_hashes(raw, k, offset))
+    df = df.withColumn(out, F.when(F.size(out) > window, F.col(out)).when(F.size(out) > 0, F.array(F.array_min(out))).otherwise(F.col(out)))
     width = 1
     while width < window:
         step = min(width, window - width)
-        df = df.withColumn(work, F.when(F.size(work) > 1, _paired_minima(F.col(work), step)).otherwise(F.col(work)))
+        df = df.withColumn(out, F.when(F.size(out) > 1, _paired_minima(F.col(out), step)).otherwise(F.col(out)))
         width += step
-    chosen = F.transform(F.array_distinct(F.col(work)), lambda v: F.struct(F.shiftright(v, 31).alias("hash"), (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int").alias("position")))
-    return df.withColumn(out, chosen).drop(work)
+    return df
+
+
+def chosen(distinct: Column) -> Column:
+    """Packed choices as array of struct (hash: long, position: int, in bytes)."""
+    return F.transform(distinct, lambda v: F.struct(F.shiftright(v, 31).alias("hash"), (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int").alias("position")))
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, k: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """Add `out`: distinct choices of all windows."""
+    df = with_minima(df, F.encode(F.col(text), "UTF-8"), f"__{out}", k, window)
+    return df.withColumn(out, chosen(F.array_distinct(F.col(f"__{out}")))).drop(f"__{out}")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -111,13 +121,22 @@ def fingerprint_edits(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> D
     """
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_fingerprint(with_next(docs).repartition(n, "bucket"), "text", "fingerprint", k, window)
+    rows = with_next(docs).repartition(n, "bucket").withColumn("n_chars", F.char_length("text").cast("long"))
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    kept = F.left("text", F.col("n_chars").cast("int") - quarter)
+    rows = rows.withColumn("kept_bytes", F.octet_length(kept))
+    # windows that lie within the kept part choose the same in the edited text: only what follows is hashed again
+    rows = rows.withColumn("done", F.greatest(F.col("kept_bytes") - (k + window - 2), F.lit(0)))
+    rows = with_minima(rows, F.encode("text", "UTF-8"), "minima", k, window)
+    rows = rows.withColumns({"fingerprint": chosen(F.array_distinct("minima")), "head": F.when(F.col("done") > 0, F.array_distinct(F.slice("minima", F.lit(1), F.col("done")))).otherwise(F.array().cast("array<long>"))}).drop("minima")
     order = Window.partitionBy("bucket").orderBy("guard", "key", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
-    rows = rows.where(~F.col("guard")).withColumn("n_chars", F.char_length("text").cast("long"))
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.left("next_text", quarter))
-    rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "edited_fingerprint", k, window)
+    rows = rows.where(~F.col("guard"))
+    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.left("next_text", quarter)))
+    tail = F.substring(F.encode("edited", "UTF-8"), F.col("done") + 1, F.octet_length("edited"))
+    rows = with_minima(rows, tail, "minima", k, window, F.col("done"))
+    nothing_new = (F.col("done") > 0) & (F.octet_length("edited") == F.col("kept_bytes"))
+    rows = rows.withColumn("edited_fingerprint", chosen(F.when(nothing_new, F.col("head")).otherwise(F.array_distinct(F.concat("head", "minima"))))).drop("minima", "head", "done", "kept_bytes")
     return rows.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint")})
 
 
