@@ -159,7 +159,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         kind = f.dataType.simpleString()
         c = F.col(f.name)
         if kind == "double":
-            c = F.round(F.nanvl(c, F.lit(None).cast("double")), digits) + F.lit(0.0)
+            unit = 10.0**digits  # scaled first, as databases do: ties fall alike
+            c = F.round(F.nanvl(c, F.lit(None).cast("double")) * unit) / unit + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         out.append(c.alias(f.name))

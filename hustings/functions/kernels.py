@@ -186,21 +186,23 @@ def pelt(values: np.ndarray, penalty: float, least: int, jump: int = 5) -> list[
     n = len(values)
     s1, s2 = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(values**2)])
     ends = [k for k in range(jump, n, jump) if k >= least] + [n]
-    best, before = {0: -penalty}, {0: 0}
-    live = [0]
+    best = np.full(n + 1, np.inf)
+    before = np.full(n + 1, -1, np.int64)
+    best[0] = -penalty
+    live = np.zeros(1, np.int64)
     for e in ends:
-        starts = np.array([s for s in live if e - s >= least])
+        ready = live <= e - least
+        starts = live[ready]
         if not len(starts):
             continue
         cost = s2[e] - s2[starts] - (s1[e] - s1[starts]) ** 2 / (e - starts)
-        total = np.array([best[s] for s in starts.tolist()]) + cost + penalty
+        total = best[starts] + cost
         k = int(total.argmin())
-        best[e], before[e] = float(total[k]), int(starts[k])
-        keep = set(starts[total - penalty <= best[e]].tolist())
-        live = [s for s in live if e - s < least or s in keep] + [e]
+        best[e], before[e] = total[k] + penalty, starts[k]
+        live = np.concatenate([starts[total <= best[e]], live[~ready], [e]])  # later ends may still start a segment
     out, e = [], n
-    while e in before and before[e] > 0:
-        e = before[e]
+    while before[e] > 0:
+        e = int(before[e])
         out.append(e)
     return sorted(out)
 
