@@ -21,8 +21,8 @@ def scaled(score: Column, low: float, high: float, out_low: float, out_high: flo
 def assignments(c: Catalog) -> DataFrame:
     """One row for each distinct name: tier, confidence, best candidate and caveat.
 
-    Candidates share the last name; only names without an exact match are compared, and of each
-    the two best candidates are kept by an aggregation, not by sorting all of them.
+    Candidates share the last name; only names without an exact match are compared. The best
+    candidate and the number of close ones come from aggregations, not from sorting candidates.
     """
     names = c.records.where("canonical_name <> '|'").select("canonical_name", "last", "first_canonical").groupBy("canonical_name").agg(F.min("last").alias("last"), F.min("first_canonical").alias("first"))
     registry = c.registry
@@ -31,7 +31,7 @@ def assignments(c: Catalog) -> DataFrame:
     rest = known.where("n_registry is null")
     people = registry.select("last", F.col("first").alias("candidate")).distinct()
     scored = rest.join(people, "last").withColumn("score", string_ratio("first", "candidate"))
-    top = scored.groupBy("canonical_name").agg(F.max(F.struct("score", F.col("candidate"))).alias("best"), F.slice(F.sort_array(F.collect_set(F.round("score", 6)), asc=False), 2, 1).alias("others"), F.count_if(F.lit(True)).alias("n_candidates"))
+    top = scored.groupBy("canonical_name").agg(F.max(F.struct("score", F.col("candidate"))).alias("best"))
     ties = scored.join(top.select("canonical_name", F.col("best.score").alias("best_score")), "canonical_name").where(F.col("score") >= F.col("best_score") - c.config.ambiguous_gap).groupBy("canonical_name").agg(F.count(F.lit(1)).alias("n_close"))
     df = known.join(top, "canonical_name", "left").join(ties, "canonical_name", "left")
     s = F.col("best.score")
@@ -117,3 +117,11 @@ def match_uncertainty_summary(c: Catalog) -> DataFrame:
     none = c.spark.createDataFrame([("none_detected", 0, 0)], "caveat string, n_names long, n_records long")
     some = found.agg(F.count(F.lit(1)).alias("some"))
     return found.unionByName(none.join(F.broadcast(some)).where("some = 0").drop("some"))  # one row each
+
+
+def exact_by_position(c: Catalog) -> DataFrame:
+    """Exact matches by stance: a semi-join of distinct names, without any string score."""
+    exact = c.registry.select("canonical_name").distinct().withColumn("hit", F.lit(True))
+    names = c.records.groupBy("position_normalized", "canonical_name").agg(F.count(F.lit(1)).alias("n")).join(exact, "canonical_name", "left")
+    df = names.groupBy("position_normalized").agg(F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("n_exact"))
+    return df.withColumn("exact_rate", f.ratio("n_exact", "n_total"))

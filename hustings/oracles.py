@@ -399,5 +399,59 @@ ORACLES["co0_base_signals"] = rounded(
 )
 
 # report layer
-DEADLINE = "(epoch(TIMESTAMP '2024-01-29 12:00:00') - epoch(date_trunc('second', t))) / 60.0::DOUBLE"
-_BINS = "CASE WHEN m <= 0 THEN 'after_cutoff' WHEN m <= 30 THEN 'last_30_minutes' WHEN m <= 120 THEN '30_to_120_minutes' WHEN m <= 1440 THEN '2_to_24_hours' ELSE 'over_24_hours' END"
+_DEDUP = f"""{BASE}, one AS (SELECT sum(n_total)::DOUBLE AS n, sum(n_pro)::DOUBLE AS p, sum(n_con)::DOUBLE AS c, sum(n_unique_names)::DOUBLE AS u, sum(n_total_dedup)::DOUBLE AS nd, sum(n_pro_dedup)::DOUBLE AS pd, sum(n_con_dedup)::DOUBLE AS cd FROM grid),
+m AS (SELECT 'total_submissions' AS metric, 'count' AS kind, n AS raw_value, nd AS exact_row_dedup_value FROM one UNION ALL SELECT 'pro_rate', 'rate', p / n, pd / nd FROM one UNION ALL SELECT 'con_rate', 'rate', c / n, cd / nd FROM one
+  UNION ALL SELECT 'duplicate_name_fraction', 'rate', 1.0::DOUBLE - u / n, 0.0::DOUBLE FROM one),
+d AS (SELECT *, exact_row_dedup_value - raw_value AS absolute_delta, CASE WHEN raw_value <> 0 THEN (exact_row_dedup_value - raw_value) / raw_value END AS relative_delta FROM m)"""
+ORACLES["qu1_raw_vs_dedup_metrics"] = rounded(
+    _DEDUP,
+    "SELECT * EXCLUDE (kind), coalesce(CASE WHEN kind = 'count' THEN abs(absolute_delta) >= 5 AND abs(coalesce(relative_delta, 0)) >= 0.1 ELSE abs(absolute_delta) >= 0.03 END, false) AS material_change FROM d",
+    "raw_value exact_row_dedup_value absolute_delta relative_delta",
+)
+_BINS = [("after_cutoff", "After cutoff", "m <= 0"), ("0_30m_before_cutoff", "0-30m before cutoff", "m > 0 AND m <= 30"), ("30_120m_before_cutoff", "30-120m before cutoff", "m > 30 AND m <= 120"), ("2h_24h_before_cutoff", "2h-24h before cutoff", "m > 120 AND m <= 1440"), ("over_24h_before_cutoff", ">24h before cutoff", "m > 1440")]
+_TO_CUTOFF = f"{BASE}, mins AS (SELECT *, date_diff('minute', minute_bucket, TIMESTAMP '2024-01-29 12:00:00') AS m FROM grid)"
+_BIN_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS deadline_window_key, '{v}' AS deadline_window, CAST(coalesce(sum(n_total), 0) AS BIGINT) AS n_total, CAST(coalesce(sum(n_pro), 0) AS BIGINT) AS n_pro, CAST(coalesce(sum(n_con), 0) AS BIGINT) AS n_con FROM mins WHERE {w}" for k, v, w in _BINS)
+ORACLES["hc1_stance_by_deadline"] = rounded(
+    _TO_CUTOFF,
+    f"SELECT * EXCLUDE (pro_rate_wilson_half_width) FROM (SELECT *, {ratio('n_pro', 'n_total')} AS pro_rate, {ratio('n_con', 'n_total')} AS con_rate, n_total < 25 AS is_low_power, {wilson('n_pro', 'n_total', 'pro_rate')} FROM ({_BIN_ROWS}))",
+    "pro_rate con_rate pro_rate_wilson_low pro_rate_wilson_high",
+)
+_RAMP = ", ".join(f"CAST(coalesce(sum(n_{x}) FILTER (m >= {a} AND m < {a + 60}), 0) AS BIGINT) AS {t}_{x[0]}" for t, a in (("recent", 0), ("prior", 60)) for x in ("total", "pro", "con"))
+ORACLES["hc2_deadline_ramp_metrics"] = rounded(
+    f"{_TO_CUTOFF}, r AS (SELECT {_RAMP} FROM mins)",
+    f"""SELECT recent_t AS recent_n_total, prior_t AS prior_n_total, {', '.join(f"{ratio(f'{t}_p', f'{t}_t')} AS {t}_pro_rate, {ratio(f'{t}_c', f'{t}_t')} AS {t}_con_rate, {t}_t < 25 AS {t}_is_low_power" for t in ('recent', 'prior'))},
+    {ratio('recent_t', 'prior_t')} AS ramp_ratio_recent_vs_prior, {ratio('recent_p', 'recent_t')} - {ratio('prior_p', 'prior_t')} AS pro_rate_delta_recent_minus_prior FROM r""",
+    "recent_pro_rate recent_con_rate prior_pro_rate prior_con_rate ramp_ratio_recent_vs_prior pro_rate_delta_recent_minus_prior",
+)
+_METRICS = ("n_records", "pro_rate", "off_hours_ratio", "dup_name_fraction", "max_name_records")
+_DAYS = f"""{RECORDS}, cells AS (SELECT strftime(t, '%Y-%m-%d') AS report_id, canonical_name, count(*) AS n, {PRO} AS p, count(*) FILTER (off) AS o FROM sub GROUP BY 1, 2),
+vec AS (SELECT report_id, sum(n)::DOUBLE AS n_records, sum(p)::DOUBLE / sum(n) AS pro_rate, sum(o)::DOUBLE / sum(n) AS off_hours_ratio, 1.0::DOUBLE - count(*) / sum(n)::DOUBLE AS dup_name_fraction, max(n)::DOUBLE AS max_name_records FROM cells GROUP BY 1),
+long AS ({' UNION ALL '.join(f"SELECT report_id, '{m}' AS metric, {m} AS value FROM vec" for m in _METRICS)})"""
+ORACLES["fv1_day_vectors"] = rounded(_DAYS, "SELECT * FROM long", "value")
+ORACLES["fv2_global_baselines"] = rounded(
+    f"{_DAYS}, q AS (SELECT metric, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, count(*) AS n_reports FROM long GROUP BY 1)",
+    "SELECT a.metric, report_id, value, (SELECT count(*) FILTER (b.value < a.value) + 0.5::DOUBLE * count(*) FILTER (b.value = a.value) FROM long b WHERE b.metric = a.metric) / n_reports AS percentile, p10, p50, p90, n_reports FROM long a JOIN q ON q.metric = a.metric",
+    "value percentile p10 p50 p90",
+)
+ORACLES["fv2_name_cues"] = rounded(_DAYS, "SELECT canonical_name, count(*) AS n_reports, max(n) AS max_n FROM cells WHERE n > 1 GROUP BY 1")
+ORACLES["ch2_burst_ratio_by_window"] = rounded(
+    ROLL, f"SELECT window_minutes, count(*) AS n_windows, quantile_cont(r, 0.5) AS median_rate_ratio, max(r) AS max_rate_ratio FROM (SELECT window_minutes, {ratio('n_total', '(rate * window_minutes)')} AS r FROM roll, facts) GROUP BY 1", "median_rate_ratio max_rate_ratio"
+)
+ORACLES["ch5_day_slot_heat"] = rounded(
+    f"{RECORDS}, cells AS (SELECT strftime(t, '%Y-%m-%d') AS date, CAST((hh * 60 + minute(t)) // 30 AS BIGINT) AS slot, count(*) AS n_total, {PRO} AS n_pro FROM sub GROUP BY 1, 2)",
+    f"SELECT date, slot, n_total, n_pro, {ratio('n_pro', 'n_total')} AS pro_rate FROM (SELECT date, slot, coalesce(n_total, 0) AS n_total, coalesce(n_pro, 0) AS n_pro FROM (SELECT DISTINCT date FROM cells) x CROSS JOIN (SELECT CAST(unnest(range(0, 48)) AS BIGINT) AS slot) y LEFT JOIN cells USING (date, slot))",
+    "pro_rate",
+)
+ORACLES["ch5_rolling_pro_rate"] = rounded(
+    f"{RECORDS}, cells AS (SELECT {floor_to('t', '30')} AS bucket_start, count(*) AS n_total, {PRO} AS n_pro FROM sub GROUP BY 1)",
+    "SELECT *, CAST(sum(n_pro) OVER w AS DOUBLE) / sum(n_total) OVER w AS rolling_pro_rate FROM cells WINDOW w AS (ORDER BY bucket_start ROWS 4 PRECEDING)",
+    "rolling_pro_rate",
+)
+
+# registry linkage: exact tiers and what follows from them, without the string scores
+REGISTRY = f"""{RECORDS}, people AS (SELECT DISTINCT upper(split_part(p_name, ' ', 2) || CAST(p_partkey % 25 AS VARCHAR)) AS last, upper(split_part(p_name, ' ', 1)) AS first FROM part WHERE p_size % 2 = 0)"""
+ORACLES["vr9_exact_by_position"] = rounded(
+    REGISTRY,
+    f"SELECT *, {ratio('n_exact', 'n_total')} AS exact_rate FROM (SELECT pos AS position_normalized, count(*) AS n_total, count(*) FILTER (EXISTS (SELECT 1 FROM people p WHERE p.last = sub.last AND p.first = sub.first)) AS n_exact FROM sub GROUP BY 1)",
+    "exact_rate",
+)

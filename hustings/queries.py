@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.functions.core import tidy
-from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, windows
+from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, report, windows
 from hustings.oracles import ORACLES
 from hustings.plans.catalog import Catalog
 from hustings.sources.adapters import test_catalog
@@ -103,6 +103,7 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "vr6_unmatched_names": registry_match.unmatched_names,
     "vr7_match_tier_summary": registry_match.match_tier_summary,
     "vr8_match_uncertainty_summary": registry_match.match_uncertainty_summary,
+    "vr9_exact_by_position": registry_match.exact_by_position,
     "cp1_volume_changepoints": fusion.volume_changepoints,
     "cp2_pro_rate_changepoints": fusion.pro_rate_changepoints,
     "cp3_all_changepoints": fusion.all_changepoints,
@@ -114,6 +115,25 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "co1_ranked_windows": fusion.ranked_windows,
     "co2_high_priority_windows": fusion.high_priority_windows,
     "co3_evidence_bundle_windows": fusion.evidence_bundle_windows,
+    "qu1_raw_vs_dedup_metrics": report.raw_vs_dedup_metrics,
+    "qu2_data_quality_warnings": report.data_quality_warnings,
+    "hc1_stance_by_deadline": report.stance_by_deadline,
+    "hc2_deadline_ramp_metrics": report.deadline_ramp_metrics,
+    "tr6_window_evidence_queue": report.window_evidence_queue,
+    "tr7_record_evidence_queue": report.record_evidence_queue,
+    "tr8_cluster_evidence_queue": report.cluster_evidence_queue,
+    "tr9_triage_summary": report.triage_summary,
+    "fv1_day_vectors": report.day_vectors,
+    "fv2_global_baselines": report.global_baselines,
+    "fv2_name_cues": report.name_cues,
+    "ch2_burst_significance_by_window": report.burst_significance_by_window,
+    "ch2_burst_ratio_by_window": report.burst_ratio_by_window,
+    "ch3_changepoints_by_hour": report.changepoints_by_hour,
+    "ch3_cluster_size_histogram": report.cluster_size_histogram,
+    "ch3_evidence_flag_counts": report.evidence_flag_counts,
+    "ch1_composite_timeline": report.composite_timeline,
+    "ch5_day_slot_heat": report.day_slot_heat,
+    "ch5_rolling_pro_rate": report.rolling_pro_rate,
 }
 
 
