@@ -25,10 +25,10 @@ class Store:
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _current(self, table: str) -> str | None:
-        pointer = self._path(f"{self.folder}/{table}/_current")
+        pointer = self._path(f"{self.folder}/{table}/CURRENT")
         if not self._fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.folder}/{table}/_current").first()[0]
+        return self.spark.read.text(f"{self.folder}/{table}/CURRENT").first()[0]
 
     def read(self, table: str) -> DataFrame | None:
         name = self._current(table)
@@ -38,7 +38,7 @@ class Store:
         """Write a whole new snapshot, then move the pointer: readers see the old or the new one."""
         old, name = self._current(table), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{table}/{name}")
-        pointer = self._path(f"{self.folder}/{table}/_current")
+        pointer = self._path(f"{self.folder}/{table}/CURRENT")
         out = self._fs.create(pointer, True)
         out.write(bytearray(name.encode()))
         out.close()
