@@ -23,6 +23,7 @@ class Config:
     swing_alpha: float = 0.01
     swing_min_total: int = 25
     swing_profile_buckets: tuple[int, ...] = (15, 30, 60, 120, 240)
+    significance_policy: str = "parametric_fdr"
     # changepoints
     min_segment: int = 30
     penalty: float = 3.0
@@ -58,4 +59,5 @@ class Config:
     iterations: int = 50
     seed: int = 42
     cutoff: str | None = None
+    normalize_unicode: bool = False
     nicknames: dict[str, str] = field(default_factory=dict)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -154,6 +155,12 @@ def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def compatibility_form(s: pd.Series) -> pd.Series:
+    """NFKC of texts; nulls pass, so that callers can leave out what is ASCII."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 # fits --------------------------------------------------------------------------------------------
 
 

@@ -126,6 +126,23 @@ def clockface_top_minutes(c: Catalog) -> DataFrame:
     return c.get(clockface_distribution).orderBy(F.desc("n_events"), "minute_of_hour").limit(min(c.config.top_periods, 60))
 
 
+def clockface_null(c: Catalog) -> DataFrame:
+    """Chi-squared and largest minute of clock faces drawn evenly from the total, an iteration a row."""
+    seed = c.config.seed
+    total = c.get(clockface_distribution).agg(F.sum("n_events").alias("n"))
+    jobs = c.spark.range(c.config.iterations).repartition(8).join(F.broadcast(total))  # one row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, n in zip(pdf["id"], pdf["n"]):
+                x = np.random.default_rng((seed, 60, int(i))).multinomial(int(n), np.full(60, 1 / 60))
+                out.append((int(i), float(((x - n / 60) ** 2).sum() / max(n / 60, 1e-12)), int(x.max())))
+            yield pd.DataFrame(out, columns=["iteration", "chi_square", "max_minute_events"])
+
+    return jobs.mapInPandas(run, "iteration long, chi_square double, max_minute_events long")
+
+
 def rolling_fano(c: Catalog) -> DataFrame:
     """Variance over mean in every window; sums come from running totals, so a window costs two look-ups."""
     s = c.get(series)

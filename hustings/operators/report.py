@@ -157,6 +157,31 @@ def window_evidence_queue(c: Catalog) -> DataFrame:
     return q.select("start_minute", "end_minute", "tier", "score", "n_total", "n_pro", "pro_rate", "dup_name_fraction", "source_detectors", "evidence_kinds", "caveat_flags", "explanation", "is_low_power")
 
 
+def score_breakdown(c: Catalog) -> DataFrame:
+    """For each window the share of its weight that every detector gives, as text, largest first, five at most."""
+    weight = F.lit(0.0)
+    for kind, w in WEIGHTS.items():
+        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
+    s = c.get(window_signals).withColumn("part", weight * F.col("score")).groupBy("start_minute", "end_minute", "detector").agg(F.sum("part").alias("part"))
+    lists = s.groupBy("start_minute", "end_minute").agg(F.sum("part").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("k"), "detector"))).alias("parts"))
+    text = F.transform(F.slice("parts", 1, 5), lambda p: F.concat(p["detector"], F.lit(":"), F.format_number(-p["k"] / F.col("total"), 3)))
+    return lists.where("total > 0").select("start_minute", "end_minute", F.array_join(text, ", ").alias("breakdown"))
+
+
+def lens_comparison(c: Catalog) -> DataFrame:
+    """Every minute's raw and deduplicated counts and rates side by side, with their deltas."""
+    m = c.get(minute_totals)
+    df = m.select("minute_bucket", "n_total", "n_total_dedup", f.ratio("n_pro", "n_total").alias("pro_rate_raw"), f.ratio("n_pro_dedup", "n_total_dedup").alias("pro_rate_dedup"))
+    return df.withColumns({"delta_n_total": F.col("n_total_dedup") - F.col("n_total"), "delta_pro_rate": F.col("pro_rate_dedup") - F.col("pro_rate_raw")})
+
+
+def hearing_markers(c: Catalog) -> DataFrame:
+    """Process times of the side-car in order, with the volume before each."""
+    spine = c.spark.createDataFrame([("sign_in_cutoff", c.config.cutoff)], "marker string, t string").select("marker", F.col("t").cast("timestamp_ntz").alias("marker_time"))
+    m = c.get(minute_totals).select("minute_bucket", "n_total")
+    return spine.join(m, F.col("minute_bucket") <= F.col("marker_time"), "left").groupBy("marker", "marker_time").agg(F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_before"))
+
+
 def record_evidence_queue(c: Catalog) -> DataFrame:
     """A report: 250 names by how often they repeat and how unusual they look."""
     repeated = c.get(repeated_names).select("canonical_name", "n")

@@ -82,6 +82,31 @@ def burst_null_distribution(c: Catalog) -> DataFrame:
     return jobs.mapInPandas(run, "window_minutes int, iteration long, max_window_count double")
 
 
+def calibrated(c: Catalog, tests: DataFrame, null: DataFrame, statistic: str, against: str, alpha: float) -> DataFrame:
+    """Permutation p of each window against the null maxima of its size, its q, and significance by the policy.
+
+    Policies: parametric_fdr, permutation_fdr, either_fdr. Without simulated maxima the parametric one holds.
+    """
+    maxima = null.groupBy("window_minutes").agg(F.collect_list(against).alias("null"))  # one row a size, `iterations` numbers
+    df = tests.join(F.broadcast(maxima), "window_minutes", "left")
+    n = F.coalesce(F.size("null"), F.lit(0))
+    p = F.when(n > 0, (F.size(F.filter("null", lambda v: v >= F.col(statistic))) + 1) / (n + 1.0)).otherwise(1.0)
+    df = f.with_q(df.withColumns({"permutation_p_value": p, "n_null": n}).drop("null"), "permutation_p_value", "permutation_q_value")
+    supported = F.col("permutation_p_value") <= F.greatest(F.lit(alpha), F.lit(0.1), 1.0 / (F.col("n_null") + 1.0))
+    df = df.withColumns({"is_permutation_supported": supported, "is_permutation_significant": F.col("permutation_q_value") <= alpha})
+    by_policy = {"parametric_fdr": F.col("is_significant"), "permutation_fdr": F.col("is_permutation_significant"), "either_fdr": F.col("is_significant") | F.col("is_permutation_significant")}
+    chosen = F.when(F.col("n_null") > 0, by_policy[c.config.significance_policy]).otherwise(F.col("is_significant"))
+    return df.withColumn("is_significant_by_policy", chosen)
+
+
+def burst_calibrated_windows(c: Catalog) -> DataFrame:
+    return calibrated(c, c.get(burst_window_tests), c.get(burst_null_distribution), "observed_count", "max_window_count", c.config.burst_alpha)
+
+
+def swing_calibrated_windows(c: Catalog) -> DataFrame:
+    return calibrated(c, c.get(swing_window_tests), c.get(swing_null_distribution), "abs_delta_pro_rate", "max_abs_delta", c.config.swing_alpha)
+
+
 def hourly_rates(c: Catalog) -> DataFrame:
     """Mean count a minute for each hour of the day; hours never seen have the global mean."""
     seen = c.get(counts_per_minute).groupBy(F.hour("minute_bucket").alias("hour")).agg(F.avg("n_total").alias("rate"))

@@ -455,3 +455,10 @@ ORACLES["vr9_exact_by_position"] = rounded(
     f"SELECT *, {ratio('n_exact', 'n_total')} AS exact_rate FROM (SELECT pos AS position_normalized, count(*) AS n_total, count(*) FILTER (EXISTS (SELECT 1 FROM people p WHERE p.last = sub.last AND p.first = sub.first)) AS n_exact FROM sub GROUP BY 1)",
     "exact_rate",
 )
+
+ORACLES["tr10_lens_comparison"] = rounded(
+    f"{RECORDS}, {SEEN}",
+    f"""SELECT *, n_total_dedup - n_total AS delta_n_total, pro_rate_dedup - pro_rate_raw AS delta_pro_rate FROM (SELECT seen.minute AS minute_bucket, n_total, n_total_dedup, {ratio('n_pro', 'n_total')} AS pro_rate_raw, {ratio('n_pro_dedup', 'n_total_dedup')} AS pro_rate_dedup FROM seen JOIN kept USING (minute))""",
+    "pro_rate_raw pro_rate_dedup delta_pro_rate",
+)
+ORACLES["hc3_hearing_markers"] = rounded(RECORDS, "SELECT 'sign_in_cutoff' AS marker, TIMESTAMP '2024-01-29 12:00:00' AS marker_time, count(*) AS n_before FROM sub WHERE minute <= TIMESTAMP '2024-01-29 12:00:00'")

@@ -58,18 +58,21 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "pe6_clockface_distribution": periodicity.clockface_distribution,
     "pe6_clockface_test": periodicity.clockface_test,
     "pe7_clockface_top_minutes": periodicity.clockface_top_minutes,
+    "pe8_clockface_null": periodicity.clockface_null,
     "pe9_rolling_fano": periodicity.rolling_fano,
     "pe10_rolling_fano_summary": periodicity.rolling_fano_summary,
     "bu1_burst_windows": windows.burst_windows,
     "bu1_burst_window_tests": windows.burst_window_tests,
     "bu2_burst_significant_windows": windows.burst_significant_windows,
     "bu3_burst_null_distribution": windows.burst_null_distribution,
+    "bu4_burst_calibrated_windows": windows.burst_calibrated_windows,
     "bu6_hourly_rates": windows.hourly_rates,
     "bu7_burst_summary": windows.burst_summary,
     "ps1_swing_windows": windows.swing_windows,
     "ps1_swing_window_tests": windows.swing_window_tests,
     "ps2_swing_significant_windows": windows.swing_significant_windows,
     "ps3_swing_null_distribution": windows.swing_null_distribution,
+    "ps3_swing_calibrated_windows": windows.swing_calibrated_windows,
     "ps4_pro_rate_by_hour": windows.pro_rate_by_hour,
     "ps5_time_bucket_bands": windows.time_bucket_bands,
     "ps5_time_bucket_profiles": windows.time_bucket_profiles,
@@ -120,6 +123,9 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "hc1_stance_by_deadline": report.stance_by_deadline,
     "hc2_deadline_ramp_metrics": report.deadline_ramp_metrics,
     "tr6_window_evidence_queue": report.window_evidence_queue,
+    "tr10_lens_comparison": report.lens_comparison,
+    "tr11_score_breakdown": report.score_breakdown,
+    "hc3_hearing_markers": report.hearing_markers,
     "tr7_record_evidence_queue": report.record_evidence_queue,
     "tr8_cluster_evidence_queue": report.cluster_evidence_queue,
     "tr9_triage_summary": report.triage_summary,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hustings.config import Config
 from hustings.functions import core as f
+from hustings.functions.kernels import compatibility_form
 from hustings.plans.catalog import Catalog
 
 
@@ -14,7 +15,11 @@ def canonical(rows: DataFrame, config: Config) -> DataFrame:
     """(id, name, organization, position, timestamp: timestamp_ntz) to the canonical record frame.
 
     Nicknames map the first word of the first name; the map is a literal of the configuration.
+    With `normalize_unicode` names that are not ASCII take their compatibility form first.
     """
+    if config.normalize_unicode:
+        odd = F.when(F.col("name").rlike(r"[^\x00-\x7F]"), F.col("name"))
+        rows = rows.withColumn("name", F.coalesce(compatibility_form(odd), "name"))
     df = rows.withColumns({"name_normalized": f.clean_name("name"), "__split": f.clean_name("name", keep_commas=True)})
     last, first = f.split_name(F.col("__split"))
     df = df.withColumns({"last": last, "first": first}).drop("__split")
