@@ -27,30 +27,68 @@ def sortedness_metrics(c: Catalog) -> DataFrame:
     return df.withColumn("time_break_ratio", f.ratio("time_monotonic_breaks", F.col("n_records") - 1))
 
 
-def bucket_ordering(c: Catalog) -> DataFrame:
-    """Buckets of three rows or more: whether names stand in order, and Kendall's tau-b of arrival against name.
+KEY = ["bucket_minutes", "bucket_start"]
 
-    Pairs are counted from how names of a bucket stand to each other: a bucket's rows come as one
-    sorted array of at most a bucket's arrivals.
-    """
-    rows = c.records.select("id", "timestamp", "minute_bucket", "name_display")
-    df = f.with_buckets(rows, "minute_bucket", c.config.buckets)
-    df = df.groupBy("bucket_minutes", "bucket_start").agg(F.count(F.lit(1)).alias("n_records"), F.array_sort(F.collect_list(F.struct("timestamp", "id", "name_display"))).alias("rows")).where("n_records >= 3")
-    names = F.transform("rows", lambda r: r["name_display"])
-    df = df.withColumns({"names": names}).drop("rows")
+
+def placed(c: Catalog) -> DataFrame:
+    """Rows of every bucket of three rows or more, with the bucket's size."""
+    minutes = c.records.select("id", "timestamp", "minute_bucket", "name_display")
+    df = f.with_buckets(minutes, "minute_bucket", c.config.buckets).select(*KEY, "timestamp", "id", "name_display")
+    per_minute = c.records.groupBy("minute_bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = f.with_buckets(per_minute, "minute_bucket", c.config.buckets).groupBy(*KEY).agg(F.sum("n").alias("n_records")).where("n_records >= 3")
+    return df.join(sizes, KEY)
+
+
+def small_buckets(df: DataFrame) -> DataFrame:
+    """Pair signs, ties and order of buckets whose rows fit an array: at most `Config.ordering_array_rows` of them."""
+    rows = df.groupBy(*KEY, "n_records").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "name_display"))).alias("rows"))
+    rows = rows.withColumn("names", F.transform("rows", lambda r: r["name_display"])).drop("rows")
     before = F.transform("names", lambda x, i: F.slice("names", F.lit(1), i))  # what came before each row
     signs = F.aggregate(
         F.arrays_zip(F.col("names").alias("x"), before.alias("b")),
         F.lit(0).cast("long"),
         lambda t, z: t + F.size(F.filter(z["b"], lambda y: y < z["x"])).cast("long") - F.size(F.filter(z["b"], lambda y: y > z["x"])).cast("long"),
     )
-    n = F.col("n_records").cast("double")
     counts = F.transform(F.array_distinct("names"), lambda x: F.size(F.filter("names", lambda y: y == x)).cast("double"))
     ties = F.aggregate(counts, F.lit(0.0), lambda t, k: t + k * (k - 1) / 2)
-    pairs = n * (n - 1) / 2
-    tau = F.when(pairs - ties > 0, signs / F.sqrt(pairs * (pairs - ties))).otherwise(0.0)
-    df = df.withColumns({"is_alphabetical": F.col("names") == F.array_sort("names"), "kendall_tau": tau}).drop("names")
-    return df.withColumn("abs_kendall_tau", F.abs("kendall_tau"))
+    return rows.select(*KEY, "n_records", signs.alias("signs"), ties.alias("ties"), (F.col("names") == F.array_sort("names")).alias("is_alphabetical"))
+
+
+def large_buckets(df: DataFrame, most: int) -> DataFrame:
+    """The same for buckets of any size up to `most` rows, by merge counting with sorts that spill.
+
+    Arrival ranks are halved bit by bit. At each bit the rows of a group that differ in it stand
+    left or right; ordered by name, running counts give for every right row the left rows with
+    smaller and with larger names. Every pair of rows is split at exactly one bit.
+    """
+    arrival = Window.partitionBy(*KEY).orderBy("timestamp", "id", "name_display")
+    rows = df.withColumns({"r": F.row_number().over(arrival) - 1, "falls": (F.lag("name_display").over(arrival) > F.col("name_display")).cast("long")})
+    counts = rows.groupBy(*KEY, "n_records", "name_display").agg(F.count(F.lit(1)).alias("k"), F.sum("falls").alias("falls"))
+    facts = counts.groupBy(*KEY, "n_records").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2.0).alias("ties"), (F.coalesce(F.sum("falls"), F.lit(0)) == 0).alias("is_alphabetical"))
+    parts = []
+    for bit in range(max(1, (most - 1).bit_length())):
+        level = rows.select(*KEY, "name_display", F.shiftright("r", bit + 1).alias("g"), (1 - F.shiftright("r", bit).bitwiseAND(1)).alias("left"))
+        cells = level.groupBy(*KEY, "g", "name_display").agg(F.sum("left").alias("left"), F.sum(1 - F.col("left")).alias("right"))
+        group = Window.partitionBy(*KEY, "g")
+        upto = F.sum("left").over(group.orderBy("name_display"))  # a cell holds one name: rows and range agree
+        sign = F.col("right") * ((upto - F.col("left")) - (F.sum("left").over(group) - upto))
+        parts.append(cells.select(*KEY, sign.alias("sign")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return facts.join(every.groupBy(*KEY).agg(F.sum("sign").alias("signs")), KEY).select(*KEY, "n_records", "signs", "ties", "is_alphabetical")
+
+
+def bucket_ordering(c: Catalog) -> DataFrame:
+    """Buckets of three rows or more: whether names stand in order, and Kendall's tau-b of arrival against name."""
+    df, limit = placed(c), c.config.ordering_array_rows
+    most = df.agg(F.max("n_records")).first()[0] or 0
+    out = small_buckets(df.where(F.col("n_records") <= limit))
+    if most > limit:
+        out = out.unionByName(large_buckets(df.where(F.col("n_records") > limit), most))
+    pairs = F.col("n_records").cast("double") * (F.col("n_records") - 1) / 2
+    tau = F.when(pairs - F.col("ties") > 0, F.col("signs") / F.sqrt(pairs * (pairs - F.col("ties")))).otherwise(0.0)
+    return out.withColumn("kendall_tau", tau).withColumn("abs_kendall_tau", F.abs("kendall_tau")).drop("signs", "ties")
 
 
 def bucket_ordering_summary(c: Catalog) -> DataFrame:

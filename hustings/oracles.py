@@ -190,6 +190,9 @@ rare AS (SELECT bucket_minutes, {floor_to('t')} AS bucket_start, count(*) AS n_t
   FROM rarity, sizes GROUP BY 1, 2)"""
 _RD = "rarity_mean rarity_median rarity_p90 rarity_p95"
 ORACLES["rn5_rarity_by_bucket"] = rounded(RARITY, "SELECT * FROM rare", _RD)
+ORACLES["rn6_rarity_high_windows"] = rounded(
+    RARITY, "SELECT rare.*, threshold_rarity_median FROM rare JOIN (SELECT bucket_minutes, quantile_cont(rarity_median, 0.99) AS threshold_rarity_median FROM rare WHERE n_total >= 25 GROUP BY 1) q USING (bucket_minutes) WHERE n_total >= 25 AND rarity_median >= threshold_rarity_median", f"{_RD} threshold_rarity_median"
+)
 ORACLES["rn7_rarity_top_records"] = rounded(RARITY, "SELECT id, canonical_name, rarity_score FROM rarity ORDER BY round(rarity_score, 9) DESC, id LIMIT 200", "rarity_score")
 ORACLES["rn8_rarity_lookup_coverage"] = rounded(
     RARITY,

@@ -11,7 +11,7 @@ from hustings import queries
 from hustings.config import Config
 from hustings.functions import core as f
 from hustings.functions import kernels
-from hustings.operators import duplicates, fusion, off_hours, organisations, periodicity, profile, registry_match, windows
+from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, registry_match, windows
 from hustings.plans.catalog import Catalog
 from hustings.plans.graph import connected_components
 from hustings.sources import adapters
@@ -176,3 +176,13 @@ def test_planted_bucket_is_the_strangest(spark):
     c = busy(spark, [(60 if 150 <= m < 165 else 4, 2) for m in range(240)])
     top = c.get(fusion.top_bucket_anomalies).where("bucket_minutes = 15").orderBy("anomaly_score", ascending=False).first()
     assert top.n_total == 900
+
+
+def test_large_buckets_count_like_small_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"N{rng.integers(9)}, M", "Pro", int(m), "") for m in rng.integers(0, 700, 150)] + [(f"A{k:02}, B", "Con", 900 + k, "") for k in range(20)]
+    plain = catalog(spark, rows).get(ordering.bucket_ordering)
+    split = catalog(spark, rows, ordering_array_rows=3).get(ordering.bucket_ordering)
+    key = lambda r: (r.bucket_minutes, r.bucket_start, r.n_records, r.is_alphabetical, round(r.kendall_tau, 9))
+    assert sorted(map(key, plain.collect())) == sorted(map(key, split.collect()))
+    assert any(r.is_alphabetical and r.kendall_tau == 1 for r in plain.collect())
