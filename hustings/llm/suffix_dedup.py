@@ -5,7 +5,7 @@ rightmost smallest hash of `GRAM` words in every window of `least - prefix + 1`
 passage of `least` words holds at least one such position with `prefix` words of the passage
 after it, and the position depends on those words alone, so both copies retain it.
 
-Equal texts are reduced to one representative first. Retained suffixes are keyed by their first
+Texts of the same words are reduced to one representative first. Retained suffixes are keyed by their first
 `prefix` words; a suffix whose key nobody shares has neighbours that differ early in sorted order
 and goes. Only the documents of the others are read a second time. There every candidate is
 extended to the left and to the right within the reach in which a passage of `least` words can
@@ -146,11 +146,12 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFr
     heads = classes.select("doc").distinct()
     reps = rows.withColumnRenamed("doc_id", "doc").where(F.col("text").isNotNull())
     keyed = scratch.save(suffixes(reps, least, prefix), "suffixes").join(heads, "doc", "left_semi")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written first: the join then has two plain shuffles, of which Spark splits the one that a hot key fills
+    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     wanted = scratch.save(keyed.join(shared, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "wanted")
     candidates = reps.join(wanted, "doc").select("doc", "text", "keys")
     held = scratch.save(windows(candidates, least, prefix), "windows")
-    equal = held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    equal = scratch.save(held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "equal")
     found = spans_of(held.join(equal, "window").select("doc", "at"), least)
     by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("first_word"), F.col("n").alias("n_words")))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("first_word"), F.col("n_words").cast("int").alias("n_words")))
