@@ -159,6 +159,21 @@ def window_limits(c: Catalog) -> DataFrame:
     return df.withColumns({"is_tested": (F.col("n_known") > 0) & F.col("expected_pro_rate_day").isNotNull(), "is_eligible": F.col("is_alert_off_hours_window") & ~F.col("is_low_power")})
 
 
+def with_tests(df: DataFrame, c: Catalog, name: str) -> DataFrame:
+    """Exact binomial tails against a baseline, q values over eligible windows of a bucket size, and the alert."""
+    df = df.withColumn("__p", binomial_p("n_pro", "n_known", f"expected_pro_rate_{name}"))
+    df = df.withColumns({f"p_lower_{name}": F.col("__p.lower"), f"p_upper_{name}": F.col("__p.upper"), f"p_two_sided_{name}": F.col("__p.two_sided")}).drop("__p")
+    for tail in ("lower", "upper", "two_sided"):
+        df = f.with_q(df, f"p_{tail}_{name}", f"q_{tail}_{name}", ["bucket_minutes"], F.col("is_eligible"))
+    alert = F.col("is_tested") & F.col("is_eligible") & F.col(f"is_below_998_{name}") & F.coalesce(F.col(f"q_lower_{name}") <= c.config.window_alpha, F.lit(False)) & F.col(f"is_material_lower_{name}")
+    return df.withColumn(f"is_alert_{name}", alert)
+
+
+def day_alerts(c: Catalog) -> DataFrame:
+    """The chart against the day baseline alone, with tails, q values and alerts."""
+    return with_tests(c.get(window_limits), c, "day")
+
+
 def window_control_profile(c: Catalog) -> DataFrame:
     """The whole chart: day, global, model and primary baselines, exact tails, q values and alerts."""
     df = c.get(window_limits).join(c.get(model_rates), ["bucket_minutes", "bucket_start"], "left")
@@ -167,12 +182,7 @@ def window_control_profile(c: Catalog) -> DataFrame:
     for name in ("model", "primary"):
         df = material(limits(df, name), c, name)
     for name in TESTED:
-        df = df.withColumn("__p", binomial_p("n_pro", "n_known", f"expected_pro_rate_{name}"))
-        df = df.withColumns({f"p_lower_{name}": F.col("__p.lower"), f"p_upper_{name}": F.col("__p.upper"), f"p_two_sided_{name}": F.col("__p.two_sided")}).drop("__p")
-        for tail in ("lower", "upper", "two_sided"):
-            df = f.with_q(df, f"p_{tail}_{name}", f"q_{tail}_{name}", ["bucket_minutes"], F.col("is_eligible"))
-        alert = F.col("is_tested") & F.col("is_eligible") & F.col(f"is_below_998_{name}") & F.coalesce(F.col(f"q_lower_{name}") <= c.config.window_alpha, F.lit(False)) & F.col(f"is_material_lower_{name}")
-        df = df.withColumn(f"is_alert_{name}", alert)
+        df = with_tests(df, c, name)
     return df.withColumns({"is_alert_any": F.col("is_alert_day") | F.col("is_alert_model"), "is_alert_both": F.col("is_alert_day") & F.col("is_alert_model")})
 
 

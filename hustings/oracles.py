@@ -465,3 +465,70 @@ ORACLES["tr10_lens_comparison"] = rounded(
     "pro_rate_raw pro_rate_dedup delta_pro_rate",
 )
 ORACLES["hc3_hearing_markers"] = rounded(RECORDS, "SELECT 'sign_in_cutoff' AS marker, TIMESTAMP '2024-01-29 12:00:00' AS marker_time, count(*) AS n_before FROM sub WHERE minute <= TIMESTAMP '2024-01-29 12:00:00'")
+
+
+# tails and q values in SQL -------------------------------------------------------------------------
+
+
+def poisson_tail(k: str, mean: str) -> str:
+    """P(X >= k): one less the terms below k."""
+    return f"CASE WHEN {k} <= 0 THEN 1.0::DOUBLE WHEN {mean} <= 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_transform(range(0, {k}), lambda i: exp(i * ln({mean}) - {mean} - lgamma(i + 1))))) END"
+
+
+def normal_tails(z: str) -> str:
+    """Two-sided normal p: one less the error function, by its series of positive terms."""
+    x2 = f"({z} * {z} / 2.0::DOUBLE)"
+    series = f"list_sum(list_transform(range(0, 160), lambda n: exp(n * ln(4.0::DOUBLE * {x2}) + lgamma(n + 1) - lgamma(2 * n + 2))))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 7 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE / sqrt(pi()) * exp(-{x2}) * sqrt({x2}) * {series}) END"
+
+
+def q_values(source: str, p: str, q: str, partition: str = "", tested: str = "true") -> str:
+    """The source with Benjamini-Hochberg q values over the tested rows of each partition."""
+    by = f"PARTITION BY {partition + ', ' if partition else ''}({tested}) AND {p} IS NOT NULL"
+    ranked = f"SELECT *, row_number() OVER ({by} ORDER BY {p}) AS r_, count(*) OVER ({by}) AS m_ FROM {source}"
+    return f"SELECT * EXCLUDE (r_, m_), CASE WHEN ({tested}) AND {p} IS NOT NULL THEN least(1.0::DOUBLE, min({p} * m_ / r_) OVER ({by} ORDER BY r_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS {q} FROM ({ranked})"
+
+
+_BU = f"""{ROLL}, bu AS (SELECT window_minutes, start_minute, end_minute, n_total AS observed_count, n_pro, n_con, overall AS overall_pro_rate, rate * window_minutes AS expected_count, {ratio('n_total', '(rate * window_minutes)')} AS rate_ratio, {ratio('n_pro', 'n_total')} AS pro_rate,
+    n_total < 30 AS is_low_power, {ratio('n_pro', 'n_total')} - overall AS delta_pro_rate, abs({ratio('n_pro', 'n_total')} - overall) AS abs_delta_pro_rate, {wilson('n_pro', 'n_total', 'pro_rate')} FROM roll, facts),
+tails AS (SELECT DISTINCT observed_count AS oc, window_minutes AS wm, {poisson_tail('observed_count', 'expected_count')} AS p_value FROM bu),
+bt AS ({q_values('(SELECT bu.*, p_value FROM bu JOIN tails ON oc = observed_count AND wm = window_minutes)', 'p_value', 'q_value')})"""
+_BD = f"overall_pro_rate expected_count rate_ratio pro_rate delta_pro_rate abs_delta_pro_rate p_value q_value {W}"
+ORACLES["bu1_burst_window_tests"] = rounded(_BU, "SELECT *, q_value <= 0.01::DOUBLE AS is_significant FROM bt", _BD)
+ORACLES["bu2_burst_significant_windows"] = rounded(_BU, "SELECT *, true AS is_significant FROM bt WHERE q_value <= 0.01::DOUBLE", _BD)
+_SW = f"""{ROLL}, sw AS (SELECT *, abs(delta_pro_rate) AS abs_delta_pro_rate, delta_pro_rate / sqrt(baseline_pro_rate * (1.0::DOUBLE - baseline_pro_rate) / n_total) AS z_score, CASE WHEN delta_pro_rate >= 0 THEN 'pro_heavy' ELSE 'con_heavy' END AS direction, n_total < 30 AS is_low_power, {wilson('n_pro', 'n_total', 'pro_rate')}
+    FROM (SELECT window_minutes, start_minute, end_minute, n_total, n_pro, CAST(n_pro AS DOUBLE) / n_total AS pro_rate, {_BASELINE} AS baseline_pro_rate, CAST(n_pro AS DOUBLE) / n_total - {_BASELINE} AS delta_pro_rate FROM roll, facts WHERE n_total >= 25)),
+st AS ({q_values(f"(SELECT *, {normal_tails('z_score')} AS p_value FROM sw)", 'p_value', 'q_value')})"""
+_SD = f"pro_rate baseline_pro_rate delta_pro_rate abs_delta_pro_rate z_score p_value q_value {W}"
+ORACLES["ps1_swing_window_tests"] = rounded(_SW, "SELECT *, q_value <= 0.01::DOUBLE AS is_significant FROM st", _SD)
+ORACLES["ps2_swing_significant_windows"] = rounded(_SW, "SELECT *, true AS is_significant FROM st WHERE q_value <= 0.01::DOUBLE", _SD)
+
+
+def _tested(source: str) -> str:
+    p = f"CASE WHEN n_total > 0 THEN {normal_tails('z_score')} ELSE 1.0::DOUBLE END"
+    return q_values(f"(SELECT *, {p} AS p_value FROM {source})", "p_value", "q_value", "bucket_minutes")
+
+
+_FLAG = "q_value <= 0.01::DOUBLE AS is_significant, outside_stable_range AND (q_value <= 0.01::DOUBLE OR coalesce(abs_delta_pro_rate >= greatest(0.10::DOUBLE, stable_half_width), false)) AS is_flagged"
+ORACLES["ps5_time_bucket_profiles"] = rounded(f"{SWING}, tt AS ({_tested('tb')})", f"SELECT *, {_FLAG} FROM tt", f"{_ED} p_value q_value")
+ORACLES["ps6_time_of_day_bucket_profiles"] = rounded(f"{SWING}, tt AS ({_tested('td')})", f"SELECT *, {_LABEL} AS slot_start, {_FLAG} FROM tt", f"{_ED} p_value q_value")
+
+_PMF = "exp(lgamma(n_known + 1) - lgamma(i + 1) - lgamma(n_known - i + 1) + i * ln(e_) + (n_known - i) * ln(1.0::DOUBLE - e_))"
+
+
+def _binomial(low: str, high: str) -> str:
+    return f"least(1.0::DOUBLE, coalesce(list_sum(list_transform(range({low}, {high}), lambda i: {_PMF})), 0.0::DOUBLE))"
+
+
+_AT = _PMF.replace("(i + 1)", "(n_pro + 1)").replace("n_known - i", "n_known - n_pro").replace("+ i *", "+ n_pro *")
+_TWO = f"least(1.0::DOUBLE, list_sum(list_transform(range(0, n_known + 1), lambda i: CASE WHEN {_PMF} <= {_AT} * 1.0000001::DOUBLE THEN {_PMF} ELSE 0.0::DOUBLE END)))"
+_EXACT = f"""SELECT DISTINCT n_pro AS k_, n_known AS n_, e_, {_binomial('0', 'n_pro + 1')} AS p_lower_day, {_binomial('n_pro', 'n_known + 1')} AS p_upper_day, {_TWO} AS p_two_sided_day
+  FROM (SELECT n_pro, n_known, expected_pro_rate_day AS e_ FROM w4 WHERE n_known > 0)"""
+_DAY = "(SELECT w4.*, p_lower_day, p_upper_day, p_two_sided_day FROM w4 LEFT JOIN exact ON k_ = n_pro AND n_ = n_known AND e_ = expected_pro_rate_day)"
+for _tail in ("lower", "upper", "two_sided"):
+    _DAY = f"({q_values(_DAY, f'p_{_tail}_day', f'q_{_tail}_day', 'bucket_minutes', 'is_eligible')})"
+ORACLES["oh5_day_alerts"] = rounded(
+    f"{OFF}, exact AS ({_EXACT})",
+    f"SELECT *, is_tested AND is_eligible AND is_below_998_day AND coalesce(q_lower_day <= 0.05::DOUBLE, false) AND is_material_lower_day AS is_alert_day FROM {_DAY}",
+    _OD + " " + " ".join(f"{k}_{t}_day" for k in "pq" for t in ("lower", "upper", "two_sided")),
+)

@@ -87,6 +87,7 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "oh3_hour_of_week_distribution": off_hours.hour_of_week_distribution,
     "oh4_date_hour_distribution": off_hours.date_hour_distribution,
     "oh5_window_limits": off_hours.window_limits,
+    "oh5_day_alerts": off_hours.day_alerts,
     "oh5_window_control_profile": off_hours.window_control_profile,
     "oh6_date_hour_residuals": off_hours.date_hour_residuals,
     "oh7_model_fit_diagnostics": off_hours.model_fit_diagnostics,
