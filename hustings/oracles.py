@@ -532,3 +532,38 @@ ORACLES["oh5_day_alerts"] = rounded(
     f"SELECT *, is_tested AND is_eligible AND is_below_998_day AND coalesce(q_lower_day <= 0.05::DOUBLE, false) AND is_material_lower_day AS is_alert_day FROM {_DAY}",
     _OD + " " + " ".join(f"{k}_{t}_day" for k in "pq" for t in ("lower", "upper", "two_sided")),
 )
+
+_SLOTS = f"""{SWING}, d0 AS (SELECT db.*, {_LABEL.replace('slot', 'db.slot').replace('bucket_minutes', 'db.bucket_minutes')} AS slot_start, td.pro_rate AS slot_expected_pro_rate, td.stable_half_width AS slot_half_width, db.pro_rate - td.pro_rate AS slot_delta_pro_rate,
+    coalesce(CASE WHEN db.n_total > 0 AND sqrt(td.pro_rate * (1.0::DOUBLE - td.pro_rate) / db.n_total) > 0 THEN (db.pro_rate - td.pro_rate) / sqrt(td.pro_rate * (1.0::DOUBLE - td.pro_rate) / db.n_total) ELSE 0.0 END, 0.0) AS slot_z_score
+    FROM db LEFT JOIN td ON td.bucket_minutes = db.bucket_minutes AND td.slot = db.slot),
+d1 AS (SELECT *, {_FLAG}, CASE WHEN n_total > 0 THEN {normal_tails('slot_z_score')} ELSE 1.0::DOUBLE END AS slot_p_value FROM ({_tested('d0')})),
+d2 AS ({q_values('d1', 'slot_p_value', 'slot_q_value', 'bucket_minutes')})"""
+ORACLES["ps7_day_bucket_profiles"] = rounded(
+    _SLOTS,
+    "SELECT *, slot_q_value <= 0.01::DOUBLE AND coalesce(abs(slot_delta_pro_rate) >= greatest(0.10::DOUBLE, slot_half_width), false) AND NOT is_low_power AS is_slot_outlier FROM d2",
+    f"{_ED} slot_expected_pro_rate slot_half_width slot_delta_pro_rate slot_z_score p_value q_value slot_p_value slot_q_value",
+)
+ORACLES["bu7_burst_summary"] = rounded(
+    _BU,
+    """SELECT count(*) AS n_tests, count(*) FILTER (q_value <= 0.01) AS n_significant_windows, max(rate_ratio) FILTER (q_value <= 0.01) AS max_rate_ratio, min(q_value) AS min_q_value,
+    count(*) FILTER (q_value <= 0.01 AND abs_delta_pro_rate >= greatest(0.10, coalesce((SELECT quantile_cont(abs_delta_pro_rate, 0.5) FROM bt WHERE q_value <= 0.01), 0.0))) AS n_composition_shifts FROM bt""",
+    "max_rate_ratio min_q_value",
+)
+ORACLES["ch2_burst_significance_by_window"] = rounded(_BU, "SELECT window_minutes, count(*) AS n_windows, count(*) FILTER (q_value <= 0.01) AS n_significant, quantile_cont(rate_ratio, 0.5) AS median_rate_ratio FROM bt GROUP BY 1", "median_rate_ratio")
+ORACLES["tr7_record_evidence_queue"] = rounded(
+    f"""{RECORDS}, {NAMES}, {TEXT}, rep AS (SELECT canonical_name, n FROM names WHERE n > 1),
+    weird AS (SELECT canonical_name, avg(weirdness_score) AS w FROM scored GROUP BY 1 ORDER BY round(avg(weirdness_score), 9) DESC, canonical_name LIMIT 200),
+    parts AS (SELECT coalesce(rep.canonical_name, weird.canonical_name) AS canonical_name, coalesce(n, 1) AS n_records, CAST(n AS DOUBLE) / (SELECT max(n) FROM rep) AS repeat_score, least(greatest(w / (SELECT quantile_cont(w, 0.95) FROM weird), 0.0::DOUBLE), 1.0::DOUBLE) AS weird_score
+      FROM rep FULL JOIN weird ON rep.canonical_name = weird.canonical_name)""",
+    "SELECT *, CASE WHEN repeat_score IS NOT NULL AND weird_score IS NOT NULL THEN (repeat_score + weird_score) / 2.0::DOUBLE ELSE coalesce(repeat_score, weird_score) END AS score FROM parts ORDER BY score DESC, n_records DESC, canonical_name LIMIT 250",
+    "repeat_score weird_score score",
+)
+_CHECKS = [("unknown_positions", "CAST(u AS DOUBLE) / n", "0.1"), ("missing_names", "CAST(m AS DOUBLE) / n", "0.05"), ("duplicate_ids", "CAST(d AS DOUBLE) / n", "0.01"), ("non_monotonic_timestamps", "CAST(b AS DOUBLE)", "1.0"), ("blank_organization_spikes", "CAST(s AS DOUBLE)", "1.0")]
+ORACLES["qu2_data_quality_warnings"] = rounded(
+    f"""{BLANKS}, middles AS (SELECT bucket_minutes, quantile_cont(blank_org_rate, 0.5) AS middle FROM blanks WHERE n_total >= 25 GROUP BY 1),
+    one AS (SELECT count(*) AS n, {UNKNOWN} AS u, count(*) FILTER (trim(name) = '') AS m, (SELECT coalesce(sum(k), 0) FROM (SELECT count(*) AS k FROM sub GROUP BY id) WHERE k > 1) AS d,
+      (SELECT count(*) FILTER (t < before) FROM (SELECT t, lag(t) OVER (ORDER BY id, t) AS before FROM sub)) AS b,
+      (SELECT count(*) FILTER (blank_org_rate >= greatest(0.35::DOUBLE, middle + 0.15::DOUBLE)) FROM blanks JOIN middles USING (bucket_minutes) WHERE n_total >= 25) AS s FROM sub)""",
+    " UNION ALL ".join(f"SELECT '{k}' AS warning, {x} AS observed, {limit}::DOUBLE AS threshold, {x} >= {limit}::DOUBLE AS is_raised FROM one" for k, x, limit in _CHECKS),
+    "observed threshold",
+)
