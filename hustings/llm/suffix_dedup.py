@@ -145,14 +145,18 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFr
     classes = scratch.save(members.groupBy("whole", "n_words").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
     heads = classes.select("doc").distinct()
     reps = rows.withColumnRenamed("doc_id", "doc").where(F.col("text").isNotNull())
-    keyed = scratch.save(suffixes(reps, least, prefix), "suffixes").join(heads, "doc", "left_semi")
-    # written first: the join then has two plain shuffles, of which Spark splits the one that a hot key fills
+    every = scratch.save(suffixes(reps, least, prefix), "suffixes")
+    keyed = every.join(heads, "doc", "left_semi")
+    # written first: the join then has two plain shuffles, of which Spark splits the one that a hot key fills;
+    # hints keep the plan alike at every size
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    wanted = scratch.save(keyed.join(shared, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "wanted")
-    candidates = reps.join(wanted, "doc").select("doc", "text", "keys")
+    wanted = scratch.save(keyed.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "wanted")
+    scratch.drop(every)
+    scratch.drop(shared)
+    candidates = reps.join(wanted.hint("merge"), "doc").select("doc", "text", "keys")
     held = scratch.save(windows(candidates, least, prefix), "windows")
     equal = scratch.save(held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "equal")
-    found = spans_of(held.join(equal, "window").select("doc", "at"), least)
+    found = spans_of(held.join(equal.hint("merge"), "window").select("doc", "at"), least)
     by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("first_word"), F.col("n").alias("n_words")))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("first_word"), F.col("n_words").cast("int").alias("n_words")))
     marked = classes.join(by_doc, "doc", "left").withColumn("spans", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
