@@ -3,7 +3,8 @@
 Terms are words (lower case, cut at white space and ASCII punctuation) and word beginnings, which
 stand for inflected and compound forms, whose presence depends on the label in the training fold
 beyond chance; their document frequencies are counted over all
-documents. Labelled examples become unit TF-IDF vectors, ordered so that like ones stand together,
+documents. A last dimension stands for all words of a text together, so that a vector tells one
+mention in a long text from many in a short one. Labelled examples become unit TF-IDF vectors, ordered so that like ones stand together,
 and lie in an inverted index cut into blocks of examples; for each term and block the index knows
 the largest weight. A query first bounds its cosine with every block, then scores blocks from the
 highest bound down, and leaves the rest as soon as their bounds cannot enter its `NEIGHBOURS`
@@ -41,8 +42,8 @@ BEGINNINGS = (4, 5, 6)
 PRIOR_WEIGHT = 0.5
 
 
-def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every word and of every beginning that is shorter than its word."""
+def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of every word and of every beginning that is shorter than its word; words of each text."""
     raw, offsets = utf8(column)
     data = lowered(raw)
     starts, ends, firsts = spans(data, offsets, PUNCTUATED)
@@ -52,7 +53,7 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         longer = np.flatnonzero(ends - starts > n)
         found.append(mixed(hashes(data, starts[longer], starts[longer] + n) + np.uint64(n)))
         of.append(owner[longer])
-    return np.concatenate(found), np.concatenate(of)
+    return np.concatenate(found), np.concatenate(of), np.diff(firsts)
 
 
 @dataclass
@@ -70,21 +71,23 @@ class Vocabulary:
         return Vocabulary(t, bitmap)
 
     def counts(self, column: pa.Array) -> np.ndarray:
-        """(texts, terms) occurrences."""
+        """(texts, terms + 1): occurrences of each term, and the number of words."""
         n, v = len(column), len(self.terms)
         if not v:
-            return np.zeros((n, 0), np.float32)
-        h, owner = term_hashes(column)
+            return np.zeros((n, 1), np.float32)
+        h, owner, words = term_hashes(column)
         maybe = np.flatnonzero(self.bitmap[h >> np.uint64(48)])
         h, owner = h[maybe], owner[maybe]
         at = np.minimum(np.searchsorted(self.terms, h), v - 1)
         hit = self.terms[at] == h
-        return np.bincount(owner[hit] * v + at[hit], minlength=n * v).reshape(n, v).astype(np.float32)
+        found = np.bincount(owner[hit] * v + at[hit], minlength=n * v).reshape(n, v)
+        return np.concatenate([found, words[:, None]], axis=1).astype(np.float32)
 
 
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """(1 + log tf) * idf, at unit length; rows without terms stay zero."""
-    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    """(1 + log tf) * idf, at unit length; the last dimension, the words, has idf 1; rows without terms stay zero."""
+    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * np.append(idf, 1.0)
+    w[~counts[:, :-1].any(axis=1)] = 0
     norm = np.sqrt((w**2).sum(axis=1, keepdims=True))
     return (w / np.maximum(norm, 1e-12)).astype(np.float32)
 
@@ -100,7 +103,7 @@ class Index:
 
     @staticmethod
     def of(doc_ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Index:
-        order = np.lexsort((doc_ids, vectors.argmax(axis=1) if vectors.shape[1] else labels, labels))
+        order = np.lexsort((doc_ids, vectors[:, :-1].argmax(axis=1) if vectors.shape[1] > 1 else labels, labels))
         doc_ids, labels, vectors = doc_ids[order], labels[order], vectors[order]
         blocks, largest = [], []
         for a in range(0, len(vectors), BLOCK):
@@ -213,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each
     counts = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    nothing = Model(Vocabulary.of([]), np.zeros(0), Index.of(np.zeros(0, np.int64), np.zeros(0, int), np.zeros((0, 0), np.float32)), prior, (np.zeros(0), np.zeros(0)))
+    nothing = Model(Vocabulary.of([]), np.zeros(0), Index.of(np.zeros(0, np.int64), np.zeros(0, int), np.zeros((0, 1), np.float32)), prior, (np.zeros(0), np.zeros(0)))
     if len(counts) < 2:
         return nothing
     sample = _examples(docs, known, {y: min(1.0, most_each / counts[y]) for y in (0, 1)})
@@ -221,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                h, owner = term_hashes(part.column("text"))
+                h, owner, _ = term_hashes(part.column("text"))
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
@@ -246,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each
         df, rows = np.zeros(len(shared.value.terms), np.int64), 0
         for batch in batches:
             for part in steps(batch, "text"):
-                df += (shared.value.counts(part.column("text")) > 0).sum(axis=0)
+                df += (shared.value.counts(part.column("text"))[:, :-1] > 0).sum(axis=0)
                 rows += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.concatenate([[rows], df]))], ["term", "n"])
 
@@ -262,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(at, pa.list_(pa.int64())), pa.array([row[i].astype(float) for row, i in zip(c, at)], pa.list_(pa.float64()))], ["doc_id", "y", "at", "tf"])
 
     got = sample.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, at array<long>, tf array<double>").limit(4 * most_each).toArrow().sort_by("doc_id")
-    tf = np.zeros((got.num_rows, len(vocabulary.terms)), np.float32)
+    tf = np.zeros((got.num_rows, len(vocabulary.terms) + 1), np.float32)
     for i, (at, values) in enumerate(zip(got.column("at").to_pylist(), got.column("tf").to_pylist())):
         tf[i, at] = values
     ids, y = np.array(got.column("doc_id").to_pylist(), np.int64), np.array(got.column("y").to_pylist(), int)
