@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # tails -------------------------------------------------------------------------------------------
 
 TAILS = T.StructType([T.StructField(x, T.DoubleType()) for x in ("lower", "upper", "two_sided")])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_log_factorials = np.zeros(2)
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
@@ -79,6 +79,14 @@ def _poisson_tail(k: int, mean: float) -> float:
     return min(1.0, math.exp(log_term) * total)
 
 
+def log_factorials(n: int) -> np.ndarray:
+    """ln 0! ... ln n!; one table grows as needed."""
+    global _log_factorials
+    if len(_log_factorials) <= n:
+        _log_factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 2)))])
+    return _log_factorials[: n + 1]
+
+
 @lru_cache(maxsize=1 << 16)
 def binomial_tails(k: int, n: int, p: float) -> tuple[float, float, float]:
     """P(X <= k), P(X >= k) and the exact two-sided p: the sum of outcomes no likelier than k."""
@@ -86,7 +94,8 @@ def binomial_tails(k: int, n: int, p: float) -> tuple[float, float, float]:
         hit = k == (0 if p <= 0 else n)
         return (1.0 if k >= n or p <= 0 else 0.0, 1.0 if k <= 0 or p >= 1 else 0.0, 1.0 if hit else 0.0)
     i = np.arange(n + 1)
-    log = math.lgamma(n + 1) - _lgamma(i + 1) - _lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    f = log_factorials(n)
+    log = f[n] - f - f[::-1] + i * math.log(p) + (n - i) * math.log1p(-p)
     pmf = np.exp(log)
     return min(1.0, float(pmf[: k + 1].sum())), min(1.0, float(pmf[k:].sum())), min(1.0, float(pmf[pmf <= pmf[k] * (1 + 1e-7)].sum()))
 

@@ -159,19 +159,31 @@ def window_limits(c: Catalog) -> DataFrame:
     return df.withColumns({"is_tested": (F.col("n_known") > 0) & F.col("expected_pro_rate_day").isNotNull(), "is_eligible": F.col("is_alert_off_hours_window") & ~F.col("is_low_power")})
 
 
-def with_tests(df: DataFrame, c: Catalog, name: str) -> DataFrame:
-    """Exact binomial tails against a baseline, q values over eligible windows of a bucket size, and the alert."""
-    df = df.withColumn("__p", binomial_p("n_pro", "n_known", f"expected_pro_rate_{name}"))
-    df = df.withColumns({f"p_lower_{name}": F.col("__p.lower"), f"p_upper_{name}": F.col("__p.upper"), f"p_two_sided_{name}": F.col("__p.two_sided")}).drop("__p")
-    for tail in ("lower", "upper", "two_sided"):
-        df = f.with_q(df, f"p_{tail}_{name}", f"q_{tail}_{name}", ["bucket_minutes"], F.col("is_eligible"))
-    alert = F.col("is_tested") & F.col("is_eligible") & F.col(f"is_below_998_{name}") & F.coalesce(F.col(f"q_lower_{name}") <= c.config.window_alpha, F.lit(False)) & F.col(f"is_material_lower_{name}")
-    return df.withColumn(f"is_alert_{name}", alert)
+TAILS = ("lower", "upper", "two_sided")
+
+
+def with_tests(df: DataFrame, c: Catalog, names: tuple[str, ...]) -> DataFrame:
+    """Exact binomial tails against each baseline, q values over eligible windows of a bucket size, and alerts.
+
+    The q values are found on a narrow table of eligible windows alone and joined back.
+    """
+    for name in names:
+        df = df.withColumn("__p", binomial_p("n_pro", "n_known", f"expected_pro_rate_{name}"))
+        df = df.withColumns({f"p_{t}_{name}": F.col(f"__p.{t}") for t in TAILS}).drop("__p")
+    q = df.where("is_eligible").select("bucket_minutes", "bucket_start", *(f"p_{t}_{name}" for name in names for t in TAILS))
+    for name in names:
+        for t in TAILS:
+            q = f.with_q(q, f"p_{t}_{name}", f"q_{t}_{name}", ["bucket_minutes"])
+    df = df.join(q.select("bucket_minutes", "bucket_start", *(f"q_{t}_{name}" for name in names for t in TAILS)), ["bucket_minutes", "bucket_start"], "left")
+    for name in names:
+        alert = F.col("is_tested") & F.col("is_eligible") & F.col(f"is_below_998_{name}") & F.coalesce(F.col(f"q_lower_{name}") <= c.config.window_alpha, F.lit(False)) & F.col(f"is_material_lower_{name}")
+        df = df.withColumn(f"is_alert_{name}", alert)
+    return df
 
 
 def day_alerts(c: Catalog) -> DataFrame:
     """The chart against the day baseline alone, with tails, q values and alerts."""
-    return with_tests(c.get(window_limits), c, "day")
+    return with_tests(c.get(window_limits), c, ("day",))
 
 
 def window_control_profile(c: Catalog) -> DataFrame:
@@ -181,8 +193,7 @@ def window_control_profile(c: Catalog) -> DataFrame:
     df = df.withColumns({"is_model_baseline_available": F.col("expected_pro_rate_model").isNotNull(), "expected_pro_rate_primary": F.coalesce("expected_pro_rate_model", "expected_pro_rate_day")})
     for name in ("model", "primary"):
         df = material(limits(df, name), c, name)
-    for name in TESTED:
-        df = with_tests(df, c, name)
+    df = with_tests(df, c, TESTED)
     return df.withColumns({"is_alert_any": F.col("is_alert_day") | F.col("is_alert_model"), "is_alert_both": F.col("is_alert_day") & F.col("is_alert_model")})
 
 
