@@ -5,7 +5,7 @@ rightmost smallest hash of `GRAM` words in every window of `least - prefix + 1`
 passage of `least` words holds at least one such position with `prefix` words of the passage
 after it, and the position depends on those words alone, so both copies retain it.
 
-Texts of the same words are reduced to one representative first. Retained suffixes are keyed by their first
+Texts of the same words form a class and count once. Retained suffixes are keyed by their first
 `prefix` words; a suffix whose key nobody shares has neighbours that differ early in sorted order
 and goes. Only the documents of the others are read a second time. There every candidate is
 extended to the left and to the right within the reach in which a passage of `least` words can
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.common import Scratch, prepare, steps, utf8
-from hustings.llm.wordhash import hashes, lowered, rolling, spans
+from hustings.llm.wordhash import BASE, INVERSE, hashes, lowered, mixed, powers, rolling, spans
 
 #: Words of a passage at least, words by which retained suffixes are keyed, and words of a minimiser's gram.
 LEAST, PREFIX, GRAM = 50, 30, 6
@@ -64,18 +64,32 @@ def retained(words: np.ndarray, owner: np.ndarray, least: int = LEAST, prefix: i
     return np.unique((np.uint64(0xFFFFFFFF) - (value[whole] & np.uint64(0xFFFFFFFF))).astype(np.int64))
 
 
-def suffixes(reps: DataFrame, least: int, prefix: int) -> DataFrame:
-    """(key, doc): the keys of retained suffixes; a key that comes twice in a document comes twice here."""
+def wholes(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """One hash for each text's whole sequence of words."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=sums[1:], dtype=np.uint64)
+    return mixed((sums[firsts[1:]] - sums[firsts[:-1]]) * powers(INVERSE, len(words) + 1)[firsts[:-1]]).view(np.int64)
+
+
+def suffixes(texts: DataFrame, least: int, prefix: int) -> DataFrame:
+    """(key, whole, again): distinct keys of retained suffixes of each text, the text's class, and whether the key comes twice in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                words, _, _, _, owner = _words(part)
+                words, _, _, firsts, owner = _words(part)
                 at = retained(words, owner, least, prefix)
-                keys = rolling(words, prefix)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc").take(pa.array(owner[at]))], ["key", "doc"])
+                if not len(at):
+                    continue
+                keys, of = rolling(words, prefix)[at].view(np.int64), owner[at]
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
+                head = np.flatnonzero(new)
+                again = np.diff(np.append(head, len(keys))) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[head]), pa.array(wholes(words, firsts)[of[head]]), pa.array(again)], ["key", "whole", "again"])
 
-    return reps.select("doc", "text").mapInArrow(run, "key long, doc long")
+    return texts.select("text").mapInArrow(run, "key long, whole long, again boolean")
 
 
 def windows(candidates: DataFrame, least: int, prefix: int) -> DataFrame:
@@ -137,23 +151,24 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFr
         for batch in batches:
             for part in steps(batch, "text"):
                 words, _, _, firsts, _ = _words(part)
-                whole = np.array([int(_fold(words[a:b])) for a, b in zip(firsts[:-1], firsts[1:])], np.uint64).view(np.int64)
+                whole = wholes(words, firsts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(whole), pa.array(np.diff(firsts).astype(np.int64))], ["doc_id", "whole", "n_words"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     members = scratch.save(rows.mapInArrow(digest, "doc_id long, whole long, n_words long"), "members").where(F.col("n_words") >= least)
     classes = scratch.save(members.groupBy("whole", "n_words").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
-    heads = classes.select("doc").distinct()
-    reps = rows.withColumnRenamed("doc_id", "doc").where(F.col("text").isNotNull())
-    every = scratch.save(suffixes(reps, least, prefix), "suffixes")
-    keyed = every.join(heads, "doc", "left_semi")
+    texts = rows.withColumnRenamed("doc_id", "doc").where(F.col("text").isNotNull())
+    keyed = scratch.save(suffixes(texts, least, prefix), "suffixes")
+    # copies of one text agree in their class: a key is shared if two classes have it, or one text has it twice
+    counts = keyed.groupBy("key").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.max("again").alias("again"))
     # written first: the join then has two plain shuffles, of which Spark splits the one that a hot key fills;
     # hints keep the plan alike at every size
-    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    wanted = scratch.save(keyed.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "wanted")
-    scratch.drop(every)
+    shared = scratch.save(counts.where("a <> b or again").select("key"), "shared")
+    wanted = keyed.join(shared.hint("merge"), "key").groupBy("whole").agg(F.collect_set("key").alias("keys"))
+    wanted = scratch.save(wanted.join(classes.select("whole", "doc").hint("merge"), "whole").select("doc", "keys"), "wanted")
+    scratch.drop(keyed)
     scratch.drop(shared)
-    candidates = reps.join(wanted.hint("merge"), "doc").select("doc", "text", "keys")
+    candidates = texts.join(wanted.hint("merge"), "doc").select("doc", "text", "keys")
     held = scratch.save(windows(candidates, least, prefix), "windows")
     equal = scratch.save(held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "equal")
     found = spans_of(held.join(equal.hint("merge"), "window").select("doc", "at"), least)
@@ -163,8 +178,3 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> DataFr
     marked = marked.withColumnRenamed("doc", "class_id").select("whole", "n_words", "class_id", "copies", "spans")
     out = members.join(marked, ["whole", "n_words"])
     return out.select("doc_id", "class_id", "copies", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["n_words"]).alias("n_repeated"))
-
-
-def _fold(words: np.ndarray) -> int:
-    """One hash of a whole sequence of words."""
-    return int(rolling(words, len(words))[0]) if len(words) else 0
