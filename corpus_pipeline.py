@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import bpe, decontaminate, langid, secret_scan, simhash
+from hustings.llm import bpe, decontaminate, langid, near_copies, secret_scan, simhash
 from hustings.llm.common import Scratch, remainder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,6 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents alike in 0.8 of their five-word shingles the one with the smallest id stays."""
+    return near_copies.keep_one(docs)
+
+
+def all_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash links first, which reach equal and almost equal texts, then edited copies among what stays."""
+    return edited_copies(spark, near_duplicates(spark, docs, sf_dir), sf_dir)
+
+
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
@@ -46,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language", language),
-    ("near_duplicates", near_duplicates),
+    ("near_duplicates", all_copies),
     ("benchmark_leaks", benchmark_leaks),
     ("secrets", secrets),
     ("tokens", tokens),

@@ -1,9 +1,12 @@
 """The corpus pipeline: each stage's decisions on a small input, and the whole run."""
 
+import itertools
+import random
+
 import corpus_pipeline
 import pytest
 
-from hustings.llm import bpe, simhash
+from hustings.llm import bpe, near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +37,29 @@ def test_one_of_each_component_stays(spark, docs):
     assert kept == {r.component_id for r in found}
 
 
+def test_no_edited_copy_stays(spark):
+    rng = random.Random(21)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 150, 600]))]
+        for _ in range(4):  # each is edited in another share of its words
+            copy = [f"x{rng.randrange(10**6)}" if rng.random() < share else w for share in [rng.choice([0, 0.005, 0.02, 0.2])] for w in words]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), "one two"), (len(rows) + 1, "One  TWO"), (len(rows) + 2, "one three")]
+    label, shingles = {i: i for i, _ in rows}, {i: sets(t) for i, t in rows}
+    pairs = [(i, j) for i, j in itertools.combinations(label, 2) if jaccard(shingles[i], shingles[j]) >= 0.8]
+    for _ in rows:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(*r, "k") for r in rows] + [(None, rows[0][1], "k")], "doc_id long, text string, node string")
+    kept = sorted(r.doc_id for r in near_copies.keep_one(docs).collect() if r.doc_id is not None)
+    assert kept == sorted(set(label.values())) and near_copies.keep_one(docs).where("doc_id is null").count() == 1
+    stay = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()}
+    assert not [p for p in pairs if set(p) <= stay]
+
+
 def test_whole_run(spark, docs):
     rows = corpus_pipeline.run(spark, SF).collect()
     tokenizer = bpe.load(bpe.default_path())
