@@ -14,6 +14,7 @@ are code points, ends exclusive; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 NEAR, AROUND = 48, 400
 #: Bytes beyond the frame, for each character, from which a candidate counts as incompressible.
 NOVELTY = 0.8
+#: From this length zstandard codes literals by their alphabet, so a candidate is measured against this share of what a random string of its alphabet costs.
+LONG, NEARLY = 48, 0.99
+ALPHABETS = [(n, re.compile(f"[{c}]+=*")) for n, c in ((16, "0-9A-F"), (16, "0-9a-f"), (32, "A-Z2-7"), (36, "0-9a-z"), (36, "0-9A-Z"), (62, "0-9A-Za-z"))]
 #: Ordinary identifiers of code, as a priming dictionary.
 IDENTIFIERS = (
     b"public static final class function return import from export default const let var def self this None null true false "
@@ -71,6 +75,19 @@ def novelty(candidate: str, around: str) -> float:
     return max(0, len(_compressor(around.encode()).compress(raw)) - _frame_cost() - 3) / max(1, len(raw))
 
 
+def alphabet(candidate: str) -> int:
+    """The number of characters of the smallest usual alphabet that holds the candidate."""
+    for size, pattern in ALPHABETS:
+        if pattern.fullmatch(candidate):
+            return size
+    return 64
+
+
+def incompressible(candidate: str, around: str) -> bool:
+    least = NOVELTY if len(candidate) < LONG else min(NOVELTY, NEARLY * math.log2(alphabet(candidate)) / 8)
+    return novelty(candidate, around) >= least
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -96,7 +113,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
             around = text[max(0, m.start() - AROUND) : m.start()] + text[end : end + AROUND]
             found = text[m.start() : end]
             mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)  # words and numbers alone are ordinary
-            if mixed and novelty(found, around) >= NOVELTY:
+            if mixed and incompressible(found, around):
                 out.append((m.start(), end, "novel"))
     return out
 

@@ -226,6 +226,17 @@ def test_novel_strings_and_masking(spark):
     assert "[SECRET]" in rows[1].text and rows[1].n_chars == len(rows[1].text) and rows[2].text == "clean text" and rows[3].text is None
 
 
+@pytest.mark.parametrize("letters, length", [("0123456789ABCDEF", 64), ("0123456789ABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 200), ("abcdefghijklmnopqrstuvwxyz0123456789", 300), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 1600)])
+def test_long_random_strings_are_novel(letters, length):
+    rng = random.Random(length)
+    for _ in range(20):
+        key = "".join(rng.choice(letters) for _ in range(length))
+        text = f"curl with Authorization: Bearer {key} and go on"
+        assert [text[a:b] for a, b, _ in secret_scan.scan_text(text)[1]] == [key]
+    path = "/".join(rng.choice(WORDS) for _ in range(60)) + "/v2"
+    assert not secret_scan.scan_text(f"the bearer {path} of words")[1]
+
+
 # leaks ---------------------------------------------------------------------------------------------
 
 
