@@ -1,6 +1,6 @@
 """Secret scan: three fixed kinds, and zstandard novelty primed with a dictionary.
 
-A candidate is a run of 16 or more characters of an opaque alphabet whose left context names a
+A candidate is a run of 16 or more characters of an opaque alphabet near a word that names a
 credential. Its novelty is the number of bytes that zstandard needs for it beyond the fixed cost
 of a frame, when the compressor is primed with the code around the candidate and a dictionary of
 ordinary identifiers: words and names seen there cost next to nothing, random strings cost close
@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,12 @@ CONTEXT_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters on the left in which a context word must stand, and around a candidate that prime the compressor.
+#: What may part the lines of one secret, and the rest of one that ends in padding.
+GAP = re.compile(r"""(?:\s|\\[nr]|["'+\\]){1,80}""")
+LAST = re.compile(r"[A-Za-z0-9+/_-]{1,15}={1,2}(?![A-Za-z0-9+/_=-])")
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
+TAIL = re.compile(r"""([A-Za-z0-9+/=]{1,15})(?:\s|\\[nr]|["'+\\])*\Z""")
+#: Characters on either side in which a context word must stand, and around a candidate that prime the compressor.
 NEAR, AROUND = 48, 400
 #: Bytes beyond the frame, for each character, from which a candidate counts as incompressible.
 NOVELTY = 0.8
@@ -96,26 +103,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Incompressible candidates in sensitive contexts that no known span overlaps."""
-    out = []
+    """Incompressible candidates in sensitive contexts that no known span overlaps.
+
+    A context reaches over NEAR characters to the right and to the left of its word, and from any
+    secret to the next candidate that only white space, line ends or quotes part from it. A block
+    of a private key is taken to its end as soon as one of its candidates is incompressible.
+    """
     taken = sorted((a, b) for a, b, _ in known)
+    out: list[tuple[int, int]] = []
+    judged: dict[tuple[int, int], bool] = {}
+
+    def judge(a: int, b: int, sure: bool = False) -> bool:
+        """Whether the candidate is or touches a secret; a new one is added."""
+        if sure or (a, b) not in judged:
+            judged[a, b] = True
+            if not any(x < b and a < y for x, y in chain(taken, out)):
+                found = text[a:b]
+                mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)  # words and numbers alone are ordinary
+                judged[a, b] = sure or mixed and incompressible(found, text[max(0, a - AROUND) : a] + text[b : b + AROUND])
+                if judged[a, b]:
+                    out.append((a, b))
+        return judged[a, b]
+
+    def onward(end: int) -> None:
+        while (gap := GAP.match(text, end)) and (m := CANDIDATE.match(text, gap.end())) and judge(*m.span()):
+            end = m.end()
+        if gap and (m := LAST.match(text, gap.end())):  # what is left of a padded key
+            judge(*m.span(), sure=True)
+
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [b for _, b in runs]
     reached = 0
     for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), reached), min(len(text), word.end() + NEAR + 512)):
-            if m.start() > word.end() + NEAR:
-                break
-            end = m.end()
-            while end < len(text) and CANDIDATE.match("a" * 15 + text[end]):  # the search stopped inside a run
-                end += 1
-            reached = end
-            if any(a < end and m.start() < b for a, b in taken):
-                continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[end : end + AROUND]
-            found = text[m.start() : end]
-            mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)  # words and numbers alone are ordinary
-            if mixed and incompressible(found, around):
-                out.append((m.start(), end, "novel"))
-    return out
+        for a, b in runs[bisect_left(ends, word.start() - NEAR) : bisect_right(ends, word.start())]:
+            if judge(a, b):
+                onward(b)
+        at = max(word.end(), reached)
+        k = bisect_left(ends, at + 16)  # a run may begin before the word ends
+        while k < len(runs) and (a := max(runs[k][0], at)) <= word.end() + NEAR:
+            reached = at = ends[k]
+            if judge(a, at):
+                onward(at)
+            k += 1
+    for block in PRIVATE_KEY.finditer(text):
+        inside = [m.span() for m in CANDIDATE.finditer(text, *block.span(1))]
+        if any([judge(a, b) for a, b in inside]):
+            tail = TAIL.search(text, *block.span(1))
+            for a, b in inside + ([tail.span(1)] if tail else []):
+                judge(a, b, sure=True)
+    return [(a, b, "novel") for a, b in sorted(out)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
