@@ -2,7 +2,7 @@
 
 Words of test items and documents (lower case, cut at white space and ASCII punctuation) become
 64-bit hashes. A seed is a fixed mask over `span` words that looks at some positions and ignores
-the others, so a hit survives substitutions there. Seed hashes of the items are joined with those
+the others, so a hit survives substitutions there; three words in a row complete the seeds. Seed hashes of the items are joined with those
 of all document positions; every hit names an item and a diagonal, along which both are compared
 word by word, and the best-scoring overlaps are kept.
 
@@ -30,6 +30,9 @@ from hustings.llm.wordhash import PUNCTUATED, hashes, lowered, mixed, spans
 
 #: Looked-at positions of each mask.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 2, 3, 5, 6, 9, 10, 11), (0, 1, 3, 4, 6, 8, 9, 11), (0, 1, 2, 3, 4, 5, 6, 7))
+#: Three words in a row, in items of any length. Every overlap that counts has them: where no three equal words
+#: stand together, the best stretch is the first two, which are never enough.
+TRIPLE = (0, 1, 2)
 LEAST_WORDS = 5
 #: An overlap counts from this many equal words, or this share of a shorter item.
 ENOUGH_WORDS, ENOUGH_SHARE = 13, 0.7
@@ -54,8 +57,8 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 def item_masks(n_words: int) -> list[tuple[int, ...]]:
-    """The masks that fit an item; a short one gets a mask of its own length."""
-    fit = [m for m in MASKS if m[-1] < n_words]
+    """The masks that fit an item; one shorter than all gets a mask of its own length."""
+    fit = [m for m in (*MASKS, TRIPLE) if m[-1] < n_words]
     return fit or [tuple(range(n_words))]
 
 
@@ -110,10 +113,29 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: stop + 1])), stop
 
 
+def promising(index: Index, found: np.ndarray, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The hits whose diagonal has enough equal words in all."""
+    sizes = np.array([len(w) for w in index.words], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *index.words])
+    out = [found[:0]]
+    for part in np.array_split(found, 1 + len(found) // 4096):
+        if not len(part):
+            continue
+        d, k, diagonal = part.T
+        a, b = np.maximum(firsts[d], diagonal), np.minimum(firsts[d + 1], diagonal + sizes[k])
+        n = b - a
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = words[np.repeat(a, n) + step] == flat[np.repeat(at[k] + a - diagonal, n) + step]
+        total = np.add.reduceat(equal, np.cumsum(n) - n, dtype=np.int64)
+        out.append(part[total >= np.minimum(8, ENOUGH_SHARE * sizes[k])])
+    return np.concatenate(out)
+
+
 def overlaps(index: Index, words: np.ndarray, firsts: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, equal words, first word, last word + 1) of each leak; words count within the whole array."""
     coverage: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
-    for d, k, diagonal in hits(index, words, doc_of).tolist():
+    for d, k, diagonal in promising(index, hits(index, words, doc_of), words, firsts).tolist():
         item = index.words[k]
         a, b = max(int(firsts[d]), diagonal), min(int(firsts[d + 1]), diagonal + len(item))
         equal = words[a:b] == item[a - diagonal : b - diagonal]
@@ -143,11 +165,11 @@ def blocks(benchmark: DataFrame, block_seeds: int) -> Iterator[Index]:
         words = item_words(row["text"])
         if len(words) < LEAST_WORDS:
             continue
-        if held and size + len(words) * len(MASKS) > block_seeds:
+        if held and size + len(words) * (len(MASKS) + 1) > block_seeds:
             yield build(held)
             held, size = [], 0
         held.append((row["item_id"], words))
-        size += len(words) * len(MASKS)
+        size += len(words) * (len(MASKS) + 1)
     if held:
         yield build(held)
 

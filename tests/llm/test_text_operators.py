@@ -281,6 +281,37 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_seeds_miss_no_overlap_that_counts():
+    rng = random.Random(15)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in [*range(5, 20), 40, 57] for _ in range(12)]
+    texts = []
+    for k, item in enumerate(items):
+        share = rng.choice([0.05, 0.15, 0.25])
+        changed = [f"c{rng.randrange(10**6)}" if (p % 4 == 3 if k % 12 == 0 else rng.random() < share) else w for p, w in enumerate(item)]
+        gap = rng.randrange(len(item)) if k % 3 == 0 else None
+        texts.append(rng.choices(vocabulary, k=20) + changed[:gap] + (["in", "between"] + changed[gap:] if gap is not None else []) + rng.choices(vocabulary, k=20))
+    index = decontaminate.build([(k, decontaminate.item_words(" ".join(t))) for k, t in enumerate(items)])
+    words = [decontaminate.item_words(" ".join(t)) for t in texts]
+    firsts = np.cumsum([0, *map(len, words)])
+    got = {(d, k) for d, k, *_ in decontaminate.overlaps(index, np.concatenate(words), firsts, np.repeat(np.arange(len(texts)), np.diff(firsts)))}
+    want = set()
+    for d, text in enumerate(words):  # every diagonal of every pair
+        for k, item in enumerate(index.words):
+            covered = np.zeros(len(item), bool)
+            for start in range(-len(item) + 1, len(text)):
+                a, b = max(0, start), min(len(text), start + len(item))
+                equal = text[a:b] == item[a - start : b - start]
+                if equal.sum() < 3:
+                    continue
+                x, y = decontaminate.best_overlap(equal)
+                if equal[x:y].sum() >= min(8, 0.7 * len(item)):
+                    covered[a - start + x : a - start + y] |= equal[x:y]
+            if covered.sum() >= min(13, 0.7 * len(item)):
+                want.add((d, k))
+    assert got == want and len(want) > 100
+
+
 # repeated passages ---------------------------------------------------------------------------------
 
 
