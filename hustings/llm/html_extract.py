@@ -4,8 +4,8 @@ A page is cut into tags and text without building objects for what cannot matter
 styles, comments). Every paragraph of some length gives points for itself, its commas and its
 length to its parent and half of them to its grandparent; containers start with points for their
 element and lose them for names that speak of boilerplate; what a container has is discounted by
-the share of its text that stands in links. The best container is kept, with those of its
-siblings that score near it or are real paragraphs; menus, headers, footers, sidebars, notices,
+the share of its text that stands in links. The best container is kept, with all of its siblings
+that are not boilerplate or mostly links, whatever their element and length; menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are never part of it.
 
 Defined cases: a null or blank page, and one without text outside boilerplate, gives the empty
@@ -50,8 +50,8 @@ NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 #: What a start tag closes if it is open in the same block.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_PARAGRAPH = BLOCK - {"br", "option", "legend"}
-#: A paragraph gives points from this length; a sibling stays as a paragraph from this length and below this share of links.
-LEAST_POINTS, LEAST_SIBLING, MOST_LINKS = 25, 80, 0.25
+#: A paragraph gives points from this length; a sibling stays below this share of links.
+LEAST_POINTS, MOST_LINKS = 25, 0.25
 
 
 class Node:
@@ -244,15 +244,7 @@ def extract(html: str | None) -> str:
         up = up.parent
     keep = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
-        near = max(10.0, 0.2 * best.score)
-        keep = []
-        for c in best.parent.children:
-            if c is best:
-                keep.append(c)
-            elif isinstance(c, str) or c.negative or _density(c) >= MOST_LINKS:
-                continue
-            elif c.scored and c.score * (1 - _density(c)) >= near or c.tag == "p" and c.chars >= LEAST_SIBLING:
-                keep.append(c)
+        keep = [c for c in best.parent.children if c is best or isinstance(c, str) or not c.negative and _density(c) < MOST_LINKS]
     elif best.tag == "article" and best.parent is not None:  # an article in parts
         keep = [c for c in best.parent.children if c is best or not isinstance(c, str) and c.tag == "article" and not c.negative and c.score * (1 - _density(c)) >= 0.5 * best.score]
     return " ".join(blocks(keep))

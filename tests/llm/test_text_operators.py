@@ -178,6 +178,7 @@ def test_fingerprints_equal_brute_force(spark):
         ("<p>x<a", "x"),
         ("<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>T &amp; U</h1><p><b>First, of some length to count for points.<br><p>Second&nbsp;one</p></article><footer>&copy; me</footer>", "T & U First, of some length to count for points. Second one"),
         ("<div id=main><p>A paragraph, with enough text to count for points.</p><div class='comments'><p>A reader comment, long enough to count as a paragraph.</p></div><p>Last</p></div><div class=sidebar><p>Side bar text, long enough to count, it seems.</p></div>", "A paragraph, with enough text to count for points. Last"),
+        ("<div id=wrap>Intro, bare.<h1>Title</h1><div><p>A paragraph, with enough text, to count for points.</p><p>Another paragraph, with enough text to count.</p></div><pre>x = 1</pre><ul><li>one<li>two</ul><table><tr><td>cell</table><p><a href=x>More of our stories, all of them</a></p><nav>menu</nav><p>Short.</p></div>", "Intro, bare. Title A paragraph, with enough text, to count for points. Another paragraph, with enough text to count. x = 1 one two cell Short."),
         ("<article><form><p>Subscribe here, to the letter, all of you readers.</p></form><p>Text of the article, long enough to count.<aside>no</aside><p>Two</article>", "Text of the article, long enough to count. Two"),
     ],
 )
