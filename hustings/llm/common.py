@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -39,6 +40,8 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+        if base.startswith("file:") and not _one_machine(spark):
+            warnings.warn("spark.checkpoint.dir is a file: path; on a cluster it must be a mount that all executors share", stacklevel=2)
         self.base = f"{base.rstrip('/')}/hustings-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -55,13 +58,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 _local: dict[str, str] = {}
 
 
 def _own_folder(spark: SparkSession) -> str:
     """Only where the cluster names no folder, as in tests on one machine."""
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not _one_machine(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
@@ -75,10 +81,23 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
 
 
-def spread(doc_id: Column | str, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id alone: a sample that is the same in every run."""
-    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def spread(seed: str, *columns: str) -> Column:
+    """A number in [0, 1) that depends on the values of the columns alone: a sample that is the same in every run."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def thinned(rows: DataFrame, share: Column, most: int, seed: str) -> DataFrame:
+    """About `share` of the rows (doc_id, text, ...), by a hash of id and text, and not many more than `most`.
+
+    Shares rest on counts of ids or labels; where ids repeat in the rows, the sample would be larger, so it is counted
+    and thinned evenly. A row that repeats another's id and text comes once.
+    """
+    place = spread(seed, "doc_id", "text")
+    some = rows.where(place < share)
+    n = some.select("doc_id", F.xxhash64("text").alias("h")).distinct().count()
+    if n > 1.25 * most:
+        some = some.where(place < share * (most / n))
+    return some.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
 
 
 def texts(column: pa.Array) -> pa.Array:

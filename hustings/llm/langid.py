@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import prepare, remainder, spread, steps, texts, utf8
+from hustings.llm.common import prepare, remainder, steps, texts, thinned, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -154,20 +154,19 @@ def predict(network: Network | None, column: pa.Array) -> tuple[list[str], np.nd
     return names, np.where(letters, np.minimum(mean.max(axis=1), 1.0), 1.0)
 
 
-def learn(docs: DataFrame, training: Column, *, texts_each: int = 800, most_languages: int = 200, windows_each: int = 3) -> Network | None:
-    """Train on a bounded sample: about `texts_each` texts of each of the `most_languages` commonest languages.
+def learn(docs: DataFrame, training: Column, *, texts_each: int = 800, most_texts: int = 40_000, windows_each: int = 3) -> Network | None:
+    """Train on a bounded sample: about `texts_each` texts of every language, fewer where languages are so many that
+    they would be over `most_texts` together.
 
-    The sample depends on doc_id alone; at most twice the wanted number of rows is ever fetched,
-    and of each text `windows_each` windows at places spread over it.
+    The sample depends on ids and texts alone; of each text it takes `windows_each` windows at places dealt over it.
     """
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, texts_each / counts[name]))).otherwise(share)
+    wanted = min(texts_each, most_texts / len(languages))
+    share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, wanted / counts[name]))))[F.col("lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +177,8 @@ def learn(docs: DataFrame, training: Column, *, texts_each: int = 800, most_lang
                 take = (nth * windows_each) // number[owner] != ((nth - 1) * windows_each) // number[owner]
                 yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(owner[take])), pa.array([w.tobytes() for w in windows[take]], pa.binary())], ["lang", "window"])
 
-    sample = rows.where(spread("doc_id", "langid") < share).select("lang", "text").mapInArrow(run, "lang string, window binary")
-    got = sample.limit(2 * texts_each * len(languages) * windows_each).toArrow()
+    sample = thinned(rows.select("doc_id", "lang", "text"), share, int(wanted * len(languages)) + 1, "langid")
+    got = sample.select("lang", "text").mapInArrow(run, "lang string, window binary").toArrow()
     if not got.num_rows:
         return None
     index = {name: i for i, name in enumerate(languages)}

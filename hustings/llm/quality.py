@@ -6,8 +6,8 @@ child and value, so that a batch of texts walks all trees with array indexing al
 
 Defined cases: a null text is empty; an empty text has zero statistics and is scored like any
 other; without rows of both labels every score is the mean label (0.5 without any); rows without
-a label are not learned from, repeated label rows weigh as often as they come; equal texts have
-equal scores; other columns are ignored.
+a label are not learned from; where an id has several label rows their mean is its label; equal
+texts have equal scores; very long texts count whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import prepare, remainder, spread, steps, utf8
+from hustings.llm.common import prepare, remainder, steps, thinned, utf8
 from hustings.llm.wordhash import hashes, lowered, rolling, spans
 
 STATISTICS = (
@@ -182,11 +182,15 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, bins:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", *, most_rows: int = 12000) -> Forest:
     """Fit on a sample of about `most_rows` labelled rows outside the held-out fold (crc32 remainder 0 of 5).
 
-    The sample depends on doc_id alone; only statistics reach the driver, twice `most_rows` rows at most.
+    The sample depends on ids and texts alone; only statistics reach the driver. The sampled labels, about `most_rows`
+    pairs of an id and a number, are broadcast, so that no text is shuffled to find its label.
     """
-    known = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", F.col(label).cast("double").alias("y"))
-    n = known.count()
-    sample = known.where(spread("doc_id", "quality") < min(1.0, most_rows / max(n, 1)))
+    spark = prepare(docs.sparkSession)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    share = min(1.0, most_rows / max(known.count(), 1))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30) < share)
+    rows = thinned(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"), F.lit(1.0), most_rows, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", *, most_ro
                 rows = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").where(spread("doc_id", "quality") < min(1.0, most_rows / max(n, 1))).join(sample, "doc_id")
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x array<double>").limit(2 * most_rows).toArrow()
+    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x array<double>").toArrow()
     found = sorted(zip(got.column("doc_id").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist()))
     x = np.array([r[2] for r in found], float).reshape(-1, len(STATISTICS))
     return grow(x, np.array([r[1] for r in found], float))
