@@ -64,10 +64,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, which depends on its bytes alone."""
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """What `hashes` needs of the bytes; for several calls on the same ones it is made once."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=sums[1:], dtype=np.uint64)
+    return sums
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, which depends on its bytes alone."""
+    sums = running_sums(data) if sums is None else sums
     return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts])
 
 
