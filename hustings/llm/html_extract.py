@@ -8,10 +8,13 @@ the share of its text that stands in links. The best container is kept, with all
 that are not boilerplate or mostly links, whatever their element and length; menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are never part of it.
 
+Every pass over the tree takes time in proportion to the page, however deep its elements nest.
+
 Defined cases: a null or blank page, and one without text outside boilerplate, gives the empty
 text; an unclosed element ends with its parent, and a paragraph with the next block; a cut-off
 tag at the end is dropped; equal pages give equal texts; on equal scores the first container
-wins; other columns are ignored.
+wins; rows that repeat a page_id, and null ids and urls, come back as they are; very long pages are
+parsed whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,18 +53,23 @@ NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 #: What a start tag closes if it is open in the same block.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_PARAGRAPH = BLOCK - {"br", "option", "legend"}
+#: Where the content of each raw element ends.
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 #: A paragraph gives points from this length; a sibling stays below this share of links.
 LEAST_POINTS, MOST_LINKS = 25, 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "negative", "order", "blocks", "chars", "link_chars", "scored")
+    __slots__ = ("tag", "parent", "children", "score", "negative", "order", "chars", "link_chars", "commas", "holder", "article")
 
     def __init__(self, tag: str, parent: Node | None, order: int, score: float = 0.0, negative: bool = False) -> None:
         self.tag, self.parent, self.order, self.score, self.negative = tag, parent, order, score, negative
         self.children: list[Node | str] = []
-        self.chars = self.link_chars = 0
-        self.scored = False
+        self.chars = self.link_chars = self.commas = 0
+        up = parent
+        # nearest container at or above this element, and outermost article or main above it
+        self.holder: Node | None = self if tag in CONTAINERS or tag in ("#root", "html") else up.holder if up else None
+        self.article: Node | None = None if up is None or up.tag in ("#root", "html", "body") else up.article or (up if up.tag in ("article", "main") else None)
 
 
 def _named(tag: str, attributes: str) -> tuple[float, bool]:
@@ -83,11 +91,58 @@ def _named(tag: str, attributes: str) -> tuple[float, bool]:
     return score, negative
 
 
+#: End tags do not reach out of these, but for end tags of the page's own frame.
+WALLS, THROUGH = frozenset(("article", "main", "body", "td")), frozenset(("body", "html", "article", "main", "table"))
+
+
+class _Open:
+    """The open elements of a page, innermost last, with the places of each tag, of walls and of blocks among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.blocks: list[int] = []
+        self.ends: list[int] = []  # elements that end a paragraph
+
+    def push(self, node: Node) -> None:
+        at = len(self.path)
+        self.path.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in WALLS:
+            self.walls.append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+        if node.tag in ENDS_PARAGRAPH:
+            self.ends.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all within; each element is closed once."""
+        while len(self.path) > at:
+            tag = self.path.pop().tag
+            self.places[tag].pop()
+            for kept in (self.walls, self.blocks, self.ends):
+                if kept and kept[-1] >= len(self.path):
+                    kept.pop()
+
+    def close(self, tag: str) -> bool:
+        """Whether an end tag finds an element that it may close."""
+        at = self.places.get(tag)
+        if not at:
+            return False
+        if tag not in THROUGH and self.walls and self.walls[-1] > at[-1]:
+            return False
+        self.cut(at[-1])
+        return True
+
+
 def parse(html: str) -> Node:
     """The page as a tree of elements; text of raw elements and comments is left out."""
     root = Node("#root", None, 0)
-    node, order, at, end = root, 0, 0, len(html)
+    open_ = _Open(root)
+    order, at, end = 0, 0, len(html)
     while at < end:
+        node = open_.path[-1]
         m = TAG.search(html, at)
         stop = m.start() if m else end
         if stop > at:
@@ -100,44 +155,30 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up: Node | None = node
-            while up is not root and up.tag != tag:
-                if up.tag in ("article", "main", "body", "td") and tag not in ("body", "html", "article", "main", "table"):
-                    up = root  # an end tag does not reach out of these
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            elif tag == "p":
+            if not open_.close(tag) and tag == "p":
                 node.children.append(Node("br", node, order))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
+            close = RAW_ENDS[tag].search(html, at)
             at = close.end() if close else end
             continue
-        if tag in ENDS_PARAGRAPH:
-            up = node
-            while up is not root and up.tag not in ENDS_PARAGRAPH:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in ENDS_PARAGRAPH and open_.ends and open_.path[open_.ends[-1]].tag == "p":
+            open_.cut(open_.ends[-1])
         if tag in CLOSES:
-            up = node
-            while up is not root and up.tag not in BLOCK:
-                up = up.parent
-            while up.tag in CLOSES[tag]:
-                up = node = up.parent
+            while open_.blocks and open_.path[open_.blocks[-1]].tag in CLOSES[tag]:
+                open_.cut(open_.blocks[-1])
         order += 1
         score, negative = _named(tag, m[3])
+        node = open_.path[-1]
         child = Node(tag, node, order, score, negative or tag in BOILERPLATE)
         node.children.append(child)
         if tag not in VOID and not m[3].endswith("/") and not m[4]:
-            node = child
+            open_.push(child)
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Lengths of text and link text of every element outside boilerplate; elements in page order."""
+    """Lengths of text and link text, and commas, of every element outside boilerplate; elements in page order."""
     out: list[Node] = []
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while stack:
@@ -148,9 +189,11 @@ def _measure(root: Node) -> list[Node]:
                     n = len(" ".join(unescape(c).split()))
                     node.chars += n
                     node.link_chars += n if linked else 0
+                    node.commas += c.count(",")
                 elif not c.negative:
                     node.chars += c.chars
                     node.link_chars += c.link_chars
+                    node.commas += c.commas
             continue
         out.append(node)
         linked = linked or node.tag == "a"
@@ -163,21 +206,6 @@ def _density(node: Node) -> float:
     return node.link_chars / node.chars if node.chars else 0.0
 
 
-def _commas(node: Node) -> int:
-    return sum(c.count(",") if isinstance(c, str) else 0 if c.negative else _commas_flat(c) for c in node.children)
-
-
-def _commas_flat(node: Node) -> int:
-    total, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                total += c.count(",")
-            elif not c.negative:
-                stack.append(c)
-    return total
-
-
 def best_container(nodes: list[Node]) -> Node | None:
     """Paragraphs pass points to parent and grandparent; containers are compared after the discount for links."""
     candidates: dict[int, Node] = {}
@@ -186,14 +214,12 @@ def best_container(nodes: list[Node]) -> Node | None:
         paragraph = node.tag in ("p", "pre", "td", "blockquote", "li") or node.tag in CONTAINERS and own >= LEAST_POINTS
         if not paragraph or node.chars < LEAST_POINTS:
             continue
-        points = 1 + _commas(node) + min(node.chars // 100, 3)
+        points = 1 + node.commas + min(node.chars // 100, 3)
         targets = [node, node.parent] if node.tag in CONTAINERS and own >= LEAST_POINTS else [node.parent, node.parent.parent if node.parent else None]
         for target, share in zip(targets, (1.0, 0.5)):
-            while target is not None and target.tag not in CONTAINERS and target.tag not in ("#root", "html"):
-                target = target.parent
+            target = target and target.holder
             if target is not None:
                 target.score += points * share
-                target.scored = True
                 candidates[id(target)] = target
     if not candidates:
         return None
@@ -237,11 +263,7 @@ def extract(html: str | None) -> str:
     if best is None:  # no paragraph of any length: whatever an article or the page holds
         named = [n for n in nodes if n.tag in ("article", "main", "body")]
         return " ".join(blocks([named[-1] if named and named[-1].chars else root]))
-    up = best.parent
-    while up is not None and up.tag not in ("#root", "html", "body"):  # an article around the best container is taken whole
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
+    best = best.article or best  # an article around the best container is taken whole
     keep = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
         keep = [c for c in best.parent.children if c is best or isinstance(c, str) or not c.negative and _density(c) < MOST_LINKS]

@@ -54,6 +54,23 @@ def test_filters_pass_columns_through(spark, docs):
     assert groups == {1, 4, 5, None}  # the blank texts are one group, and rows without an id stay
 
 
-def test_empty_pages(spark):
+def test_odd_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_pages(pages).count() == 0
+    long = "<article>" + "<p>Words, of a paragraph that goes on.</p>" * 50_000 + "</article>"
+    rows = [(1, "u", None, "a", 3), (1, None, "<p>one, of some length to count here", None, 4), (1, None, "<p>one, of some length to count here", None, 4), (None, "v", long, "t", None), (2, "", "", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, html_extract.extract_pages(pages).collect()), key=repr)
+    one = "one, of some length to count here"
+    whole = " ".join(["Words, of a paragraph that goes on."] * 50_000)
+    assert got == sorted([(1, "u", "", 0), (1, None, one, len(one)), (1, None, one, len(one)), (None, "v", whole, len(whole)), (2, "", "", 0)], key=repr)
+
+
+@pytest.mark.parametrize("name", ["op2", "op5", "op6", "op7", "op8", "op9", "op10", "op1"])
+def test_texts_of_megabytes(spark, name):
+    """One text of 6 MB and one word of 1 MB, whole."""
+    rows = [(1, "some words of a very long text " * 200_000), (2, "x7" * 500_000), (3, "short")]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    run = {n: f for n, f, _ in operators(spark, many.selectExpr("doc_id", "text", "'en' as lang", "1L as n_chars"))}[name]
+    found = run().collect()
+    assert {r.doc_id for r in found} == ({1} if name == "op9" else {1, 2, 3} if name != "op5" else set())

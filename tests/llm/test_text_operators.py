@@ -47,8 +47,9 @@ def test_bpe_equals_library(reference_bpe):
 def test_bpe_round_trip_and_digests(spark, reference_bpe):
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in odd_rows()], "doc_id long, text string, ids string, n_tokens int")
     encoded = bpe.encode(docs)
+    ranks = bpe.load(bpe.default_path())
     for row in encoded.collect():
-        assert len(row.ids) == len(row.offsets)
+        assert row.offsets == [sum(len(ranks.bytes[i]) for i in row.ids[:k]) for k in range(len(row.ids))]
     back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(encoded).collect()}
     for i, t in odd_rows():
         assert back[i] == (t or "").encode()
@@ -61,6 +62,29 @@ def test_bpe_round_trip_and_digests(spark, reference_bpe):
     assert bpe.digests(docs.limit(0)).count() == 0
 
 
+def test_bpe_of_long_pieces(reference_bpe):
+    rng, tokenizer = random.Random(9), bpe.load(bpe.default_path())
+    for letters in ("ab", "the and", "ACGT", "é日😀", "=-"):
+        text = "".join(rng.choice(letters.replace(" ", "")) for _ in range(3000))
+        assert tokenizer.encode([text])[0].tolist() == reference_bpe.encode_ordinary(text)
+    million = "".join(rng.choice("acgt") for _ in range(1 << 20))
+    ids, _ = tokenizer.encode([million])
+    assert tokenizer.decode(ids.tolist()) == million.encode()
+
+
+def test_piece_starts_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    symbols = rng.integers(0, 8, 5000).astype(np.uint8)
+    want, state = [], 0
+    for i, c in enumerate(symbols):
+        if bpe.STARTS[c, state]:
+            want.append(i)
+        state = bpe.NEXT[c, state]
+    for block in (1, 7, 2048):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        assert bpe.piece_starts(symbols).tolist() == want
+
+
 # SimHash -------------------------------------------------------------------------------------------
 
 
@@ -108,6 +132,46 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_simhash_with_repeated_and_missing_ids(spark):
+    rng = random.Random(80)
+    base = prose(rng, 300).split()
+    near = [list(base) for _ in range(6)]
+    for k in range(1, 6):  # a chain: each differs from the last in one more word
+        near[k] = list(near[k - 1])
+        near[k][40 * k] = "changed"
+    chain = [" ".join(w) for w in near]
+    other = [prose(rng, 200) for _ in range(4)]
+    rows = [(3, chain[0]), (None, chain[1]), (9, chain[2]), (9, other[0]), (9, other[1]), (9, other[0]), (None, chain[3]), (7, chain[4]), (None, other[2]), (None, other[2]), (4, other[3])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    order = lambda rows: sorted(rows, key=repr)
+    label = {}
+    plain = [(i, plain_fingerprint(t)) for i, t in rows]
+    for k in range(len(rows)):
+        label[k] = k
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if (plain[a][1] ^ plain[b][1]).bit_count() <= 2:
+                label[a] = label[b] = min(label[a], label[b])
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(label[k], []).append(i)
+    low = lambda k: min((i for i in ids[label[k]] if i is not None), default=None)
+    assert order((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got.collect()) == order((i, plain[k][1], low(k)) for k, (i, _) in enumerate(rows))
+    kept = simhash.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} >= {(9, other[0]), (9, other[1]), (4, other[3]), (3, chain[0])}
+    assert sum(r.doc_id == 9 and r.text == other[0] for r in kept) == 1
+
+
+@pytest.mark.parametrize("shift", [1, 5])
+def test_packed_buckets_equal_brute_force(shift, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(simhash, "PACKED", 3)
+    key = np.sort(rng.integers(0, 300, 1000))
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)[key] ^ (np.uint64(1) << rng.integers(0, 64, 1000).astype(np.uint64))
+    want = [i for i in range(1000 - shift) if key[i] == key[i + shift] and int(fps[i] ^ fps[i + shift]).bit_count() <= 1]
+    assert simhash.packed_pairs(key, fps, 1, shift).tolist() == want
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_bit_sliced_stars(radius):
     rng = np.random.default_rng(1)
@@ -186,6 +250,13 @@ def test_extract(html, text):
     assert html_extract.extract(html) == text
 
 
+def test_deeply_nested_pages_take_linear_time():
+    n = 100_000
+    assert html_extract.extract("<div>" * n + "<p>Text, of some length to be counted here.</p>").endswith("counted here.")
+    assert len(html_extract.extract("<div>some text, long enough to be a paragraph" * n + "</p>" * n)) > n
+    assert html_extract.extract("<p><b>" * n + "x" + "</i>" * n) == "x"
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "a"), (2, None, "<p>Text, of the page" * 3, "b"), (2, None, "<p>Text, of the page" * 3, "b")], "page_id long, url string, html string, text string")
     rows = html_extract.extract_pages(pages).collect()
