@@ -39,9 +39,9 @@ from hustings.llm.wordhash import PUNCTUATED, hashes, lowered, mixed, running_su
 
 NEIGHBOURS = 15
 #: Examples to a block of the index.
-BLOCK = 128
+BLOCK = 256
 #: Terms of at least this share of the examples have dense postings: a weight for every example.
-FREQUENT = 0.08
+FREQUENT = 0.04
 #: Bytes of the word beginnings that are terms besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: What the prior weighs against the neighbours' similarities.
@@ -197,7 +197,7 @@ class Index:
         entry = np.searchsorted(term[head], np.arange(terms + 2))
         matrix = np.ascontiguousarray(matrix.reshape(len(often), blocks, BLOCK).transpose(1, 0, 2))
         top = matrix.max(axis=2).T if n else np.zeros((len(often), 0), np.float32)
-        return Index(doc_ids[by], labels[by], blocks, entry, (at[head] // BLOCK).astype(np.int32), largest, np.append(head, len(term)), (at % BLOCK).astype(np.int16), value, frequent, matrix, top)
+        return Index(doc_ids[by], labels[by], blocks, entry, (at[head] // BLOCK).astype(np.int16 if blocks < 1 << 15 else np.int32), largest, np.append(head, len(term)), (at % BLOCK).astype(np.int16), value, frequent, matrix, top)
 
     def nearest(self, queries: Sparse, k: int = NEIGHBOURS, besides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k largest cosines of each query and the examples that have them; 0 and -1 where there are no more.
@@ -363,7 +363,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarr
     return int(n[term < 0].sum()), df
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each: int = 1500) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_each: int = 1200) -> Model:
     """Fit on a sample of about `most_each` examples of each label outside the held-out fold (crc32 remainder 0 of 5).
 
     Document frequencies cover all documents. The driver gets the sparse term counts of the sampled examples, which
