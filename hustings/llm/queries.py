@@ -28,8 +28,8 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.digest("fingerprint").alias("fingerprint"),
-        fingerprints.digest("edited_fingerprint").alias("edited_fingerprint"),
+        fingerprints.written("fingerprint").alias("fingerprint"),
+        fingerprints.written("edited_fingerprint").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

@@ -203,7 +203,8 @@ def plain_winnow(text, k=fingerprints.GRAM, w=fingerprints.WINDOW):
     raw = text.encode()
     if not raw:
         return []
-    h = [xxhash.xxh64_intdigest(raw[i : i + k], 42) & (1 << 31) - 1 for i in range(max(1, len(raw) - k + 1))]
+    digit = lambda part: xxhash.xxh64_intdigest(part, 42) & (1 << 31) - 1
+    h = [(digit(raw[i : i + k // 2]) * fingerprints.BASE + digit(raw[i + k // 2 : i + k])) % fingerprints.PRIME for i in range(len(raw) - k + 1)] or [digit(raw) % fingerprints.PRIME]
     windows = [range(len(h))] if len(h) <= w else [range(i, i + w) for i in range(len(h) - w + 1)]
     out = {}
     for part in windows:
@@ -212,21 +213,55 @@ def plain_winnow(text, k=fingerprints.GRAM, w=fingerprints.WINDOW):
     return [(v, p) for p, v in out.items()]
 
 
-def test_fingerprints_equal_brute_force(spark):
-    rng = random.Random(2)
-    rows = [(i, prose(rng, rng.randrange(60))) for i in range(120, 420, 3)] + [(1, ""), (2, None), (3, "a" * 200), (4, "é" * 90), (5, ""), (None, "zz")]
-    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, key double")).collect()}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
-        t, after = t or "", after or ""
+def plain_edits(rows):
+    """(doc_id, n_chars, edited, both fingerprints, both likenesses), from rows in order."""
+    out = []
+    share = lambda a, b: len({v for v, _ in a} & {v for v, _ in b}) / len({v for v, _ in a + b}) if a or b else 1.0
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
-        assert got[i].edited == edited and got[i].n_chars == len(t)
-        assert [(p["hash"], p["position"]) for p in got[i].fingerprint] == plain_winnow(t)
-        assert [(p["hash"], p["position"]) for p in got[i].edited_fingerprint] == plain_winnow(edited)
+        own, new = plain_winnow(t), plain_winnow(edited)
+        out.append((i, len(t), edited, own, new, share(own, new), share(own, plain_winnow(after))))
+    return out
+
+
+def got_edits(spark, rows):
+    frame = spark.createDataFrame([(*r, 0.5, "x", 1) for r in rows], "doc_id long, text string, key double, bucket string, place int")
+    pairs = lambda f: [(p["hash"], p["position"]) for p in f]
+    return [(r.doc_id, r.n_chars, r.edited, pairs(r.fingerprint), pairs(r.edited_fingerprint), r.near_edited, r.near_next) for r in fingerprints.fingerprint_edits(frame).collect()]
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randrange(60))) for i in range(120, 420, 3)] + [(1, ""), (2, None), (3, "a" * 200), (4, "é" * 90), (5, ""), (6, "x" * 47), (7, "0123456789abcdef"), (8, prose(rng, 3000)), (None, "zz")]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted(got_edits(spark, rows), key=repr) == sorted(plain_edits(order), key=repr)
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_next_documents_of_a_hot_id(spark, monkeypatch):
+    """Half of all rows under one id: they are dealt over many ranges, and each row still sees the one after it."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 8)) for i in range(200)] + [(77, prose(rng, 9)) for _ in range(300)] + [(5, "same"), (5, "same"), (None, "a"), (None, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    place = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))
+    assert sorted(got_edits(spark, rows), key=repr) == sorted(plain_edits(order), key=repr)
+    dealt = fingerprints.with_next(frame).where("doc_id = 77 and not guard").groupBy("bucket").count().collect()
+    assert len(dealt) > 20 and max(r["count"] for r in dealt) < 60
+
+
+def test_fingerprint_of_a_text_of_many_megabytes(spark):
+    """24 MB in one row: arrays of a span at a time."""
+    text = "".join(f"{i} words and so on " for i in range(1_150_000))
+    row = fingerprints.with_fingerprint(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", "f").selectExpr("size(f) as n", "f[0] as first", "slice(f, -3, 3) as last").first()
+    assert row.n > len(text) / fingerprints.WINDOW
+    head, tail = plain_winnow(text[:20_000]), plain_winnow(text[-20_000:])
+    assert (row.first["hash"], row.first["position"]) == head[0]
+    assert [(p["hash"], p["position"] - len(text) + 20_000) for p in row.last] == tail[-3:]
+
+
 # HTML ----------------------------------------------------------------------------------------------
 
 
