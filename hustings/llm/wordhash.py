@@ -18,6 +18,10 @@ PUNCTUATED = WHITE.copy()
 PUNCTUATED[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
+#: First bytes of letters of scripts without spaces (kana and Han; Thai and Lao; Burmese and Khmer), with the second bytes that go with them.
+_EACH = {b: range(0x80, 0xC0) for b in range(0xE3, 0xEA)} | {0xE0: range(0xB8, 0xBC), 0xE1: (0x80, 0x81, 0x82, 0x9E, 0x9F)}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64; what an earlier call computed is used again."""
     have = _powers[int(base)]
@@ -64,6 +68,33 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def letters_alone(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Where letters of scripts without spaces start, and where what they part goes on; None if there are none."""
+    if not len(data) or not np.isin(data, list(_EACH)).any():
+        return None
+    lead = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] <= 0xE9)) if len(data) > 2 else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    own = np.zeros(len(lead), bool)
+    for first, seconds in _EACH.items():
+        own |= (data[lead] == first) & np.isin(second, list(seconds))
+    lead = lead[own & ~((data[lead] == 0xE3) & (second == 0x80))]  # not the punctuation before kana
+    return lead, lead + 3
+
+
+def spans_and_letters(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = PUNCTUATED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `spans`, but every letter of a script without spaces is a word of its own."""
+    found = letters_alone(data, breaks)
+    if found is None or not len(found[0]):
+        return spans(data, offsets, breaks)
+    starts, ends, _ = spans(data, offsets, breaks)
+    cuts = np.concatenate(found)
+    inside = cuts[(np.searchsorted(starts, cuts, "right") - 1 >= 0)]
+    at = np.searchsorted(starts, inside, "right") - 1
+    inside = np.unique(inside[(inside > starts[at]) & (inside < ends[at])])
+    starts, ends = np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def running_sums(data: np.ndarray) -> np.ndarray:
     """What `hashes` needs of the bytes; for several calls on the same ones it is made once."""
     sums = np.zeros(len(data) + 1, np.uint64)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -365,7 +366,7 @@ def test_keys_of_many_lines_are_masked_to_their_end(glue):
 
 def test_leaks_are_found_and_clean_documents_stay(spark):
     rng = random.Random(6)
-    items = [(i, prose(rng, 30)) for i in range(20)] + [(50, "too short"), (51, None)]
+    items = [(i, prose(rng, 30)) for i in range(20)] + [(50, "rather short"), (51, None), (None, prose(rng, 25))]
 
     def altered(text):
         words = text.split()
@@ -388,7 +389,35 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
-def test_seeds_miss_no_overlap_that_counts():
+def plain_leaks(texts, items):
+    """Every diagonal of every pair."""
+    out = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            need = -(-7 * len(item) // 10)
+            covered = np.zeros(len(item), bool)
+            for start in range(-len(item) + 1, len(text)):
+                a, b = max(0, start), min(len(text), start + len(item))
+                equal = text[a:b] == item[a - start : b - start]
+                if equal.sum() < 3:
+                    continue
+                x, y = (0, b - a) if equal.sum() >= need else decontaminate.best_overlap(equal)
+                if equal[x:y].sum() >= min(8, need):
+                    covered[a - start + x : a - start + y] |= equal[x:y]
+            if covered.sum() >= min(13, need):
+                out.add((d, k))
+    return out
+
+
+def leaks_of(texts, items):
+    index = decontaminate.build(list(enumerate(items)))
+    firsts = np.cumsum([0, *map(len, texts)])
+    return {(d, k) for d, k, *_ in decontaminate.overlaps(index, np.concatenate(texts), firsts, np.repeat(np.arange(len(texts)), np.diff(firsts)))}
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 50])
+def test_seeds_miss_no_overlap_that_counts(hits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
     rng = random.Random(15)
     vocabulary = [f"v{i}" for i in range(4000)]
     items = [[rng.choice(vocabulary) for _ in range(n)] for n in [*range(5, 20), 40, 57] for _ in range(12)]
@@ -398,25 +427,32 @@ def test_seeds_miss_no_overlap_that_counts():
         changed = [f"c{rng.randrange(10**6)}" if (p % 4 == 3 if k % 12 == 0 else rng.random() < share) else w for p, w in enumerate(item)]
         gap = rng.randrange(len(item)) if k % 3 == 0 else None
         texts.append(rng.choices(vocabulary, k=20) + changed[:gap] + (["in", "between"] + changed[gap:] if gap is not None else []) + rng.choices(vocabulary, k=20))
-    index = decontaminate.build([(k, decontaminate.item_words(" ".join(t))) for k, t in enumerate(items)])
-    words = [decontaminate.item_words(" ".join(t)) for t in texts]
-    firsts = np.cumsum([0, *map(len, words)])
-    got = {(d, k) for d, k, *_ in decontaminate.overlaps(index, np.concatenate(words), firsts, np.repeat(np.arange(len(texts)), np.diff(firsts)))}
-    want = set()
-    for d, text in enumerate(words):  # every diagonal of every pair
-        for k, item in enumerate(index.words):
-            covered = np.zeros(len(item), bool)
-            for start in range(-len(item) + 1, len(text)):
-                a, b = max(0, start), min(len(text), start + len(item))
-                equal = text[a:b] == item[a - start : b - start]
-                if equal.sum() < 3:
-                    continue
-                x, y = decontaminate.best_overlap(equal)
-                if equal[x:y].sum() >= min(8, 0.7 * len(item)):
-                    covered[a - start + x : a - start + y] |= equal[x:y]
-            if covered.sum() >= min(13, 0.7 * len(item)):
-                want.add((d, k))
-    assert got == want and len(want) > 100
+    items, texts = ([decontaminate.item_words(" ".join(t)) for t in x] for x in (items, texts))
+    want = plain_leaks(texts, items)
+    assert leaks_of(texts, items) == want and len(want) > 100
+
+
+def test_every_substitution_within_the_share_is_survived():
+    """Items of 5 to 17 words with every choice of one place, and random choices of as many as the rule lets pass, replaced."""
+    rng = random.Random(16)
+    for n in range(5, 18):
+        item = [f"i{n}w{k}" for k in range(n)]
+        most = n - -(-7 * n // 10)
+        places = [{k} for k in range(n)] + [set(rng.sample(range(n), most)) for _ in range(30)]
+        texts = [["before", "it", *("other" if k in gone else w for k, w in enumerate(item)), "after", "it"] for gone in places if len(gone) <= most]
+        words = [decontaminate.item_words(" ".join(t)) for t in texts]
+        assert len(leaks_of(words, [decontaminate.item_words(" ".join(item))])) == len(words), n
+
+
+def test_leaks_of_one_repeated_word_and_of_short_items():
+    began = time.time()
+    words = lambda t: decontaminate.item_words(t)
+    assert leaks_of([words("word " * 30_000), words("other " * 50)], [words("word " * 400), words("a b " * 200)]) == {(0, 0)}
+    assert time.time() - began < 60
+    assert leaks_of([words("Yes, no."), words("it is yes no"), words("maybe")], [words("yes no"), words("maybe"), words("")]) == {(0, 0), (2, 1)}
+    item = "今日の天気はとても良いです"
+    assert leaks_of([words(f"はい。{item}ね"), words("明日の天気は悪い")], [words(item)]) == {(0, 0)}
+    assert words("ab今日cd。e").tolist() == np.concatenate([words(w) for w in ("ab", "今", "日", "cd。e")]).tolist()
 
 
 # repeated passages ---------------------------------------------------------------------------------
