@@ -458,28 +458,70 @@ def test_leaks_of_one_repeated_word_and_of_short_items():
 # repeated passages ---------------------------------------------------------------------------------
 
 
+def plain_repeats(rows, least=50):
+    """For each row with a repeated passage: id, class, copies, spans; from every window of every distinct text."""
+    words = [(t or "").lower().split() for _, t in rows]
+    places = {}
+    for w in {tuple(w) for w in words}:
+        for a in range(len(w) - least + 1):
+            places.setdefault(w[a : a + least], set()).add((w, a))
+    marks = {}
+    for found in places.values():
+        if len(found) > 1:
+            for w, a in found:
+                marks.setdefault(w, set()).add(a)
+    out = []
+    for (i, _), w in zip(rows, map(tuple, words)):
+        same = [j for (j, _), x in zip(rows, words) if tuple(x) == w]
+        if len(w) < least or len(same) == 1 and w not in marks:
+            continue
+        runs = []
+        for a in sorted(marks.get(w, ())):
+            runs = runs[:-1] + [(runs[-1][0], a)] if runs and a == runs[-1][1] + 1 else [*runs, (a, a)]
+        spans = [(0, len(w))] if len(same) > 1 else [(a, b - a + least) for a, b in runs]
+        out.append((i, min((j for j in same if j is not None), default=None), len(same), spans))
+    return sorted(out, key=repr)
+
+
+def got_repeats(spark, rows):
+    frame = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, spans string, whole int")
+    return sorted(((r.doc_id, r.class_id, r.copies, [(s.first_word, s.n_words) for s in r.spans]) for r in suffix_dedup.repeats(frame).collect()), key=repr)
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(12)
     fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
     shared, short = fresh(70), fresh(40)
     texts = [fresh(60) + shared + fresh(9), fresh(3) + shared[:55] + fresh(100), fresh(80), short + fresh(100), fresh(30) + short, fresh(120)]
     texts += [texts[5], texts[5][:90] + fresh(20), fresh(20), fresh(10) + shared[15:] + shared[15:]]
+    # what one partner shares to the left and another to the right of the same words
+    core = fresh(30)
+    left, right = fresh(20), fresh(20)
+    texts += [fresh(5) + left + core + right + fresh(5)] + [fresh(9) + left[20 - n :] + core + right[: 20 - n] + fresh(9) for n in range(21)]
     rows = [(10 * i + 3, " ".join(t)) for i, t in enumerate(texts)] + [(500, None), (501, "")]
-    got = {r.doc_id: [(s.first_word, s.n_words) for s in r.spans] for r in suffix_dedup.repeats(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, spans string")).collect()}
-    seen = {}
-    for i, t in rows:
-        w = (t or "").split()
-        for a in range(len(w) - 49):
-            seen.setdefault(tuple(w[a : a + 50]), []).append((i, a))
-    want = {}
-    for places in seen.values():
-        if len(places) > 1:
-            for i, a in places:
-                want.setdefault(i, set()).add(a)
-    for i, at in want.items():
-        runs = []
-        for a in sorted(at):
-            runs = runs[:-1] + [(runs[-1][0], a)] if runs and a == runs[-1][1] + 1 else [*runs, (a, a)]
-        assert got[i] == [(a, b - a + 50) for a, b in runs]
-    assert set(got) == set(want)
+    want = plain_repeats(rows)
+    assert got_repeats(spark, rows) == want and len(want) > 20
     assert suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeats_with_repeated_and_missing_ids(spark):
+    rng = random.Random(13)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    shared, other = fresh(70), fresh(60)
+    a, b = f"{shared} {fresh(30)}", f"{shared} {fresh(130)} {shared}"
+    rows = [(5, a), (5, b), (None, f"{fresh(20)} {other}"), (7, f"{other} {fresh(50)}"), (8, fresh(90)), (5, a.upper()), (None, b), (9, fresh(20)), (None, f"{other}"), (None, f"{other}"), (6, fresh(99))]
+    rows += [(6, rows[-1][1])] * 3
+    assert got_repeats(spark, rows) == plain_repeats(rows)
+
+
+def test_a_hot_passage_across_many_ranges(spark):
+    """One line in all texts: equal suffixes lie in many ranges, and seams lose none."""
+    rng = random.Random(14)
+    line = " ".join(f"l{i}" for i in range(55))
+    rows = [(i, " ".join([*(f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(30))), line, *(f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(30)))])) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert got_repeats(spark, rows) == plain_repeats(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
