@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hustings.llm import bpe, decontaminate, fingerprints, html_extract, langid, quality, secret_scan, simhash, suffix_dedup, toxicity
 from hustings.llm.common import remainder, table
+from hustings.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +60,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["first_word"], x["n_words"])), ",")
+    return found.withColumn("spans", spans)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +81,3 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-
-#: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
