@@ -31,9 +31,12 @@ def assignments(c: Catalog) -> DataFrame:
     rest = known.where("n_registry is null")
     people = registry.select("last", F.col("first").alias("candidate")).distinct()
     scored = rest.join(people, "last").withColumn("score", string_ratio("first", "candidate"))
-    top = scored.groupBy("canonical_name").agg(F.max(F.struct("score", F.col("candidate"))).alias("best"))
-    ties = scored.join(top.select("canonical_name", F.col("best.score").alias("best_score")), "canonical_name").where(F.col("score") >= F.col("best_score") - c.config.ambiguous_gap).groupBy("canonical_name").agg(F.count(F.lit(1)).alias("n_close"))
-    df = known.join(top, "canonical_name", "left").join(ties, "canonical_name", "left")
+    # scored once: candidates of equal score are counted before they meet, and a name has few different scores
+    levels = scored.groupBy("canonical_name", "score").agg(F.count(F.lit(1)).alias("n"), F.max("candidate").alias("candidate"))
+    top = levels.groupBy("canonical_name").agg(F.max(F.struct("score", "candidate")).alias("best"), F.collect_list(F.struct("score", "n")).alias("levels"))
+    close = F.filter("levels", lambda x: x["score"] >= F.col("best.score") - c.config.ambiguous_gap)
+    top = top.select("canonical_name", "best", F.aggregate(close, F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("n_close"))
+    df = known.join(top, "canonical_name", "left")
     s = F.col("best.score")
     strong, weak = c.config.strong_score, c.config.weak_score
     ambiguous = F.coalesce(F.col("n_close") > 1, F.lit(False)) & (s >= weak)

@@ -451,7 +451,7 @@ ORACLES["ch5_rolling_pro_rate"] = rounded(
     "rolling_pro_rate",
 )
 
-# registry linkage: exact tiers and what follows from them, without the string scores
+# registry linkage
 REGISTRY = f"""{RECORDS}, people AS (SELECT DISTINCT upper(split_part(p_name, ' ', 2) || CAST(p_partkey % 25 AS VARCHAR)) AS last, upper(split_part(p_name, ' ', 1)) AS first FROM part WHERE p_size % 2 = 0)"""
 ORACLES["vr9_exact_by_position"] = rounded(
     REGISTRY,
@@ -459,6 +459,130 @@ ORACLES["vr9_exact_by_position"] = rounded(
     "exact_rate",
 )
 
+
+
+def indel(a: str, b: str) -> str:
+    """Percent of the letters of both texts that are in a longest common subsequence, row by row."""
+    zeros = f"list_transform(range(0, length({b}) + 1), lambda z: 0::BIGINT)"
+    cell = f"CASE WHEN substr({b}, j, 1) = ch THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END"
+    line = f"list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, {cell}), [0::BIGINT])"
+    common = f"list_reduce(string_split({a}, ''), lambda prev, ch: {line}, {zeros})[length({b}) + 1]"
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * {common} / (length({a}) + length({b})) END"
+
+
+def between(score: str, low: float, high: float, out_low: float, out_high: float) -> str:
+    share = f"least(greatest(({score} - {low}::DOUBLE) / {high - low}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)"
+    return f"({out_low}::DOUBLE + {share} * {out_high - out_low}::DOUBLE)"
+
+
+STRONG, WEAK, GAP = 92.0, 84.0, 2.0
+TIERS = ("exact", "strong_fuzzy", "weak_fuzzy", "unmatched")
+LINKAGE = f"""{REGISTRY},
+persons AS (SELECT canonical_name, min(last) AS last, min(first) AS first FROM sub WHERE canonical_name <> '|' GROUP BY 1),
+known AS (SELECT persons.*, EXISTS (SELECT 1 FROM people p WHERE p.last || '|' || p.first = canonical_name) AS is_exact FROM persons),
+pairs AS MATERIALIZED (SELECT DISTINCT known.first AS a, people.first AS b FROM known JOIN people USING (last) WHERE NOT is_exact),
+ratios AS MATERIALIZED (SELECT a, b, {indel('a', 'b')} AS score FROM pairs),
+scored AS (SELECT canonical_name, b AS candidate, score FROM known JOIN people USING (last) JOIN ratios ON a = known.first AND b = people.first WHERE NOT is_exact),
+ranked AS (SELECT *, max(score) OVER (PARTITION BY canonical_name) AS top, row_number() OVER (PARTITION BY canonical_name ORDER BY score DESC, candidate DESC) AS rn FROM scored),
+best AS (SELECT canonical_name, max(top) AS s, max(candidate) FILTER (rn = 1) AS candidate, count(*) FILTER (score >= top - {GAP}) AS n_close FROM ranked GROUP BY 1),
+judged AS (SELECT *, coalesce(n_close > 1 AND s >= {WEAK}, FALSE) AS ambiguous FROM known LEFT JOIN best USING (canonical_name)),
+assigned AS (
+  SELECT canonical_name, last,
+    CASE WHEN is_exact THEN 'exact' WHEN s >= {STRONG} AND NOT ambiguous THEN 'strong_fuzzy' WHEN s >= {WEAK} THEN 'weak_fuzzy' ELSE 'unmatched' END AS match_tier,
+    CASE WHEN is_exact THEN 1.0::DOUBLE WHEN s >= {STRONG} AND NOT ambiguous THEN {between('s', STRONG, 100.0, 0.80, 0.95)} WHEN s >= {STRONG} THEN least(0.78::DOUBLE, {between('s', STRONG, 100.0, 0.80, 0.95)})
+      WHEN s >= {WEAK} THEN least(0.78::DOUBLE, {between('s', WEAK, STRONG, 0.55, 0.79)}) ELSE 0.0::DOUBLE END AS match_confidence,
+    CASE WHEN is_exact THEN canonical_name WHEN s >= {WEAK} THEN last || '|' || candidate END AS matched_name,
+    CASE WHEN is_exact THEN '' WHEN s IS NULL THEN 'no_last_name_candidates' WHEN ambiguous THEN 'ambiguous_candidates' WHEN s < {WEAK} THEN 'below_threshold' ELSE 'fuzzy_match' END AS caveat
+  FROM judged),
+linked AS (
+  SELECT minute, pos, canonical_name, n, coalesce(match_tier, 'unmatched') AS match_tier, coalesce(match_confidence, 0.0::DOUBLE) AS match_confidence, caveat, matched_name
+  FROM (SELECT minute, pos, canonical_name, count(*) AS n FROM sub GROUP BY ALL) LEFT JOIN assigned USING (canonical_name))"""
+ORACLES["vr0_assignments"] = rounded(LINKAGE, "SELECT * FROM assigned", "match_confidence")
+TIER_SUMS = ", ".join([f"{total('n')} AS n_total", "CAST(coalesce(sum(n) FILTER (match_tier <> 'unmatched'), 0) AS BIGINT) AS n_matches", *(f"CAST(coalesce(sum(n) FILTER (match_tier = '{t}'), 0) AS BIGINT) AS n_{t}" for t in TIERS), "sum(n * match_confidence) AS expected_matches"])
+MATCH_RATES = f"{ratio('n_matches', 'n_total')} AS match_rate, {ratio('expected_matches', 'n_total')} AS expected_match_rate, n_total < 30 AS is_low_power, {wilson('n_matches', 'n_total', 'match_rate')}"
+MATCH_DOUBLES = "expected_matches match_rate expected_match_rate match_rate_wilson_low match_rate_wilson_high match_rate_wilson_half_width"
+TWO_SIZES = SIZES.format("30, 240")
+ORACLES["vr1_match_overview"] = rounded(
+    LINKAGE,
+    f"SELECT *, {MATCH_RATES}, (SELECT count(*) FROM assigned) AS n_unique_names, (SELECT count(*) FROM assigned WHERE match_tier <> 'unmatched') AS n_unique_matched, (SELECT count(*) FROM people) AS registry_rows FROM (SELECT {TIER_SUMS} FROM linked)",
+    MATCH_DOUBLES,
+)
+ORACLES["vr2_match_by_position"] = rounded(LINKAGE, f"SELECT *, {MATCH_RATES} FROM (SELECT pos AS position_normalized, {TIER_SUMS} FROM linked GROUP BY 1)", MATCH_DOUBLES)
+STANCES = ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (pos = '{s}'), 0) AS BIGINT) AS n_total_{s.lower()}, CAST(coalesce(sum(n) FILTER (pos = '{s}' AND match_tier <> 'unmatched'), 0) AS BIGINT) AS n_matches_{s.lower()}" for s in ("Pro", "Con")
+)
+ORACLES["vr3_match_by_bucket"] = rounded(
+    f"{LINKAGE}, {TWO_SIZES}",
+    f"SELECT *, {MATCH_RATES}, {ratio('n_matches_pro', 'n_total_pro')} AS match_rate_pro, {ratio('n_matches_con', 'n_total_con')} AS match_rate_con FROM (SELECT bucket_minutes, {floor_to('minute')} AS bucket_start, {TIER_SUMS}, {STANCES} FROM linked, sizes GROUP BY 1, 2)",
+    f"{MATCH_DOUBLES} match_rate_pro match_rate_con",
+)
+ORACLES["vr4_match_by_bucket_position"] = rounded(
+    f"{LINKAGE}, {TWO_SIZES}", f"SELECT *, {MATCH_RATES} FROM (SELECT bucket_minutes, {floor_to('minute')} AS bucket_start, pos AS position_normalized, {TIER_SUMS} FROM linked, sizes GROUP BY 1, 2, 3)", MATCH_DOUBLES
+)
+NAME_TIERS = f"{LINKAGE}, tiers AS (SELECT canonical_name, match_tier, match_confidence, matched_name, caveat, {total('n')} AS n FROM linked GROUP BY ALL)"
+ORACLES["vr5_matched_names"] = rounded(NAME_TIERS, "SELECT * FROM tiers WHERE match_tier <> 'unmatched' ORDER BY n DESC, canonical_name LIMIT 500", "match_confidence")
+ORACLES["vr6_unmatched_names"] = rounded(NAME_TIERS, "SELECT canonical_name, n, caveat FROM tiers WHERE match_tier = 'unmatched' ORDER BY n DESC, canonical_name LIMIT 500")
+ORDERED_TIERS = ", ".join(f"('{t}', {i}::BIGINT)" for i, t in enumerate(TIERS))
+ORACLES["vr7_match_tier_summary"] = rounded(
+    LINKAGE,
+    f"""SELECT *, {ratio('n_records', 'sum(n_records) OVER ()')} AS share FROM (
+      SELECT match_tier, tier_order, coalesce(n_records, 0) AS n_records, coalesce(n_names, 0) AS n_names, mean_confidence FROM (VALUES {ORDERED_TIERS}) o(match_tier, tier_order)
+      LEFT JOIN (SELECT match_tier, {total('n')} AS n_records, count(DISTINCT canonical_name) AS n_names, {ratio('sum(n * match_confidence)', 'sum(n)')} AS mean_confidence FROM linked GROUP BY 1) USING (match_tier))""",
+    "mean_confidence share",
+)
+ORACLES["vr8_match_uncertainty_summary"] = rounded(
+    NAME_TIERS,
+    f"""SELECT caveat, count(*) AS n_names, {total('n')} AS n_records FROM tiers WHERE caveat <> '' GROUP BY 1
+      UNION ALL SELECT 'none_detected', 0, 0 WHERE NOT EXISTS (SELECT 1 FROM tiers WHERE caveat <> '')""",
+)
+
+# near-duplicate names
+SPLIT_BOTH = """sets AS (SELECT *, list_sort(list_filter(xs, lambda w: list_contains(ys, w))) AS common, list_sort(list_filter(xs, lambda w: NOT list_contains(ys, w))) AS l, list_sort(list_filter(ys, lambda w: NOT list_contains(xs, w))) AS r
+  FROM (SELECT *, list_distinct(list_filter(string_split(x, ' '), lambda w: w <> '')) AS xs, list_distinct(list_filter(string_split(y, ' '), lambda w: w <> '')) AS ys FROM compared)),
+joined AS (SELECT *, array_to_string(common, ' ') AS b, trim(array_to_string(common, ' ') || ' ' || array_to_string(l, ' ')) AS one, trim(array_to_string(common, ' ') || ' ' || array_to_string(r, ' ')) AS two FROM sets)"""
+EDGES = f"""{RECORDS},
+persons AS (SELECT canonical_name, min(name_display) AS name_display, upper(left(min(last), 4) || '|' || left(min(first), 1)) AS block_key FROM sub GROUP BY 1),
+compared AS (
+  SELECT a.block_key, a.canonical_name AS left_name, b.canonical_name AS right_name, a.name_display AS x, b.name_display AS y FROM persons a JOIN persons b ON a.block_key = b.block_key AND a.canonical_name < b.canonical_name
+  WHERE a.block_key IN (SELECT block_key FROM persons GROUP BY 1 HAVING count(*) <= 5000)),
+{SPLIT_BOTH},
+edges AS MATERIALIZED (
+  SELECT block_key, left_name, right_name, CAST(floor(CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 0.0::DOUBLE WHEN len(common) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 100.0::DOUBLE
+    WHEN len(common) = 0 THEN {indel('one', 'two')} ELSE greatest({indel('one', 'two')}, {indel('b', 'one')}, {indel('b', 'two')}) END) AS BIGINT) AS similarity FROM joined)"""
+ORACLES["dn3_similarity_edges"] = rounded(EDGES, "SELECT * FROM edges WHERE similarity >= 92")
+MEMBERS = f"""{EDGES}, {NAMES},
+near AS MATERIALIZED (SELECT left_name AS a, right_name AS b FROM edges WHERE similarity >= 92 UNION SELECT right_name, left_name FROM edges WHERE similarity >= 92),
+reach AS (SELECT a AS node, a AS other FROM near UNION SELECT node, b FROM reach JOIN near ON other = a),
+roots AS (SELECT node AS canonical_name, min(other) AS root FROM reach GROUP BY 1),
+clusters AS (SELECT root, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY count(*) DESC, root) AS VARCHAR), 4, '0') AS cluster_id FROM roots GROUP BY root),
+members AS (SELECT canonical_name, n AS n_records, first_seen, last_seen, n_pro, n_con, display_name, cluster_id FROM roots JOIN clusters USING (root) JOIN names USING (canonical_name)),
+times AS (
+  SELECT *, CAST(n_records AS DOUBLE) / sum(n_records) OVER (PARTITION BY cluster_id) AS bucket_fraction
+  FROM (SELECT cluster_id, minute AS minute_bucket, count(*) AS n_records, {PRO} AS n_pro, {CON} AS n_con FROM members JOIN sub USING (canonical_name) GROUP BY 1, 2)),
+peaks AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY bucket_fraction DESC, n_records DESC, minute_bucket) AS rn FROM times),
+concentration AS (
+  SELECT cluster_id, count(*) AS n_active_buckets, sum(bucket_fraction * bucket_fraction) AS concentration_hhi, max(minute_bucket) FILTER (rn = 1) AS peak_bucket, max(bucket_fraction) FILTER (rn = 1) AS peak_fraction, max(n_records) FILTER (rn = 1) AS peak_records
+  FROM peaks GROUP BY 1)"""
+
+
+def recursive(ctes: str, select: str, doubles: str = "") -> str:
+    return rounded(ctes, select, doubles).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES["dn4_cluster_members"] = recursive(MEMBERS, "SELECT * FROM members")
+ORACLES["dn6_cluster_time_concentration"] = recursive(MEMBERS, "SELECT * FROM times", "bucket_fraction")
+ORACLES["dn7_cluster_time_concentration_summary"] = recursive(MEMBERS, "SELECT * FROM concentration", "concentration_hhi peak_fraction")
+ORACLES["dn5_cluster_summary"] = recursive(
+    MEMBERS,
+    f"""SELECT *, date_diff('microsecond', first_seen, last_seen) / 60000000.0::DOUBLE AS time_span_minutes FROM (
+      SELECT cluster_id, count(*) AS cluster_size, {total('n_records')} AS n_records, {total('n_pro')} AS n_pro, {total('n_con')} AS n_con, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
+        array_to_string(list_sort(list_distinct(list(display_name)))[1:10], ' | ') AS names_preview FROM members GROUP BY 1)
+      JOIN concentration USING (cluster_id)""",
+    "concentration_hhi peak_fraction time_span_minutes",
+)
+ORACLES["ch3_cluster_size_histogram"] = recursive(MEMBERS, "SELECT cluster_size, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM members GROUP BY 1) GROUP BY 1")
+
+
 ORACLES["tr10_lens_comparison"] = rounded(
     f"{RECORDS}, {SEEN}",
     f"""SELECT *, n_total_dedup - n_total AS delta_n_total, pro_rate_dedup - pro_rate_raw AS delta_pro_rate FROM (SELECT seen.minute AS minute_bucket, n_total, n_total_dedup, {ratio('n_pro', 'n_total')} AS pro_rate_raw, {ratio('n_pro_dedup', 'n_total_dedup')} AS pro_rate_dedup FROM seen JOIN kept USING (minute))""",
