@@ -353,9 +353,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
+def digests(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes), and if wanted the ids."""
     prepare(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path or default_path())
@@ -363,11 +364,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for part in steps(batch, "text"):
                 ids, at = tokenizer.encode(texts(part.column("text")).to_pylist())
-                counts, ids_sha, text_sha = np.diff(at), [], []
+                ids_sha, text_sha = [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     own = ids[a:b].tolist()
                     ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in own]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(tokenizer.decode(own)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column("doc_id"), pa.array(np.diff(at)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(kinds))

@@ -47,6 +47,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
+        _written.add(self.base)
         path = f"{self.base}/{self.n}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -58,6 +59,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_written: set[str] = set()
+
+
+def scratch_tables() -> set[str]:
+    """The folders of all scratch tables that this process has written and not cleared."""
+    return set(_written)
+
+
+def clear(spark: SparkSession, bases: set[str]) -> None:
+    """Delete scratch folders whose readers are done."""
+    for base in bases:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.discard(base)
+
+
 def _one_machine(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
