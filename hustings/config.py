@@ -15,7 +15,6 @@ class Config:
     off_hours: tuple[int, int] = (0, 5)
     low_power_min: int = 30
     top_n: int = 200
-    ordering_array_rows: int = 2048
     # near-duplicate names
     similarity: int = 92
     block_cap: int = 5000

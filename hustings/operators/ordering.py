@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
@@ -10,17 +10,24 @@ from hustings.operators.profile import steps_back
 from hustings.plans.catalog import Catalog
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ranks with ties averaged. Distinct values are ranked, not rows: rows join their value's rank."""
-    values = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    total = F.sum("__n").over(Window.orderBy(value))
-    return df.join(values.select(value, (total - (F.col("__n") - 1) / 2.0).alias(out)), value)
+def average_ranks(df: DataFrame, value: str, out: str, stretch: Column) -> DataFrame:
+    """Add ranks with ties averaged. Distinct values are ranked, not rows: rows join their value's rank.
+
+    `stretch` rises with the value: values are ordered within a stretch, and the stretches, far fewer, among themselves.
+    """
+    values = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__stretch", stretch)
+    stretches = values.groupBy("__stretch").agg(F.sum("__n").alias("__size"))
+    before = stretches.select("__stretch", (F.sum("__size").over(Window.orderBy("__stretch")) - F.col("__size")).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__stretch").orderBy(value))
+    ranked = values.withColumn("__within", within).join(before, "__stretch")
+    return df.join(ranked.select(value, (F.col("__before") + F.col("__within") - (F.col("__n") - 1) / 2.0).alias(out)), value)
 
 
 def sortedness_metrics(c: Catalog) -> DataFrame:
     """Spearman correlations of ids with times and names, and steps back in time, in one row."""
     r = c.records.select(F.col("id").cast("long").alias("id"), "timestamp", F.concat("last", F.lit("|"), "first").alias("name"))
-    r = average_ranks(average_ranks(average_ranks(r, "id", "r_id"), "timestamp", "r_time"), "name", "r_name")
+    for value, out, stretch in (("id", "r_id", F.floor(F.col("id") / (1 << 16))), ("timestamp", "r_time", F.date_trunc("hour", "timestamp")), ("name", "r_name", F.substring("name", 1, 4))):
+        r = average_ranks(r, value, out, stretch)
     one = r.agg(F.count(F.lit(1)).alias("n_records"), F.corr("r_id", "r_time").alias("id_timestamp_spearman"), F.corr("r_id", "r_name").alias("id_name_spearman"))
     back = steps_back(c.records).withColumnRenamed("non_monotonic_timestamp_vs_id", "time_monotonic_breaks")
     df = one.join(F.broadcast(back))  # one row each
@@ -30,62 +37,64 @@ def sortedness_metrics(c: Catalog) -> DataFrame:
 KEY = ["bucket_minutes", "bucket_start"]
 
 
-def placed(c: Catalog) -> DataFrame:
-    """Rows of every bucket of three rows or more, with the bucket's size."""
-    minutes = c.records.select("id", "timestamp", "minute_bucket", "name_display")
-    df = f.with_buckets(minutes, "minute_bucket", c.config.buckets).select(*KEY, "timestamp", "id", "name_display")
-    per_minute = c.records.groupBy("minute_bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = f.with_buckets(per_minute, "minute_bucket", c.config.buckets).groupBy(*KEY).agg(F.sum("n").alias("n_records")).where("n_records >= 3")
-    return df.join(sizes, KEY)
-
-
-def small_buckets(df: DataFrame) -> DataFrame:
-    """Pair signs, ties and order of buckets whose rows fit an array: at most `Config.ordering_array_rows` of them."""
-    rows = df.groupBy(*KEY, "n_records").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "name_display"))).alias("rows"))
-    rows = rows.withColumn("names", F.transform("rows", lambda r: r["name_display"])).drop("rows")
-    before = F.transform("names", lambda x, i: F.slice("names", F.lit(1), i))  # what came before each row
-    signs = F.aggregate(
-        F.arrays_zip(F.col("names").alias("x"), before.alias("b")),
-        F.lit(0).cast("long"),
-        lambda t, z: t + F.size(F.filter(z["b"], lambda y: y < z["x"])).cast("long") - F.size(F.filter(z["b"], lambda y: y > z["x"])).cast("long"),
-    )
-    counts = F.transform(F.array_distinct("names"), lambda x: F.size(F.filter("names", lambda y: y == x)).cast("double"))
-    ties = F.aggregate(counts, F.lit(0.0), lambda t, k: t + k * (k - 1) / 2)
-    return rows.select(*KEY, "n_records", signs.alias("signs"), ties.alias("ties"), (F.col("names") == F.array_sort("names")).alias("is_alphabetical"))
-
+def minute_facts(c: Catalog) -> DataFrame:
+    """For each minute: first and last name to arrive, steps back in the alphabet, and signs of its pairs of rows.
 
-def large_buckets(df: DataFrame, most: int) -> DataFrame:
-    """The same for buckets of any size up to `most` rows, by merge counting with sorts that spill.
-
-    Arrival ranks are halved bit by bit. At each bit the rows of a group that differ in it stand
-    left or right; ordered by name, running counts give for every right row the left rows with
-    smaller and with larger names. Every pair of rows is split at exactly one bit.
+    Pairs are counted by merging: arrival ranks are halved bit by bit, and at each bit the rows of a group that differ in
+    it stand left or right. Ordered by name, running counts give for every right row the left rows with smaller and with
+    larger names; every pair is split at exactly one bit.
     """
-    arrival = Window.partitionBy(*KEY).orderBy("timestamp", "id", "name_display")
-    rows = df.withColumns({"r": F.row_number().over(arrival) - 1, "falls": (F.lag("name_display").over(arrival) > F.col("name_display")).cast("long")})
-    counts = rows.groupBy(*KEY, "n_records", "name_display").agg(F.count(F.lit(1)).alias("k"), F.sum("falls").alias("falls"))
-    facts = counts.groupBy(*KEY, "n_records").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2.0).alias("ties"), (F.coalesce(F.sum("falls"), F.lit(0)) == 0).alias("is_alphabetical"))
-    parts = []
-    for bit in range(max(1, (most - 1).bit_length())):
-        level = rows.select(*KEY, "name_display", F.shiftright("r", bit + 1).alias("g"), (1 - F.shiftright("r", bit).bitwiseAND(1)).alias("left"))
-        cells = level.groupBy(*KEY, "g", "name_display").agg(F.sum("left").alias("left"), F.sum(1 - F.col("left")).alias("right"))
-        group = Window.partitionBy(*KEY, "g")
-        upto = F.sum("left").over(group.orderBy("name_display"))  # a cell holds one name: rows and range agree
-        sign = F.col("right") * ((upto - F.col("left")) - (F.sum("left").over(group) - upto))
-        parts.append(cells.select(*KEY, sign.alias("sign")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return facts.join(every.groupBy(*KEY).agg(F.sum("sign").alias("signs")), KEY).select(*KEY, "n_records", "signs", "ties", "is_alphabetical")
+    arrival = Window.partitionBy("minute_bucket").orderBy("timestamp", "id", "name_display")
+    rows = c.records.where("minute_bucket is not null").select("minute_bucket", "timestamp", "id", "name_display")
+    rows = rows.withColumns({"r": F.row_number().over(arrival) - 1, "falls": (F.lag("name_display").over(arrival) > F.col("name_display")).cast("long")})
+    ends = rows.groupBy("minute_bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("name_display", "r").alias("head"), F.max_by("name_display", "r").alias("tail"), F.coalesce(F.sum("falls"), F.lit(0)).alias("falls"))
+    bits = F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)).alias("bit")
+    level = rows.join(ends.select("minute_bucket", "n"), "minute_bucket").select("minute_bucket", "name_display", "r", bits)
+    group = [F.col("minute_bucket"), F.col("bit"), F.expr("shiftright(r, bit + 1)").alias("g")]
+    right = F.expr("shiftright(r, bit) & 1")
+    cells = level.groupBy(*group, "name_display").agg(F.sum(1 - right).alias("n_0"), F.sum(right).alias("n_1"))
+    signs = crossed(cells, ["minute_bucket", "bit", "g"], 2).groupBy("minute_bucket").agg(F.sum("signs").alias("signs"))
+    return ends.join(signs, "minute_bucket")
+
+
+def crossed(cells: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """Signs of the pairs of rows in different parts of a group: cells have the rows of each name in part 0, 1 ... as n_0, n_1 ..."""
+    group = Window.partitionBy(*key)
+    line = group.orderBy("name_display")
+    n = [F.col(f"n_{i}") for i in range(parts)]
+    upto = [F.sum(x).over(line) for x in n]
+    above = [(u - x) - (F.sum(x).over(group) - u) for u, x in zip(upto, n)]  # smaller names of part i, less the larger ones
+    sign = sum((n[j] * above[i] for j in range(parts) for i in range(j)), F.lit(0))
+    return cells.withColumn("signs", sign)
 
 
 def bucket_ordering(c: Catalog) -> DataFrame:
-    """Buckets of three rows or more: whether names stand in order, and Kendall's tau-b of arrival against name."""
-    df, limit = placed(c), c.config.ordering_array_rows
-    most = df.agg(F.max("n_records")).first()[0] or 0
-    out = small_buckets(df.where(F.col("n_records") <= limit))
-    if most > limit:
-        out = out.unionByName(large_buckets(df.where(F.col("n_records") > limit), most))
+    """Buckets of three rows or more: whether names stand in order, and Kendall's tau-b of arrival against name.
+
+    Only minutes look at records. A larger bucket adds what its parts have and the pairs between parts, which follow
+    from the names' counts in each part; each bucket size divides the next.
+    """
+    sizes = c.config.buckets
+    minutes = c.get(minute_facts)
+    names = c.records.where("minute_bucket is not null").groupBy("minute_bucket", "name_display").agg(F.count(F.lit(1)).alias("n"))
+    inner = {big: small for small, big in zip((1, *sizes), sizes)}
+    parts = max(big // small for big, small in inner.items())
+    small = F.create_map(*(F.lit(x) for pair in inner.items() for x in pair))[F.col("bucket_minutes")]
+    of_day = lambda t: F.hour(t) * 60 + F.minute(t)  # noqa: E731  (sizes divide a day)
+    part = F.floor((of_day("minute_bucket") - of_day("bucket_start")) / small)
+    cells = f.with_buckets(names, "minute_bucket", sizes).withColumn("part", part)
+    cells = cells.groupBy(*KEY, "name_display").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n_{i}") for i in range(parts)))
+    k = sum((F.col(f"n_{i}") for i in range(1, parts)), F.col("n_0"))
+    between = crossed(cells, KEY, parts).groupBy(*KEY).agg(F.sum(k).alias("n_records"), F.sum(k * (k - 1) / 2.0).alias("ties"), F.sum("signs").alias("signs"))
+    # signs between parts of a bucket count for every bucket around it, as do those within its minutes
+    around = F.explode(F.filter(F.array(*(F.lit(s) for s in sizes)), lambda s: s >= F.col("inner_minutes"))).alias("bucket_minutes")
+    of = between.select(F.col("bucket_minutes").alias("inner_minutes"), F.col("bucket_start").alias("at"), "signs").unionByName(minutes.select(F.lit(1).alias("inner_minutes"), F.col("minute_bucket").alias("at"), "signs"))
+    of = of.select("at", "signs", around)
+    signs = of.withColumn("bucket_start", f.floor_bucket("at", "bucket_minutes")).groupBy(*KEY).agg(F.sum("signs").alias("signs"))
+    line = Window.partitionBy(*KEY).orderBy("minute_bucket")
+    order = f.with_buckets(minutes.select("minute_bucket", "head", "tail", "falls"), "minute_bucket", sizes).withColumn("seam", (F.lag("tail").over(line) > F.col("head")).cast("long"))
+    order = order.groupBy(*KEY).agg((F.sum("falls") + F.coalesce(F.sum("seam"), F.lit(0)) == 0).alias("is_alphabetical"))
+    out = between.drop("signs").where("n_records >= 3").join(signs, KEY).join(order, KEY)
     pairs = F.col("n_records").cast("double") * (F.col("n_records") - 1) / 2
     tau = F.when(pairs - F.col("ties") > 0, F.col("signs") / F.sqrt(pairs * (pairs - F.col("ties")))).otherwise(0.0)
     return out.withColumn("kendall_tau", tau).withColumn("abs_kendall_tau", F.abs("kendall_tau")).drop("signs", "ties")

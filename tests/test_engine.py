@@ -1,6 +1,7 @@
 """The engine's own operators: every SQL-expressible query beside DuckDB, and small hand-checked inputs."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -178,11 +179,28 @@ def test_planted_bucket_is_the_strangest(spark):
     assert top.n_total == 900
 
 
-def test_large_buckets_count_like_small_ones(spark):
+def test_ordering_equals_all_pairs(spark):
+    """Every bucket of every size, one with most rows in a single minute, against each pair of its rows."""
     rng = np.random.default_rng(4)
-    rows = [(f"N{rng.integers(9)}, M", "Pro", int(m), "") for m in rng.integers(0, 700, 150)] + [(f"A{k:02}, B", "Con", 900 + k, "") for k in range(20)]
-    plain = catalog(spark, rows).get(ordering.bucket_ordering)
-    split = catalog(spark, rows, ordering_array_rows=3).get(ordering.bucket_ordering)
-    key = lambda r: (r.bucket_minutes, r.bucket_start, r.n_records, r.is_alphabetical, round(r.kendall_tau, 9))
-    assert sorted(map(key, plain.collect())) == sorted(map(key, split.collect()))
-    assert any(r.is_alphabetical and r.kendall_tau == 1 for r in plain.collect())
+    minutes = [*rng.integers(0, 700, 150), *[301] * 120]
+    rows = [(f"N{rng.integers(9)}, M", "Pro", int(m), "") for m in minutes] + [(f"A{k:02}, B", "Con", 900 + k, "") for k in range(20)]
+    c = catalog(spark, rows)
+    arrived = sorted((r.timestamp, r.id, r.name_display) for r in c.records.collect())
+    want = {}
+    for size in c.config.buckets:
+        groups = {}
+        for t, _, name in arrived:
+            at = t.replace(hour=0, minute=0, second=0, microsecond=0) + dt.timedelta(minutes=(t.hour * 60 + t.minute) // size * size)
+            groups.setdefault(at, []).append(name)
+        for at, names in groups.items():
+            n = len(names)
+            if n < 3:
+                continue
+            pairs = [(x < y) - (x > y) for x, y in itertools.combinations(names, 2)]
+            ties = sum(x == y for x, y in itertools.combinations(names, 2))
+            tau = sum(pairs) / math.sqrt(len(pairs) * (len(pairs) - ties)) if len(pairs) > ties else 0.0
+            want[size, at] = (n, names == sorted(names), round(tau, 9))
+    got = c.get(ordering.bucket_ordering).collect()
+    assert {(r.bucket_minutes, r.bucket_start): (r.n_records, r.is_alphabetical, round(r.kendall_tau, 9)) for r in got} == want
+    assert any(r.is_alphabetical and r.kendall_tau == 1 for r in got)
+
