@@ -583,6 +583,20 @@ ORACLES["dn5_cluster_summary"] = recursive(
 ORACLES["ch3_cluster_size_histogram"] = recursive(MEMBERS, "SELECT cluster_size, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM members GROUP BY 1) GROUP BY 1")
 
 
+ORACLES["tr8_cluster_evidence_queue"] = recursive(
+    MEMBERS,
+    """SELECT *, CAST(cluster_size AS DOUBLE) / max(cluster_size) OVER () * 0.45::DOUBLE + CAST(n_records AS DOUBLE) / max(n_records) OVER () * 0.35::DOUBLE + least(greatest(1.0::DOUBLE - time_span_minutes / 1440.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) * 0.20::DOUBLE AS score
+      FROM (SELECT cluster_id, count(*) AS cluster_size, CAST(sum(n_records) AS BIGINT) AS n_records, CAST(sum(n_pro) AS BIGINT) AS n_pro, CAST(sum(n_con) AS BIGINT) AS n_con, date_diff('microsecond', min(first_seen), max(last_seen)) / 60000000.0::DOUBLE AS time_span_minutes,
+        array_to_string(list_sort(list_distinct(list(display_name)))[1:10], ' | ') AS names_preview FROM members GROUP BY 1) ORDER BY score DESC, cluster_id LIMIT 250""",
+    "time_span_minutes score",
+)
+# the upper tail of chi-squared with 59 degrees of freedom, from the series of the lower incomplete gamma function
+ORACLES["pe6_clockface_test"] = rounded(
+    f"{RECORDS}, face AS (SELECT m, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 60)) AS m) LEFT JOIN (SELECT minute(t) AS m, count(*) AS n FROM sub GROUP BY 1) USING (m)), stat AS (SELECT sum((n - e) * (n - e) / e) AS chi_square FROM face, (SELECT count(*) / 60.0::DOUBLE AS e FROM sub))",
+    "SELECT chi_square, greatest(1.0::DOUBLE - (SELECT sum(exp((29.5::DOUBLE + k) * ln(chi_square / 2.0::DOUBLE) - chi_square / 2.0::DOUBLE - lgamma(30.5::DOUBLE + k))) FROM range(0, 4000) r(k)), 0.0::DOUBLE) AS p_value FROM stat",
+    "chi_square p_value",
+)
+
 ORACLES["tr10_lens_comparison"] = rounded(
     f"{RECORDS}, {SEEN}",
     f"""SELECT *, n_total_dedup - n_total AS delta_n_total, pro_rate_dedup - pro_rate_raw AS delta_pro_rate FROM (SELECT seen.minute AS minute_bucket, n_total, n_total_dedup, {ratio('n_pro', 'n_total')} AS pro_rate_raw, {ratio('n_pro_dedup', 'n_total_dedup')} AS pro_rate_dedup FROM seen JOIN kept USING (minute))""",
