@@ -19,16 +19,20 @@ from hustings.plans.catalog import Catalog
 
 
 def fallback(x: np.ndarray, span: int) -> list[int]:
-    """Where the mean of the next `span` minutes differs most from that of the last: far above the usual, spaced by `span`."""
-    if len(x) < 2 * span:
+    """Where the mean of the next `span` minutes differs most from that of the last: far above the usual, spaced by `span`.
+
+    What is usual covers the whole vector; minutes nearer than `span` to an end differ by nothing.
+    """
+    if len(x) < 2 * span or np.allclose(x, x[0]):
         return []
     s = np.concatenate([[0], np.cumsum(x)])
-    at = np.arange(span, len(x) - span + 1)
-    score = np.abs((s[at + span] - s[at]) - (s[at] - s[at - span])) / span
+    at = np.arange(span, len(x) - span)
+    score = np.zeros(len(x))
+    score[at] = np.abs((s[at + span] - s[at]) - (s[at] - s[at - span])) / span
     limit = score.mean() + 2.5 * score.std()
     out: list[int] = []
-    for k in at[score >= limit].tolist():
-        if score[k - span] > 0 and (not out or k - out[-1] >= span):
+    for k in np.flatnonzero((score >= limit) & (score > 0)).tolist():
+        if not out or k - out[-1] >= span:
             out.append(k)
     return out
 

@@ -204,3 +204,13 @@ def test_ordering_equals_all_pairs(spark):
     assert {(r.bucket_minutes, r.bucket_start): (r.n_records, r.is_alphabetical, round(r.kendall_tau, 9)) for r in got} == want
     assert any(r.is_alphabetical and r.kendall_tau == 1 for r in got)
 
+
+def test_fallback_of_changepoints():
+    x = np.concatenate([np.full(200, 3.0), np.full(200, 9.0)])
+    found = fusion.fallback(x, 30)
+    assert len(found) >= 1 and min(abs(k - 200) for k in found) < 30 and fusion.fallback(np.full(400, 2.0), 30) == [] and fusion.fallback(x[:50], 30) == []
+    scores = np.zeros(len(x))  # position by position, zero near the ends
+    for k in range(30, len(x) - 30):
+        scores[k] = abs(x[k : k + 30].mean() - x[k - 30 : k].mean())
+    over = np.flatnonzero(scores >= scores.mean() + 2.5 * scores.std())
+    assert found[0] == over[0] and all(b - a >= 30 for a, b in zip(found, found[1:]))
