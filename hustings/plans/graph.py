@@ -31,6 +31,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def gone(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     edges = edges.where("a <> b").select("a", "b")
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels-0")
@@ -40,6 +44,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         far = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
         moved = written(step.join(far, "new").select("node", "label", F.least("new", "next").alias("new")), f"labels-{k}")
         labels = moved.select("node", F.col("new").alias("label"))
+        gone(f"labels-{k - 1}")
         if not moved.where("label <> new").limit(1).count():
+            gone("edges")
             return labels
     raise RuntimeError("components are not settled")
