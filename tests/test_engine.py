@@ -4,8 +4,11 @@ import datetime as dt
 import itertools
 import math
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from hustings import queries
@@ -151,6 +154,33 @@ def test_clockwork_period(spark):
     assert c.get(periodicity.autocorr).orderBy("autocorr", ascending=False).first().lag_minutes % 10 == 0
 
 
+def test_rolling_fano_equals_sql_at_ties(spark, tmp_path):
+    """5,000 minutes, of which some windows lie halfway between two values of six digits."""
+    counts = np.random.default_rng(23).poisson(3.2, 5000)
+    counts[[0, -1]] = 3
+    minutes = np.repeat(np.arange(5000), counts)
+    con = duckdb.connect()
+    con.register("minutes", pd.DataFrame({"id": np.arange(len(minutes)), "m": minutes}))
+    con.execute(f"COPY (SELECT id AS event_id, TIMESTAMP '2026-02-03' + to_minutes(m) AS ts, id % 50 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{\"k\": 1}}' AS props FROM minutes) TO '{tmp_path}/events.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{SF}/part.parquet' WHERE p_partkey < 50) TO '{tmp_path}/part.parquet'")
+    for name in ("pe9_rolling_fano", "pe10_rolling_fano_summary"):
+        assert differences(queries.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), queries.ORACLE_SQL[name]) == ""
+
+
+def test_rolling_fano_of_high_counts(spark):
+    """Counts that vary by one around 1e9, and a window longer than a stretch of minutes."""
+    x = 1e9 + np.random.default_rng(7).integers(0, 2, 9000)
+    c = Catalog(spark, None, Config(fano_windows=(3, 50, 5000)))
+    frame = spark.createDataFrame(pd.DataFrame({"i": np.arange(9000), "x": x}))
+    c._built["hustings.operators.periodicity.series"] = frame.select("i", f.plus_minutes(F.lit(DAY).cast("timestamp_ntz"), F.col("i")).alias("minute_bucket"), "x")
+    rows = c.get(periodicity.rolling_fano).collect()
+    assert len({(r.window_minutes, r.end_minute) for r in rows}) == len(rows) == 3 * 9001 - 5053
+    for w in c.config.fano_windows:
+        got = sorted((r.start_minute, r.end_minute, r.variance_count) for r in rows if r.window_minutes == w)
+        assert all(b - a == dt.timedelta(minutes=w - 1) for a, b, _ in got)
+        assert np.allclose([v for *_, v in got], np.lib.stride_tricks.sliding_window_view(x - 1e9, w).var(axis=1), atol=1e-6)
+
+
 def test_off_hours_day_baseline(spark):
     rows = [(f"A{i}, B", "Con", 65, "") for i in range(4)] + [(f"C{i}, D", "Pro" if i < 2 else "Con", 600, "") for i in range(4)]
     c = catalog(spark, rows, window_min_total=1)
