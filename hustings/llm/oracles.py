@@ -187,9 +187,53 @@ SELECT doc_id, class_id, copies::BIGINT AS copies, spans, n_repeated::BIGINT AS
 """
 
 
+def _vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, in integers."""
+    assigned = lambda k: f"""
+near{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT vec_id, part, entry, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut JOIN book{k} USING (part)) GROUP BY vec_id, part)"""
+    moved = lambda k: f"""
+book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.y, b.y) AS y FROM book{k} b LEFT JOIN (
+  SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS y FROM (
+    SELECT part, entry, pos, sum(x[pos])::HUGEINT AS s, count(*)::HUGEINT AS n FROM near{k} JOIN cut USING (vec_id, part), (SELECT unnest(range(1, (SELECT w FROM size) + 1)) AS pos) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry))"""
+    steps = ",".join(assigned(k) + ("," + moved(k) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+size AS (SELECT len(v) // {parts} AS w FROM whole ORDER BY vec_id LIMIT 1),
+cut AS MATERIALIZED (SELECT vec_id, part, v[part * w + 1:(part + 1) * w] AS x FROM whole, size, (SELECT unnest(range({parts})) AS part)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS y FROM cut WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT {entries})),{steps},
+codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN whole USING (vec_id)
+"""
+
+
+def _source_divergence(least: int = 10, top: int = 10) -> str:
+    """Every term of a language against every pair of its groups."""
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({lowered("text", latin=False)}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM (SELECT d, lang, source, unnest(words) AS term FROM rows) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= {least}),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+grid AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p FROM grid JOIN langs USING (lang)),
+usual AS (SELECT lang, term, 1 + (1000000000 * (n::HUGEINT + 2)) // (total + 2 * v) AS q FROM kept JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+  SELECT x.lang, x.source AS s, y.source AS t, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) f ON f.lang = a.lang AND f.s = a.source AND f.t = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares JOIN usual USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_document_fingerprints": _document_fingerprints(),
     "op5_benchmark_decontamination": _benchmark_decontamination(),
     "op7_simhash_near_dedup": _simhash_near_dedup(),
     "op9_suffix_array_dedup": _suffix_array_dedup(),
+    "op11_vector_codes": _vector_codes(),
+    "op13_source_divergence": _source_divergence(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import bpe, decontaminate, fingerprints, html_extract, langid, quality, secret_scan, simhash, suffix_dedup, toxicity
+from hustings.llm import bpe, decontaminate, divergence, fingerprints, html_extract, langid, packing, quality, secret_scan, simhash, suffix_dedup, toxicity, vector_codes
 from hustings.llm.common import remainder, table
 from hustings.llm.oracles import ORACLES as ORACLES
 
@@ -69,6 +69,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", vector_codes.written().alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -80,4 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
