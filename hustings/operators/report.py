@@ -1,4 +1,4 @@
-"""Report tables: evidence queues, quality panels, deadlines, baselines over reports and chart summaries."""
+"""Report tables: quality panels, deadlines, lenses by minute, baselines over reports and chart summaries."""
 
 from __future__ import annotations
 
@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
-from hustings.operators.duplicates import cluster_summary, repeated_names
+from hustings.operators.duplicates import cluster_summary
 from hustings.operators.fusion import all_changepoints, evidence_bundle_windows, ranked_windows
 from hustings.operators.organisations import blank_rate_by_bucket
-from hustings.operators.profile import basic_quality, counts_per_minute, minute_totals
-from hustings.operators.rare import weird_names
-from hustings.operators.windows import burst_window_tests, burst_windows, swing_window_tests
+from hustings.operators.profile import basic_quality, minute_totals
+from hustings.operators.windows import burst_window_tests, burst_windows
 from hustings.plans.catalog import Catalog
 
-#: How far signals of each kind count.
-WEIGHTS = {"stat_fdr": 1.0, "calibrated_empirical": 0.9, "heuristic": 0.6}
 #: Bins of minutes to the cutoff: key, label, above, up to.
 DEADLINES = (
     ("after_cutoff", "After cutoff", None, 0.0),
@@ -102,70 +99,7 @@ def deadline_ramp_metrics(c: Catalog) -> DataFrame:
     return df.drop("recent_n_pro", "recent_n_con", "prior_n_pro", "prior_n_con")
 
 
-# triage ------------------------------------------------------------------------------------------
-
-
-def tier(score: Column, n: Column, calibrated: Column, low_power: Column) -> Column:
-    high = (score >= 0.80) & (n >= 25) & calibrated
-    return F.when(high & ~low_power, "high").when((score >= 0.60) & (n >= 25), "medium").otherwise("low")
-
-
-def clamp(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-
-
-def window_signals(c: Catalog) -> DataFrame:
-    """Long rows (start, end, detector, kind, score) of significant bursts, swings and composite windows."""
-    burst = c.get(burst_window_tests).where("is_significant").select(
-        "start_minute", "end_minute", F.lit("bursts").alias("detector"), F.lit("stat_fdr").alias("kind"), ((clamp(1.0 - F.col("q_value")) + clamp((F.col("rate_ratio") - 1.0) / 3.0)) / 2.0).alias("score"), F.lit("volume").alias("hint")
-    )
-    swing = c.get(swing_window_tests).where("is_significant").select(
-        "start_minute", "end_minute", F.lit("procon_swings").alias("detector"), F.lit("stat_fdr").alias("kind"), ((clamp(1.0 - F.col("q_value")) + clamp(F.col("abs_delta_pro_rate") / 0.35)) / 2.0).alias("score"), F.lit("composition").alias("hint")
-    )
-    both = c.get(evidence_bundle_windows).select(F.col("minute_bucket").alias("start_minute"), F.col("minute_bucket").alias("end_minute"), F.lit("composite_score").alias("detector"), F.lit("heuristic").alias("kind"), clamp(F.col("composite_score")).alias("score"), F.lit("composite").alias("hint"))
-    return burst.unionByName(swing).unionByName(both)
-
-
-def window_evidence_queue(c: Catalog) -> DataFrame:
-    """A report: the 250 strongest windows with what happened in them.
-
-    Counts inside windows come from running totals on the minute grid: two look-ups a window.
-    """
-    weight = F.lit(0.0)
-    for kind, w in WEIGHTS.items():
-        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
-    s = c.get(window_signals).withColumn("w", weight)
-    q = s.groupBy("start_minute", "end_minute").agg(
-        (F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score"),
-        F.array_sort(F.collect_set("detector")).alias("source_detectors"),
-        F.array_sort(F.collect_set("kind")).alias("evidence_kinds"),
-        F.max((F.col("kind") != "heuristic").cast("int")).alias("calibrated"),
-        F.mode("hint", True).alias("hint"),
-        F.count_distinct("hint").alias("n_hints"),
-    )
-    order = Window.orderBy("minute_bucket")
-    totals = c.get(counts_per_minute).select("minute_bucket", *(F.sum(x).over(order).alias(x) for x in ("n_total", "n_pro", "n_unique_names")))
-    at = totals.select(F.col("minute_bucket").alias("end_minute"), *(F.col(x).alias(f"{x}_b") for x in ("n_total", "n_pro", "n_unique_names")))
-    before = totals.select(f.plus_minutes("minute_bucket", 1).alias("start_minute"), *(F.col(x).alias(f"{x}_a") for x in ("n_total", "n_pro", "n_unique_names")))
-    q = q.join(at, "end_minute").join(before, "start_minute", "left")
-    q = q.withColumns({x: F.col(f"{x}_b") - F.coalesce(f"{x}_a", F.lit(0)) for x in ("n_total", "n_pro", "n_unique_names")})
-    q = q.withColumns({"pro_rate": f.ratio("n_pro", "n_total"), "dup_name_fraction": 1.0 - f.ratio("n_unique_names", "n_total"), "is_low_power": f.low_power("n_total", c.config.low_power_min)})
-    caveats = F.array_sort(F.array_compact(F.array(F.when(F.col("n_total") < 25, "low_support_n"), F.when(F.col("is_low_power"), "low_power"), F.when(F.col("calibrated") == 0, "heuristic_only"))))
-    q = q.withColumns({"tier": tier(F.col("score"), F.col("n_total"), F.col("calibrated") == 1, F.col("is_low_power")), "caveat_flags": caveats, "explanation": F.when(F.col("n_hints") > 1, "mixed").otherwise(F.col("hint"))})
-    rank = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
-    q = q.orderBy(rank, F.desc("score"), F.desc("n_total"), "start_minute", "end_minute").limit(250)
-    return q.select("start_minute", "end_minute", "tier", "score", "n_total", "n_pro", "pro_rate", "dup_name_fraction", "source_detectors", "evidence_kinds", "caveat_flags", "explanation", "is_low_power")
-
-
-def score_breakdown(c: Catalog) -> DataFrame:
-    """For each window the share of its weight that every detector gives, as text, largest first, five at most."""
-    weight = F.lit(0.0)
-    for kind, w in WEIGHTS.items():
-        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
-    s = c.get(window_signals).withColumn("part", weight * F.col("score")).groupBy("start_minute", "end_minute", "detector").agg(F.sum("part").alias("part"))
-    lists = s.groupBy("start_minute", "end_minute").agg(F.sum("part").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("k"), "detector"))).alias("parts"))
-    text = F.transform(F.slice("parts", 1, 5), lambda p: F.concat(p["detector"], F.lit(":"), F.format_number(-p["k"] / F.col("total"), 3)))
-    return lists.where("total > 0").select("start_minute", "end_minute", F.array_join(text, ", ").alias("breakdown"))
+# lenses and markers ------------------------------------------------------------------------------
 
 
 def lens_comparison(c: Catalog) -> DataFrame:
@@ -182,39 +116,6 @@ def hearing_markers(c: Catalog) -> DataFrame:
     return spine.join(m, F.col("minute_bucket") <= F.col("marker_time"), "left").groupBy("marker", "marker_time").agg(F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_before"))
 
 
-def record_evidence_queue(c: Catalog) -> DataFrame:
-    """A report: 250 names by how often they repeat and how unusual they look."""
-    repeated = c.get(repeated_names).select("canonical_name", "n")
-    weird = c.get(weird_names).select("canonical_name", "weirdness_score")
-    top = repeated.agg(F.max("n").alias("max_n"))
-    scale = weird.agg(F.percentile("weirdness_score", F.lit(0.95)).alias("p95"))
-    df = repeated.join(weird, "canonical_name", "full").join(F.broadcast(top)).join(F.broadcast(scale))  # one row each
-    a, b = f.ratio("n", "max_n"), clamp(F.col("weirdness_score") / F.col("p95"))
-    score = F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2.0).otherwise(F.coalesce(a, b))
-    df = df.withColumns({"repeat_score": a, "weird_score": b, "score": score, "n_records": F.coalesce("n", F.lit(1))})
-    return df.select("canonical_name", "n_records", "repeat_score", "weird_score", "score").orderBy(F.desc("score"), F.desc("n_records"), "canonical_name").limit(250)
-
-
-def cluster_evidence_queue(c: Catalog) -> DataFrame:
-    """A report: 250 clusters of near-duplicate names by size, records and compactness in time."""
-    df = c.get(cluster_summary)
-    top = df.agg(F.max("cluster_size").alias("max_size"), F.max("n_records").alias("max_records"))
-    df = df.join(F.broadcast(top))  # one row
-    score = f.ratio("cluster_size", "max_size") * 0.45 + f.ratio("n_records", "max_records") * 0.35 + clamp(1.0 - F.col("time_span_minutes") / 1440.0) * 0.20
-    return df.select("cluster_id", "cluster_size", "n_records", "n_pro", "n_con", "time_span_minutes", "names_preview", score.alias("score")).orderBy(F.desc("score"), "cluster_id").limit(250)
-
-
-def triage_summary(c: Catalog) -> DataFrame:
-    """One row: totals, range, rates, and how many rows each queue and tier holds."""
-    r = c.records.agg(
-        F.count(F.lit(1)).alias("n_records"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), *f.stance_counts(), f.count_where(F.col("is_off_hours")).alias("n_off_hours")
-    )
-    r = r.withColumns({"pro_rate": f.ratio("n_pro", "n_records"), "con_rate": f.ratio("n_con", "n_records"), "off_hours_ratio": f.ratio("n_off_hours", "n_records")})
-    w = c.get(window_evidence_queue).agg(F.count(F.lit(1)).alias("n_window_evidence"), *(f.count_where(F.col("tier") == t).alias(f"n_windows_{t}") for t in ("high", "medium", "low")))
-    k = c.get(cluster_evidence_queue).agg(F.count(F.lit(1)).alias("n_cluster_evidence"))
-    return r.join(F.broadcast(w)).join(F.broadcast(k))  # one row each
-
-
 # baselines over reports --------------------------------------------------------------------------
 
 

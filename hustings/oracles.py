@@ -582,14 +582,6 @@ ORACLES["dn5_cluster_summary"] = recursive(
 )
 ORACLES["ch3_cluster_size_histogram"] = recursive(MEMBERS, "SELECT cluster_size, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM members GROUP BY 1) GROUP BY 1")
 
-
-ORACLES["tr8_cluster_evidence_queue"] = recursive(
-    MEMBERS,
-    """SELECT *, CAST(cluster_size AS DOUBLE) / max(cluster_size) OVER () * 0.45::DOUBLE + CAST(n_records AS DOUBLE) / max(n_records) OVER () * 0.35::DOUBLE + least(greatest(1.0::DOUBLE - time_span_minutes / 1440.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) * 0.20::DOUBLE AS score
-      FROM (SELECT cluster_id, count(*) AS cluster_size, CAST(sum(n_records) AS BIGINT) AS n_records, CAST(sum(n_pro) AS BIGINT) AS n_pro, CAST(sum(n_con) AS BIGINT) AS n_con, date_diff('microsecond', min(first_seen), max(last_seen)) / 60000000.0::DOUBLE AS time_span_minutes,
-        array_to_string(list_sort(list_distinct(list(display_name)))[1:10], ' | ') AS names_preview FROM members GROUP BY 1) ORDER BY score DESC, cluster_id LIMIT 250""",
-    "time_span_minutes score",
-)
 # the upper tail of chi-squared with 59 degrees of freedom, from the series of the lower incomplete gamma function
 ORACLES["pe6_clockface_test"] = rounded(
     f"{RECORDS}, face AS (SELECT m, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 60)) AS m) LEFT JOIN (SELECT minute(t) AS m, count(*) AS n FROM sub GROUP BY 1) USING (m)), stat AS (SELECT sum((n - e) * (n - e) / e) AS chi_square FROM face, (SELECT count(*) / 60.0::DOUBLE AS e FROM sub))",
@@ -688,14 +680,6 @@ ORACLES["bu7_burst_summary"] = rounded(
     "max_rate_ratio min_q_value",
 )
 ORACLES["ch2_burst_significance_by_window"] = rounded(_BU, "SELECT window_minutes, count(*) AS n_windows, count(*) FILTER (q_value <= 0.01) AS n_significant, quantile_cont(rate_ratio, 0.5) AS median_rate_ratio FROM bt GROUP BY 1", "median_rate_ratio")
-ORACLES["tr7_record_evidence_queue"] = rounded(
-    f"""{RECORDS}, {NAMES}, {TEXT}, rep AS (SELECT canonical_name, n FROM names WHERE n > 1),
-    weird AS (SELECT canonical_name, avg(weirdness_score) AS w FROM scored GROUP BY 1 ORDER BY round(avg(weirdness_score), 9) DESC, canonical_name LIMIT 200),
-    parts AS (SELECT coalesce(rep.canonical_name, weird.canonical_name) AS canonical_name, coalesce(n, 1) AS n_records, CAST(n AS DOUBLE) / (SELECT max(n) FROM rep) AS repeat_score, least(greatest(w / (SELECT quantile_cont(w, 0.95) FROM weird), 0.0::DOUBLE), 1.0::DOUBLE) AS weird_score
-      FROM rep FULL JOIN weird ON rep.canonical_name = weird.canonical_name)""",
-    "SELECT *, CASE WHEN repeat_score IS NOT NULL AND weird_score IS NOT NULL THEN (repeat_score + weird_score) / 2.0::DOUBLE ELSE coalesce(repeat_score, weird_score) END AS score FROM parts ORDER BY score DESC, n_records DESC, canonical_name LIMIT 250",
-    "repeat_score weird_score score",
-)
 _CHECKS = [("unknown_positions", "CAST(u AS DOUBLE) / n", "0.1"), ("missing_names", "CAST(m AS DOUBLE) / n", "0.05"), ("duplicate_ids", "CAST(d AS DOUBLE) / n", "0.01"), ("non_monotonic_timestamps", "CAST(b AS DOUBLE)", "1.0"), ("blank_organization_spikes", "CAST(s AS DOUBLE)", "1.0")]
 ORACLES["qu2_data_quality_warnings"] = rounded(
     f"""{BLANKS}, middles AS (SELECT bucket_minutes, quantile_cont(blank_org_rate, 0.5) AS middle FROM blanks WHERE n_total >= 25 GROUP BY 1),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.config import Config
+from hustings.plans.graph import shared_folder
 
 
 class Catalog:
@@ -20,9 +21,19 @@ class Catalog:
         self.spark, self.records, self.config = spark, records, config or Config()
         self.registry, self.frequencies = registry, frequencies
         self._built: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
 
     def get(self, build: Callable[[Catalog], DataFrame]) -> DataFrame:
         name = f"{build.__module__}.{build.__qualname__}"
         if name not in self._built:
             self._built[name] = build(self)
         return self._built[name]
+
+    def stored(self, build: Callable[[Catalog], DataFrame]) -> DataFrame:
+        """As get, but written once to the shared folder and read from there: for tables that several branches of a query need."""
+        name = f"{build.__module__}.{build.__qualname__}"
+        if name not in self._stored:
+            plan, path = self.get(build), f"{shared_folder(self.spark)}/{build.__name__}"
+            plan.write.parquet(path)
+            self._stored[name] = self.spark.read.schema(plan.schema).parquet(path)
+        return self._stored[name]

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.functions.core import tidy
-from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, report, windows
+from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, report, triage, windows
 from hustings.oracles import ORACLES
+from hustings.oracles_triage import ORACLES as TRIAGE_ORACLES
 from hustings.plans.catalog import Catalog
-from hustings.sources.adapters import test_catalog
+from hustings.sources.adapters import surge_catalog, test_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,13 +124,8 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "qu2_data_quality_warnings": report.data_quality_warnings,
     "hc1_stance_by_deadline": report.stance_by_deadline,
     "hc2_deadline_ramp_metrics": report.deadline_ramp_metrics,
-    "tr6_window_evidence_queue": report.window_evidence_queue,
     "tr10_lens_comparison": report.lens_comparison,
-    "tr11_score_breakdown": report.score_breakdown,
     "hc3_hearing_markers": report.hearing_markers,
-    "tr7_record_evidence_queue": report.record_evidence_queue,
-    "tr8_cluster_evidence_queue": report.cluster_evidence_queue,
-    "tr9_triage_summary": report.triage_summary,
     "fv1_day_vectors": report.day_vectors,
     "fv2_global_baselines": report.global_baselines,
     "fv2_name_cues": report.name_cues,
@@ -143,10 +139,28 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "ch5_rolling_pro_rate": report.rolling_pro_rate,
 }
 
+#: Over records with surges, so that detectors find something.
+SURGES: dict[str, Callable[[Catalog], DataFrame]] = {
+    "bu2_burst_significant_windows_surge": windows.burst_significant_windows,
+    "ps2_swing_significant_windows_surge": windows.swing_significant_windows,
+    "rn1_singleton_names_surge": rare.singleton_names,
+    "tr6_window_evidence_queue": triage.window_evidence_queue,
+    "tr6_statistical_queue": triage.statistical_queue_raw,
+    "tr7_record_evidence_queue": triage.record_evidence_queue,
+    "tr8_cluster_evidence_queue": triage.cluster_evidence_queue,
+    "tr9_triage_summary": triage.triage_summary,
+    "tr10_queue_exact_row_dedup": triage.statistical_queue_dedup,
+    "tr10_lenses_side_by_side": triage.lenses_side_by_side,
+    "tr10_lens_summary": triage.lens_summary,
+    "tr11_score_breakdown": triage.score_breakdown,
+    "tr12_window_measures": triage.window_measures,
+    "tr13_window_cluster_overlaps": triage.window_cluster_overlaps,
+}
+
 
-def _query(build: Callable[[Catalog], DataFrame]) -> Query:
-    return lambda spark, sf_dir: tidy(test_catalog(spark, sf_dir).get(build))
+def _query(build: Callable[[Catalog], DataFrame], catalog: Callable[[SparkSession, str], Catalog] = test_catalog) -> Query:
+    return lambda spark, sf_dir: tidy(catalog(spark, sf_dir).get(build))
 
 
-QUERIES: dict[str, Query] = {name: _query(build) for name, build in TABLES.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
+QUERIES: dict[str, Query] = {name: _query(build) for name, build in TABLES.items()} | {name: _query(build, surge_catalog) for name, build in SURGES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in (ORACLES | TRIAGE_ORACLES).items() if name in QUERIES}

@@ -88,6 +88,26 @@ def test_frequencies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return out[0], out[1]
 
 
+def surge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-in rows as of test_rows, of which every twelfth moves into twenty minutes after 18:00, all of them PRO, on every sixth
+    day of a month; half of those have a letter more at the first name. Bursts, swings and clusters of names follow."""
+    hit = (F.col("id") % 12 == 5) & (F.dayofmonth("timestamp") % 6 == 1)
+    moved = F.date_trunc("DAY", "timestamp").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(18), (F.floor(F.col("id") / 12) % 20).cast("int"), (F.col("id") % 60).cast("int"))
+    letter = F.substring(F.lit("abcdefghij"), (F.floor(F.col("id") / 24) % 10).cast("int") + 1, F.lit(1))
+    return test_rows(spark, sf_dir).withColumns(
+        {
+            "name": F.when(hit & (F.floor(F.col("id") / 12) % 2 == 0), F.concat("name", letter)).otherwise(F.col("name")),
+            "position": F.when(hit, "PRO").otherwise(F.col("position")),
+            "timestamp": F.when(hit, moved).otherwise(F.col("timestamp")),
+        }
+    )
+
+
+def surge_catalog(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Catalog:
+    config = config or Config(cutoff="2024-01-29 12:00:00")
+    return Catalog(spark, canonical(surge_rows(spark, sf_dir), config), config, test_registry(spark, sf_dir), test_frequencies(spark, sf_dir))
+
+
 def test_catalog(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Catalog:
     config = config or Config(cutoff="2024-01-29 12:00:00")
     return Catalog(spark, canonical(test_rows(spark, sf_dir), config), config, test_registry(spark, sf_dir), test_frequencies(spark, sf_dir))
