@@ -132,7 +132,8 @@ def test_queue_of_all_detectors(catalog):
     assert order == sorted(order) and len(rows) == 250
 
 
-def test_measures_have_no_nested_loops_but_for_one_row(catalog):
-    plan = plan_of(catalog.get(triage.measured_statistical))
-    assert plan.count("BroadcastNestedLoopJoin") <= 1  # the facts, one row
-    assert plan.count("parquet") and "Cartesian" not in plan
+def test_no_nested_loops_but_for_one_row(catalog):
+    assert "NestedLoop" not in plan_of(catalog.get(triage.window_cluster_overlaps))
+    plan = plan_of(triage.measured(catalog, catalog.stored(triage.statistical_candidates)))
+    assert plan.count("BroadcastNestedLoopJoin") <= 4  # the facts: aggregates of one row each
+    assert "Cartesian" not in plan
