@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
+from hustings.functions.kernels import normal_p as normal_p_of
 from hustings.operators.profile import steps_back
 from hustings.plans.catalog import Catalog
 
@@ -85,7 +86,7 @@ def bucket_ordering(c: Catalog) -> DataFrame:
     cells = f.with_buckets(names, "minute_bucket", sizes).withColumn("part", part)
     cells = cells.groupBy(*KEY, "name_display").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n_{i}") for i in range(parts)))
     k = sum((F.col(f"n_{i}") for i in range(1, parts)), F.col("n_0"))
-    between = crossed(cells, KEY, parts).groupBy(*KEY).agg(F.sum(k).alias("n_records"), F.sum(k * (k - 1) / 2.0).alias("ties"), F.sum("signs").alias("signs"))
+    between = crossed(cells, KEY, parts).groupBy(*KEY).agg(F.sum(k).alias("n_records"), F.sum(k * (k - 1) / 2.0).alias("ties"), F.sum((k * (k - 1) * (2 * k + 5)).cast("double")).alias("tied"), F.sum("signs").alias("signs"))
     # signs between parts of a bucket count for every bucket around it, as do those within its minutes
     around = F.explode(F.filter(F.array(*(F.lit(s) for s in sizes)), lambda s: s >= F.col("inner_minutes"))).alias("bucket_minutes")
     of = between.select(F.col("bucket_minutes").alias("inner_minutes"), F.col("bucket_start").alias("at"), "signs").unionByName(minutes.select(F.lit(1).alias("inner_minutes"), F.col("minute_bucket").alias("at"), "signs"))
@@ -97,7 +98,44 @@ def bucket_ordering(c: Catalog) -> DataFrame:
     out = between.drop("signs").where("n_records >= 3").join(signs, KEY).join(order, KEY)
     pairs = F.col("n_records").cast("double") * (F.col("n_records") - 1) / 2
     tau = F.when(pairs - F.col("ties") > 0, F.col("signs") / F.sqrt(pairs * (pairs - F.col("ties")))).otherwise(0.0)
-    return out.withColumn("kendall_tau", tau).withColumn("abs_kendall_tau", F.abs("kendall_tau")).drop("signs", "ties")
+    out = with_kendall_p(out.withColumn("kendall_tau", tau), "n_records", "signs", "ties", "tied")
+    return out.withColumn("abs_kendall_tau", F.abs("kendall_tau")).drop("signs", "ties", "tied")
+
+
+#: Rows up to which the null distribution of a ranking without ties is exact.
+EXACT_ROWS = 33
+
+
+def inversion_shares(most: int = EXACT_ROWS) -> list[tuple[int, int, float]]:
+    """(n, c, share): the share of all orders of n things with c inversions at most. The n-th thing adds 0 to n - 1 inversions, equally often."""
+    rows, shares = [], [1.0]
+    for n in range(2, most + 1):
+        wide = [0.0] * (n - 1) + shares + [0.0] * (n - 1)
+        shares = [sum(wide[c : c + n]) / n for c in range(len(shares) + n - 1)]
+        below = 0.0
+        for c, x in enumerate(shares):
+            below += x
+            rows.append((n, c, below))
+    return rows
+
+
+def with_kendall_p(df: DataFrame, n: str, signs: str, ties: str, tied: str) -> DataFrame:
+    """Add the two-sided p of Kendall's S where arrival has no ties.
+
+    Without ties among the names, up to EXACT_ROWS rows (or one inversion at most) it is exact, from a fixed table of inversion
+    counts; else normal, with the variance that tied names leave: `tied` is the sum of k(k-1)(2k+5) over names that come k times. Rows of
+    one name say nothing: 1.
+    """
+    pairs = F.col(n).cast("double") * (F.col(n) - 1) / 2
+    few = F.least(pairs - F.col(signs), pairs + F.col(signs)) / 2  # inversions of the order or of its reverse
+    table = df.sparkSession.createDataFrame(inversion_shares(), "__n long, __c long, __share double")
+    exact = (F.col(ties) == 0) & (F.col(n) <= EXACT_ROWS)
+    df = df.join(F.broadcast(table), exact & (F.col("__n") == F.col(n)) & (F.col("__c") == few.cast("long")), "left")  # 5,984 rows at EXACT_ROWS = 33
+    variance = (F.col(n).cast("double") * (F.col(n) - 1) * (2 * F.col(n) + 5) - F.col(tied)) / 18
+    df = df.withColumn("__p", normal_p_of(F.when(variance > 0, F.col(signs) / F.sqrt(variance))))
+    rare = F.when((F.col(ties) == 0) & (few <= 1), 0.0)  # beyond EXACT_ROWS: 2 / 33! at most
+    p = F.when(pairs - F.col(ties) <= 0, 1.0).when(exact, F.least(F.lit(1.0), 2.0 * F.col("__share"))).otherwise(F.coalesce(rare, F.col("__p"), F.lit(1.0)))
+    return df.withColumn("kendall_p_value", p).drop("__n", "__c", "__share", "__p")
 
 
 def bucket_ordering_summary(c: Catalog) -> DataFrame:

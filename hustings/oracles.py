@@ -367,8 +367,6 @@ ORDERING = f"""{RECORDS}, {ALL_SIZES}, placed AS (SELECT bucket_minutes, {floor_
 sized AS (SELECT bucket_minutes, bucket_start, count(*) AS n_records, list(x ORDER BY r) = list(x ORDER BY x) AS is_alphabetical FROM placed GROUP BY 1, 2 HAVING count(*) >= 3),
 signs AS (SELECT a.bucket_minutes, a.bucket_start, sum(CASE WHEN a.x < b.x THEN 1 WHEN a.x > b.x THEN -1 ELSE 0 END) AS s, count(*) FILTER (a.x = b.x) AS ties FROM placed a JOIN placed b ON a.bucket_minutes = b.bucket_minutes AND a.bucket_start = b.bucket_start AND a.r < b.r GROUP BY 1, 2),
 ordering AS (SELECT z.*, CASE WHEN n_records * (n_records - 1) / 2.0 > ties THEN s / sqrt((n_records * (n_records - 1) / 2.0)::DOUBLE * (n_records * (n_records - 1) / 2.0 - ties)::DOUBLE) ELSE 0.0 END AS kendall_tau FROM sized z JOIN signs USING (bucket_minutes, bucket_start))"""
-ORACLES["so2_bucket_ordering"] = rounded(ORDERING, "SELECT *, abs(kendall_tau) AS abs_kendall_tau FROM ordering", "kendall_tau abs_kendall_tau")
-ORACLES["so4_minute_ordering"] = rounded(ORDERING, "SELECT *, abs(kendall_tau) AS abs_kendall_tau FROM ordering WHERE bucket_minutes = 1", "kendall_tau abs_kendall_tau")
 ORACLES["so3_bucket_ordering_summary"] = rounded(
     ORDERING,
     """SELECT bucket_minutes, count(*) AS n_buckets, avg(n_records) AS avg_records_per_bucket, avg(CASE WHEN is_alphabetical THEN 1.0 ELSE 0.0 END) AS alphabetical_ratio, avg(kendall_tau) AS mean_kendall_tau, avg(abs(kendall_tau)) AS mean_abs_kendall_tau, max(abs(kendall_tau)) AS max_abs_kendall_tau,
@@ -612,6 +610,18 @@ def normal_tails(z: str) -> str:
     return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 7 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE / sqrt(pi()) * exp(-{x2}) * sqrt({x2}) * {series}) END"
 
 
+# the null distribution of Kendall's S: shares of orders by inversions, n things after n - 1
+_ORDERING_P = f"""{ORDERING.replace("WITH ", "")},
+inversions AS (SELECT 1 AS n, [1.0::DOUBLE] AS shares UNION ALL SELECT n + 1, list_transform(range(0, len(shares) + n), lambda c: list_sum(shares[greatest(c - n, 0) + 1:c + 1]) / (n + 1)) FROM inversions WHERE n < 33),
+tied AS (SELECT bucket_minutes, bucket_start, sum(k * (k - 1) * (2 * k + 5)) AS y FROM (SELECT bucket_minutes, bucket_start, x, count(*) AS k FROM placed GROUP BY 1, 2, 3) GROUP BY 1, 2),
+judged AS (SELECT ordering.*, ties, least(n_records * (n_records - 1) // 2 - s, n_records * (n_records - 1) // 2 + s) // 2 AS few, n_records * (n_records - 1) // 2 - ties AS untied, CASE WHEN n_records * (n_records - 1) * (2 * n_records + 5) > y THEN s / sqrt((n_records * (n_records - 1) * (2 * n_records + 5) - y) / 18.0::DOUBLE) END AS z
+  FROM ordering JOIN signs USING (bucket_minutes, bucket_start) JOIN tied USING (bucket_minutes, bucket_start)),
+tested AS (SELECT judged.* EXCLUDE (ties, few, untied, z), abs(kendall_tau) AS abs_kendall_tau, CASE WHEN untied = 0 THEN 1.0::DOUBLE WHEN ties = 0 AND n_records <= 33 THEN least(1.0::DOUBLE, 2.0::DOUBLE * list_sum(shares[1:CAST(few AS BIGINT) + 1])) WHEN ties = 0 AND few <= 1 THEN 0.0::DOUBLE ELSE coalesce({normal_tails('z')}, 1.0::DOUBLE) END AS kendall_p_value
+  FROM judged LEFT JOIN inversions ON n = n_records)"""
+ORACLES["so2_bucket_ordering"] = recursive(_ORDERING_P, "SELECT * FROM tested", "kendall_tau abs_kendall_tau kendall_p_value")
+ORACLES["so4_minute_ordering"] = recursive(_ORDERING_P, "SELECT * FROM tested WHERE bucket_minutes = 1", "kendall_tau abs_kendall_tau kendall_p_value")
+
+
 def q_values(source: str, p: str, q: str, partition: str = "", tested: str = "true") -> str:
     """The source with Benjamini-Hochberg q values over the tested rows of each partition."""
     by = f"PARTITION BY {partition + ', ' if partition else ''}({tested}) AND {p} IS NOT NULL"
