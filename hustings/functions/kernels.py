@@ -223,54 +223,6 @@ def pelt(values: np.ndarray, penalty: float, least: int, jump: int = 5) -> list[
     return sorted(out)
 
 
-_fma = np.frompyfunc(math.fma, 3, 1)
-
-
-def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of counts, means and sums of squares about the mean: those of a with those of b added."""
-    n, total = b[0], np.maximum(a[0] + b[0], 1.0)
-    delta = b[1] - a[1]
-    mean = _fma(delta, n / total, a[1]).astype(float)
-    both = np.stack([a[0] + n, mean, b[2] + a[2] + delta * delta * n * a[0] / total])
-    return np.where(a[0] == 0, b, np.where(n == 0, a, both))
-
-
-def _appended(a: np.ndarray, x: np.ndarray, use: np.ndarray | bool = True) -> np.ndarray:
-    mean = a[1] + (x - a[1]) / (a[0] + 1)
-    return np.where(use, np.stack([a[0] + 1, mean, a[2] + (x - mean) * (x - a[1])]), a)
-
-
-def rolling_moments(x: np.ndarray, first: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population variance of each run of w values, x[0] being value number `first` of a series.
-
-    Sums are about the mean, so large values with a small spread keep their digits. Values and aligned
-    sixteens of them are added in the order of DuckDB's window tree: what lies next to a tie when
-    rounded falls as it does there.
-    """
-    side, lead = 16, first % 16
-    x = np.concatenate([np.zeros(lead), x])
-    begin = np.arange(lead, max(len(x) - w + 1, lead))
-    end = begin + w
-    sixteens = np.zeros((3, len(x) // side))
-    for column in x[: len(x) // side * side].reshape(-1, side).T:
-        sixteens = _appended(sixteens, column)
-    low, high = -(-begin // side), end // side
-    whole = low < high
-    left, right = np.where(whole, low * side, end), np.where(whole, high * side, end)
-    out = np.zeros((3, len(begin)))
-    for k in range(min(w, 2 * side)):  # a run without a whole sixteen is added value by value
-        at = begin + k
-        out = _appended(out, x[np.minimum(at, len(x) - 1)], at < left)
-    for k in range(w // side):
-        at = low + k
-        out = _merged(out, np.where(at < high, sixteens[:, np.minimum(at, sixteens.shape[1] - 1)], 0.0))
-    for k in range(min(w, side)):
-        at = right + k
-        out = _appended(out, x[np.minimum(at, len(x) - 1)], at < end)
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    return (sums[end] - sums[begin]) / w, out[2] / w
-
-
 def isolation_scores(x: np.ndarray, trees: int = 300, seed: int = 42) -> np.ndarray:
     """Isolation forest scores in (0, 1]; higher is more isolated."""
     rng = np.random.default_rng(seed)

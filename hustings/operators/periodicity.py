@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
-from hustings.functions.kernels import chi2_sf, rolling_moments
+from hustings.functions.kernels import chi2_sf
 from hustings.operators.profile import counts_per_minute
 from hustings.plans.catalog import Catalog
+from hustings.plans.running import running_totals
 
 
 def series(c: Catalog) -> DataFrame:
@@ -144,25 +145,15 @@ def clockface_null(c: Catalog) -> DataFrame:
 
 
 def rolling_fano(c: Catalog) -> DataFrame:
-    """Variance over mean in every window; stretches of minutes, each with the minutes its first windows reach back to, are scanned apart."""
-    windows = c.config.fano_windows
-    reach = max(windows) - 1
-    stretch = 4096 * (reach // 4096 + 1)  # so a minute is in two stretches at most
-    s = c.get(series).select(F.explode(F.sequence(F.expr(f"i div {stretch}"), F.expr(f"(i + {reach}) div {stretch}"))).alias("stretch"), "i", "minute_bucket", "x")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        i, x, minute = rows["i"].to_numpy(), rows["x"].to_numpy(float), rows["minute_bucket"].to_numpy()
-        parts = []
-        for w in windows:
-            mean, var = rolling_moments(x, int(i[0]), w)
-            own = i[w - 1 :] // stretch == key[0]
-            parts.append(pd.DataFrame({"window_minutes": w, "end_minute": minute[w - 1 :][own], "mean_count": mean[own], "variance_count": var[own]}))
-        return pd.concat(parts)
-
-    df = s.groupBy("stretch").applyInPandas(run, "window_minutes int, end_minute timestamp_ntz, mean_count double, variance_count double")
-    start = f.plus_minutes("end_minute", 1 - F.col("window_minutes"))
-    df = df.select("window_minutes", start.alias("start_minute"), "end_minute", F.col("window_minutes").alias("n_points"), "mean_count", "variance_count")
+    """Variance over mean in every window. Counts are whole numbers, so sums and sums of squares are differences of exact running totals, and the variance is (w * S2 - S1 * S1) / w**2."""
+    whole = lambda x: F.col(x).cast("decimal(38,0)")
+    s = c.get(series).select("i", "minute_bucket", whole("x").alias("s1"), (whole("x") * whole("x")).cast("decimal(38,0)").alias("s2"))
+    totals = running_totals(s.drop("i"), "minute_bucket", ["s1", "s2"])
+    ends = totals.join(s.select("minute_bucket", "i"), "minute_bucket").withColumn("window_minutes", F.explode(F.array(*map(F.lit, c.config.fano_windows)))).where("i >= window_minutes - 1")
+    ends = ends.withColumn("before", f.plus_minutes("minute_bucket", -F.col("window_minutes")))
+    df = ends.join(totals.select(F.col("minute_bucket").alias("before"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), "before", "left")
+    w, s1, s2 = F.col("window_minutes"), (F.col("s1") - F.coalesce("a1", F.lit(0))).cast("decimal(38,0)"), (F.col("s2") - F.coalesce("a2", F.lit(0))).cast("decimal(38,0)")
+    df = df.select("window_minutes", f.plus_minutes("minute_bucket", 1 - w).alias("start_minute"), F.col("minute_bucket").alias("end_minute"), w.alias("n_points"), (s1.cast("double") / w).alias("mean_count"), ((w * s2 - s1 * s1).cast("double") / (w * w).cast("double")).alias("variance_count"))
     df = df.withColumn("fano_factor", F.when(F.col("mean_count") > 0, F.col("variance_count") / F.col("mean_count")).otherwise(0.0))
     return df.withColumn("is_high_fano", F.col("fano_factor") >= c.config.high_fano)
 

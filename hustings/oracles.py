@@ -220,8 +220,8 @@ _CD = "expected_n_events_uniform deviation_from_uniform share z_score_uniform"
 ORACLES["pe6_clockface_distribution"] = rounded(CLOCK, "SELECT * FROM clock", _CD)
 ORACLES["pe7_clockface_top_minutes"] = rounded(CLOCK, "SELECT * FROM clock ORDER BY n_events DESC, minute_of_hour LIMIT 20", _CD)
 FANO = f"""{INDEXED}, fano AS (SELECT *, CASE WHEN mean_count > 0 THEN variance_count / mean_count ELSE 0.0 END AS fano_factor FROM (""" + " UNION ALL ".join(
-    f"""SELECT {w}::BIGINT AS window_minutes, minute_bucket - to_minutes({w - 1}) AS start_minute, minute_bucket AS end_minute, {w}::BIGINT AS n_points, avg(x) OVER r AS mean_count, var_pop(x) OVER r AS variance_count, i
-    FROM s WINDOW r AS (ORDER BY i ROWS {w - 1} PRECEDING) QUALIFY i >= {w - 1}"""
+    f"""SELECT {w}::BIGINT AS window_minutes, minute_bucket - to_minutes({w - 1}) AS start_minute, minute_bucket AS end_minute, {w}::BIGINT AS n_points, CAST(sum(k) OVER r AS DOUBLE) / {w} AS mean_count, CAST({w} * sum(k * k) OVER r - sum(k) OVER r * sum(k) OVER r AS DOUBLE) / {w * w} AS variance_count, i
+    FROM (SELECT *, CAST(x AS HUGEINT) AS k FROM s) WINDOW r AS (ORDER BY i ROWS {w - 1} PRECEDING) QUALIFY i >= {w - 1}"""
     for w in (15, 60, 240)
 ) + "))"
 ORACLES["pe9_rolling_fano"] = rounded(FANO, "SELECT * EXCLUDE (i), fano_factor >= 1.5 AS is_high_fano FROM fano", "mean_count variance_count fano_factor")

@@ -173,7 +173,9 @@ def test_rolling_fano_of_high_counts(spark):
     c = Catalog(spark, None, Config(fano_windows=(3, 50, 5000)))
     frame = spark.createDataFrame(pd.DataFrame({"i": np.arange(9000), "x": x}))
     c._built["hustings.operators.periodicity.series"] = frame.select("i", f.plus_minutes(F.lit(DAY).cast("timestamp_ntz"), F.col("i")).alias("minute_bucket"), "x")
-    rows = c.get(periodicity.rolling_fano).collect()
+    df = c.get(periodicity.rolling_fano)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = df.collect()
     assert len({(r.window_minutes, r.end_minute) for r in rows}) == len(rows) == 3 * 9001 - 5053
     for w in c.config.fano_windows:
         got = sorted((r.start_minute, r.end_minute, r.variance_count) for r in rows if r.window_minutes == w)
