@@ -6,12 +6,14 @@ length to its parent and half of them to its grandparent; containers start with
 element and lose them for names that speak of boilerplate; what a container has is discounted by
 the share of its text that stands in links. The best container is kept, with all of its siblings
 that are not boilerplate or mostly links, whatever their element and length; menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are never part of it.
+adverts, forms and reader comments are never part of it. Names alone do not decide what those are: an element around the
+article stays whatever its name, be it a form, and one whose name says something else too (market-share) goes only if
+it holds links or no prose; has-, no- and with- begin names of layouts.
 
 Every pass over the tree takes time in proportion to the page, however deep its elements nest.
 
 Defined cases: a null or blank page, and one without text outside boilerplate, gives the empty
-text; an unclosed element ends with its parent, and a paragraph with the next block; a cut-off
+text; a page that is one form, or one wrapper with a name of boilerplate, is read like any other; an unclosed element ends with its parent, and a paragraph with the next block; a cut-off
 tag at the end is dropped; equal pages give equal texts; on equal scores the first container
 wins; rows that repeat a page_id, and null ids and urls, come back as they are; very long pages are
 parsed whole; other columns are ignored.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -39,15 +42,24 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never part of an article's text.
-BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head fieldset label input option".split())
+BOILERPLATE = frozenset("nav header footer aside button select menu dialog head label input option".split())
+#: Elements that are boilerplate unless the page's article stands in them.
+WRAPPERS = frozenset(("form", "fieldset"))
 #: Elements that hold paragraphs, with the points they start with.
 CONTAINERS = {"article": 25, "main": 20, "section": 5, "div": 5, "td": 3, "blockquote": 3, "body": 0}
-#: Words in class, id or role that speak of boilerplate, and those that speak of content.
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|outbrain|pager|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|skyscraper|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class and id that speak of boilerplate, of reader comments, and of nothing but place and shape.
+NEGATIVE = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline cookie cookies consent footer header login masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination "
+    "popup promo promoted related share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe taboola teaser toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+SHAPES = frozenset(
+    "active area articles bar block bottom box buttons card center col column container content cta desktop element fixed float form global group icons inline inner item items left link links list main mobile more outer "
+    "page panel policy popular posts primary reader readers region right row secondary section site slot stories sub tag text thread top unit up user widgets wrap wrapper zone".split()
+)
+#: Words after which a name says how a page is laid out, not what the element is.
+LAYOUT = frozenset("has no with without".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 POSITIVE = re.compile(r"article|body|content|entry|main|page|post|story|text", re.IGNORECASE)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 #: What a start tag closes if it is open in the same block.
@@ -60,21 +72,41 @@ LEAST_POINTS, MOST_LINKS = 25, 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "negative", "order", "chars", "link_chars", "commas", "holder", "article")
+    __slots__ = ("tag", "parent", "children", "score", "negative", "doubt", "order", "chars", "link_chars", "commas", "prose", "sure", "framed", "holder", "article")
 
-    def __init__(self, tag: str, parent: Node | None, order: int, score: float = 0.0, negative: bool = False) -> None:
-        self.tag, self.parent, self.order, self.score, self.negative = tag, parent, order, score, negative
+    def __init__(self, tag: str, parent: Node | None, order: int, score: float = 0.0, negative: bool = False, doubt: int = 0) -> None:
+        self.tag, self.parent, self.order, self.score, self.negative, self.doubt = tag, parent, order, score, negative, doubt
         self.children: list[Node | str] = []
-        self.chars = self.link_chars = self.commas = 0
+        self.chars = self.link_chars = self.commas = self.prose = self.sure = 0
+        self.framed = False
         up = parent
         # nearest container at or above this element, and outermost article or main above it
         self.holder: Node | None = self if tag in CONTAINERS or tag in ("#root", "html") else up.holder if up else None
         self.article: Node | None = None if up is None or up.tag in ("#root", "html", "body") else up.article or (up if up.tag in ("article", "main") else None)
 
 
-def _named(tag: str, attributes: str) -> tuple[float, bool]:
-    """Points an element starts with, and whether its names make it boilerplate."""
-    score, negative = float(CONTAINERS.get(tag, 0)), False
+#: What the name of an element leaves open: nothing, whether it is boilerplate, hardly that, hardly that it is comments.
+CLEAR, MAYBE, LIKELY, COMMENTARY = range(4)
+
+
+@lru_cache(maxsize=4096)
+def _doubt(value: str) -> int:
+    """What a class or id value says: each name in it is split into words, also where capitals start."""
+    out = CLEAR
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        at = next((k for k, w in enumerate(words) if w in LAYOUT), len(words))
+        words = words[:at]
+        if COMMENTS.intersection(words):
+            out = max(out, COMMENTARY if all(w in NEGATIVE or w in COMMENTS or w in SHAPES for w in words) else MAYBE)
+        elif NEGATIVE.intersection(words):
+            out = max(out, LIKELY if all(w in NEGATIVE or w in SHAPES for w in words) else MAYBE)
+    return out
+
+
+def _named(tag: str, attributes: str) -> tuple[float, bool, int]:
+    """Points an element starts with, whether it is hidden or has a role of boilerplate, and what its names leave open."""
+    score, negative, doubt = float(CONTAINERS.get(tag, 0)), False, CLEAR
     if attributes:
         for m in NAMES.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -84,11 +116,11 @@ def _named(tag: str, attributes: str) -> tuple[float, bool]:
                 negative |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
             elif name == "role":
                 negative |= value.lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"}
-            elif NEGATIVE.search(value) and tag not in ("body", "html", "article", "main"):
-                negative = True
+            elif tag not in ("body", "html", "article", "main") and (said := _doubt(value)):
+                doubt = max(doubt, said)
             elif POSITIVE.search(value):
                 score += 10
-    return score, negative
+    return score, negative, doubt
 
 
 #: End tags do not reach out of these, but for end tags of the page's own frame.
@@ -168,15 +200,58 @@ def parse(html: str) -> Node:
             while open_.blocks and open_.path[open_.blocks[-1]].tag in CLOSES[tag]:
                 open_.cut(open_.blocks[-1])
         order += 1
-        score, negative = _named(tag, m[3])
+        score, negative, doubt = _named(tag, m[3])
         node = open_.path[-1]
-        child = Node(tag, node, order, score, negative or tag in BOILERPLATE)
+        child = Node(tag, node, order, score, negative or tag in BOILERPLATE, max(doubt, LIKELY) if tag in WRAPPERS else doubt)
         node.children.append(child)
         if tag not in VOID and not m[3].endswith("/") and not m[4]:
             open_.push(child)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Decide on elements whose names leave it open whether they are boilerplate.
+
+    An element stays if the page's article stands in it: an article, a main element or a first heading, and most of the
+    page's prose that stands in no element with a name of boilerplate; or three quarters of it on a page that has none of these (comments never for that). Of the rest, names that say nothing but boilerplate
+    go, and others go if the tree agrees: mostly links, or no prose. What stays with a doubtful name loses points.
+    """
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    doubtful = []
+    while stack:
+        node, done = stack.pop()
+        if not done:
+            if node.doubt and not node.negative:
+                doubtful.append(node)
+            stack.append((node, True))
+            stack.extend((c, False) for c in node.children if not isinstance(c, str) and not c.negative)
+            continue
+        own = 0
+        for c in node.children:
+            if isinstance(c, str):
+                own += len(c.strip())
+            elif not c.negative:
+                node.prose += c.prose
+                node.sure += c.sure if c.framed or c.doubt < LIKELY else 0
+                node.framed |= c.framed
+                node.chars += c.chars
+                node.link_chars += c.link_chars
+                own += c.chars if c.tag not in BLOCK and c.tag != "a" and not c.prose else 0
+        node.framed |= node.tag in ("article", "main", "h1")
+        node.chars += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            node.link_chars = node.chars
+        elif own >= LEAST_POINTS and (node.tag in BLOCK or node is root):
+            node.prose += own
+            node.sure += own
+    for node in doubtful:
+        most = node.sure >= 0.5 * root.sure > 0 and node.framed or not root.framed and node.doubt != COMMENTARY and node.prose >= 0.75 * root.prose > 0
+        agrees = node.doubt != MAYBE or not node.prose or _density(node) >= MOST_LINKS
+        node.negative = not most and agrees
+        if not node.negative and node.tag not in WRAPPERS:
+            node.score -= 10
+
+
 def _measure(root: Node) -> list[Node]:
     """Lengths of text and link text, and commas, of every element outside boilerplate; elements in page order."""
     out: list[Node] = []
@@ -184,6 +259,7 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         node, linked, done = stack.pop()
         if done:
+            node.chars = node.link_chars = 0
             for c in node.children:
                 if isinstance(c, str):
                     n = len(" ".join(unescape(c).split()))
@@ -258,6 +334,7 @@ def extract(html: str | None) -> str:
     if not html or not html.strip():
         return ""
     root = parse(html)
+    _settle(root)
     nodes = _measure(root)
     best = best_container(nodes)
     if best is None:  # no paragraph of any length: whatever an article or the page holds
