@@ -7,8 +7,10 @@ ordinary identifiers: words and names seen there cost next to nothing, random st
 to their entropy. Candidates that stay incompressible are reported as kind `novel` if no other
 span covers them.
 
-Defined cases: a null text is empty and holds nothing; equal rows give equal results; offsets
-are code points, ends exclusive; other columns are ignored.
+Defined cases: a null text is empty and holds nothing; equal rows give equal results, and rows that repeat are each
+reported; offsets are code points, ends exclusive; of overlapping candidates the one that is met first stands, and
+none that overlaps a fixed kind; texts of any length are scanned whole, in time in proportion to them, however many
+secrets they hold; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ CONTEXT_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: What may part the lines of one secret, and the rest of one that ends in padding.
-GAP = re.compile(r"""(?:\s|\\[nr]|["'+\\]){1,80}""")
+#: What may part the lines of one secret, what joins the parts of one token, and the rest of one that ends in padding.
+GAP = re.compile(r"""(?:\s|\\[nr]|["'+\\])+""")
+JOINT = re.compile(r"[.:~](?=[A-Za-z0-9+/_=-]{16})")
 LAST = re.compile(r"[A-Za-z0-9+/_-]{1,15}={1,2}(?![A-Za-z0-9+/_=-])")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
 TAIL = re.compile(r"""([A-Za-z0-9+/=]{1,15})(?:\s|\\[nr]|["'+\\])*\Z""")
@@ -102,46 +104,70 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _covered(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible candidates in sensitive contexts that no known span overlaps.
 
     A context reaches over NEAR characters to the right and to the left of its word, and from any
-    secret to the next candidate that only white space, line ends or quotes part from it. A block
-    of a private key is taken to its end as soon as one of its candidates is incompressible.
+    secret to the next candidate that only white space, line ends or quotes part from it; what a dot, colon or
+    tilde joins to a secret is a part of the same token. A block of a private key is taken to its end as soon as one of its candidates is incompressible.
     """
-    taken = sorted((a, b) for a, b, _ in known)
+    starts, ends = _covered(known)  # of disjoint stretches, in order; found spans join them
     out: list[tuple[int, int]] = []
     judged: dict[tuple[int, int], bool] = {}
+    walked: set[int] = set()
 
     def judge(a: int, b: int, sure: bool = False) -> bool:
         """Whether the candidate is or touches a secret; a new one is added."""
         if sure or (a, b) not in judged:
             judged[a, b] = True
-            if not any(x < b and a < y for x, y in chain(taken, out)):
+            k = bisect_left(starts, b)
+            if k == 0 or ends[k - 1] <= a:
                 found = text[a:b]
                 mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)  # words and numbers alone are ordinary
                 judged[a, b] = sure or mixed and incompressible(found, text[max(0, a - AROUND) : a] + text[b : b + AROUND])
                 if judged[a, b]:
                     out.append((a, b))
+                    starts.insert(k, a)
+                    ends.insert(k, b)
         return judged[a, b]
 
     def onward(end: int) -> None:
-        while (gap := GAP.match(text, end)) and (m := CANDIDATE.match(text, gap.end())) and judge(*m.span()):
-            end = m.end()
-        if gap and (m := LAST.match(text, gap.end())):  # what is left of a padded key
-            judge(*m.span(), sure=True)
+        """From the end of a secret to what belongs to it or follows it; every end is walked from once."""
+        while end not in walked:
+            walked.add(end)
+            if joint := JOINT.match(text, end):
+                m = CANDIDATE.match(text, joint.end())
+                judge(*m.span(), sure=True)
+                end = m.end()
+            elif (gap := GAP.match(text, end)) and (m := CANDIDATE.match(text, gap.end())) and judge(*m.span()):
+                end = m.end()
+            elif gap and (m := LAST.match(text, gap.end())):  # what is left of a padded key
+                judge(*m.span(), sure=True)
 
     runs = [m.span() for m in CANDIDATE.finditer(text)]
-    ends = [b for _, b in runs]
+    stops = [b for _, b in runs]
     reached = 0
     for word in CONTEXT.finditer(text):
-        for a, b in runs[bisect_left(ends, word.start() - NEAR) : bisect_right(ends, word.start())]:
+        for a, b in runs[bisect_left(stops, word.start() - NEAR) : bisect_right(stops, word.start())]:
             if judge(a, b):
                 onward(b)
         at = max(word.end(), reached)
-        k = bisect_left(ends, at + 16)  # a run may begin before the word ends
+        k = bisect_left(stops, at + 16)  # a run may begin before the word ends
         while k < len(runs) and (a := max(runs[k][0], at)) <= word.end() + NEAR:
-            reached = at = ends[k]
+            reached = at = stops[k]
             if judge(a, at):
                 onward(at)
             k += 1
