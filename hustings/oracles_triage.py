@@ -167,3 +167,15 @@ ORACLES["tr9_triage_summary"] = surging(
         "overall_pro_rate overall_con_rate off_hours_ratio",
     )
 )
+
+ORACLES["fv1_report_vector"] = surging(
+    recursive(
+        f"{MEASURES}, {window_verdicts('raw')}, windows_ AS ({window_queue('raw')}), {after(_NAMED[: _NAMED.index(', signals AS')], RECORDS + ', ' + NAMES + ', ')},"
+        f"""one AS (SELECT count(*) AS total_submissions, {ratio("count(*) FILTER (pos = 'Pro')", 'count(*)')} AS overall_pro_rate, {ratio("count(*) FILTER (pos = 'Con')", 'count(*)')} AS overall_con_rate, (SELECT count(*) FROM windows_) AS window_queue_size, (SELECT least(count(*), 250) FROM people) AS record_queue_size, (SELECT least(count(*), 250) FROM summary) AS cluster_queue_size,
+          {', '.join(f"(SELECT count(*) FILTER (evidence_tier = '{t}') FROM windows_) AS window_{t}_count" for t in ('high', 'medium', 'watch'))}, (SELECT CAST(count(*) FILTER (evidence_tier = 'high') AS DOUBLE) / greatest(count(*), 1) FROM windows_) AS window_high_share, (SELECT max(score) FROM windows_) AS window_top_score, (SELECT max(abs(z)) FROM windows_) AS window_top_abs_z,
+          (SELECT max(dup_fraction) FROM windows_) AS window_top_dup_fraction, (SELECT min(q_value) FROM windows_) AS window_min_q_value, (SELECT max(n) FROM rep) AS top_name_max_records, (SELECT max(n_records) FROM (SELECT * FROM summary ORDER BY cluster_id LIMIT 5)) AS top_cluster_max_records,
+          {ratio('count(*) FILTER (off)', 'count(*)')} AS off_hours_ratio, CAST(count(*) - (SELECT sum(n_total_dedup) FROM grid) AS DOUBLE) / count(*) AS dedup_drop_fraction FROM sub)""",
+        "SELECT metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM one) ON COLUMNS(*) INTO NAME metric VALUE value)",
+        "value",
+    )
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hustings.functions.core import tidy
-from hustings.operators import duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, report, triage, windows
+from hustings.operators import corpus, duplicates, fusion, off_hours, ordering, organisations, periodicity, profile, rare, registry_match, report, triage, windows
 from hustings.oracles import ORACLES
 from hustings.oracles_triage import ORACLES as TRIAGE_ORACLES
 from hustings.plans.catalog import Catalog
@@ -153,6 +153,7 @@ SURGES: dict[str, Callable[[Catalog], DataFrame]] = {
     "tr10_lenses_side_by_side": triage.lenses_side_by_side,
     "tr10_lens_summary": triage.lens_summary,
     "tr11_score_breakdown": triage.score_breakdown,
+    "fv1_report_vector": corpus.report_vector,
     "tr12_window_measures": triage.window_measures,
     "tr13_window_cluster_overlaps": triage.window_cluster_overlaps,
 }
