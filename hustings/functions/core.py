@@ -81,6 +81,29 @@ def with_buckets(df: DataFrame, time: str, sizes: tuple[int, ...], out: str = "b
     return spread.withColumn(out, floor_bucket(time, "bucket_minutes"))
 
 
+def bucket_minutes_of(df: DataFrame, column: str) -> Column:
+    """Minutes of a bucket from whatever a chart row holds: numbers and their texts rounded (halves to even), null unless above zero; truth values are no minutes."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(f"`{column}`")
+    if kind in ("boolean", "void") or kind not in ("string", "double", "float", "decimal", "byte", "short", "integer", "long"):
+        return F.lit(None).cast("int")
+    x = F.trim(c).try_cast("double") if kind == "string" else c.cast("double")
+    whole = F.when(~F.isnan(x) & (F.abs(x) < 2.0**31 - 1), F.rint(x))
+    return F.when(whole > 0, whole.cast("int"))
+
+
+#: Lenses and other names they go by.
+LENSES = ("raw", "exact_row_dedup", "side_by_side")
+
+
+def lens_of(name: str | None, default: str = "raw") -> str:
+    """A lens by its name in any case, the default for none; an error for any other."""
+    text = (name or "").strip().lower() or default
+    if text not in LENSES:
+        raise ValueError(f"{name!r} is no lens: {', '.join(LENSES)}")
+    return text
+
+
 def localise(instant: Column | str, zone: str) -> Column:
     """A wall-clock time checked against its zone: moved past a gap to the first valid instant, null where it comes twice."""
     t = col(instant)

@@ -17,8 +17,9 @@ from hustings.operators.duplicates import cluster_summary, top_repeated_names
 from hustings.operators.fusion import high_priority_windows
 from hustings.operators.profile import counts_per_minute
 from hustings.operators.rare import record_rarity, weird_names
-from hustings.operators.windows import burst_significant_windows, swing_significant_windows
+from hustings.operators.windows import burst_significant_windows, burst_window_tests, swing_significant_windows
 from hustings.plans.catalog import Catalog
+from hustings.plans.contracts import SIGNALS
 from hustings.plans.overlap import overlapping
 from hustings.plans.running import running_totals
 
@@ -289,6 +290,33 @@ def window_cluster_overlaps(c: Catalog) -> DataFrame:
     return overlapping(windows, clusters, ("start_minute", "end_minute"), ("first_seen", "last_seen")).select("window_id", "cluster_id", "cluster_size", "n_records")
 
 
+def queue_of_lens(c: Catalog, lens: str | None = None) -> DataFrame:
+    """The queue of a lens by name."""
+    return c.get({"raw": statistical_queue_raw, "exact_row_dedup": statistical_queue_dedup, "side_by_side": lenses_side_by_side}[f.lens_of(lens)])
+
+
+def raw_burst_signals(c: Catalog) -> DataFrame:
+    """Every tested burst window as a signal before anything is clamped: what the evidence contract is there to catch."""
+    kind = F.when(F.col("is_low_power"), "rate_ratio").otherwise("stat_fdr")
+    start = F.date_format("start_minute", "yyyyMMdd'T'HHmm")
+    return c.get(burst_window_tests).select(
+        F.concat_ws(":", F.lit("burst"), "window_minutes", start).alias("signal_id"),
+        kind.alias("evidence_kind"),
+        ((F.col("rate_ratio") - 1.0) / 3.0).alias("signal_score"),
+        F.col("observed_count").cast("long").alias("support_n"),
+        F.col("delta_pro_rate").alias("effect_size"),
+        "p_value",
+        "q_value",
+        F.when(F.hour("start_minute") == 18, "surge").otherwise(MANIPULATION).alias("explanation_hint"),
+    )
+
+
+def contract_violations(c: Catalog) -> DataFrame:
+    """How many of these break which rule of the evidence contract, and the first that does."""
+    found = SIGNALS.violations(c.get(raw_burst_signals), "signal_id")
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n_violations"), F.min("signal_id").alias("first_signal_id"))
+
+
 # names and clusters ------------------------------------------------------------------------------
 
 

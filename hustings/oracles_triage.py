@@ -179,3 +179,12 @@ ORACLES["fv1_report_vector"] = surging(
         "value",
     )
 )
+
+_SIGNAL = "'burst:' || window_minutes || ':' || strftime(start_minute, '%Y%m%dT%H%M')"
+ORACLES["tr5_contract_violations"] = surging(
+    rounded(
+        f"""{_BU}, broken AS (SELECT {_SIGNAL} AS signal_id, 'evidence_kind_unknown' AS rule FROM bt WHERE is_low_power
+          UNION ALL SELECT {_SIGNAL}, 'signal_score_range' FROM bt WHERE rate_ratio IS NULL OR NOT (rate_ratio - 1.0::DOUBLE) / 3.0::DOUBLE BETWEEN 0 AND 1 UNION ALL SELECT {_SIGNAL}, 'explanation_hint_unknown' FROM bt WHERE hour(start_minute) = 18)""",
+        "SELECT rule, count(*) AS n_violations, min(signal_id) AS first_signal_id FROM broken GROUP BY 1",
+    )
+)

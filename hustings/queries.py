@@ -144,6 +144,7 @@ SURGES: dict[str, Callable[[Catalog], DataFrame]] = {
     "bu2_burst_significant_windows_surge": windows.burst_significant_windows,
     "ps2_swing_significant_windows_surge": windows.swing_significant_windows,
     "rn1_singleton_names_surge": rare.singleton_names,
+    "tr5_contract_violations": triage.contract_violations,
     "tr6_window_evidence_queue": triage.window_evidence_queue,
     "tr6_statistical_queue": triage.statistical_queue_raw,
     "tr7_record_evidence_queue": triage.record_evidence_queue,
