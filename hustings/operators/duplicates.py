@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
-from hustings.functions.kernels import token_set_ratio
 from hustings.operators.profile import name_frequency
+from hustings.operators.similar_names import similar_pairs
 from hustings.plans.catalog import Catalog
 from hustings.plans.graph import connected_components
 
@@ -62,19 +62,14 @@ def candidate_blocks(c: Catalog) -> DataFrame:
 
 
 def skipped_blocks(c: Catalog) -> DataFrame:
-    """Blocks beyond the cap, which the reference semantics leave out and report."""
+    """Blocks beyond the cap that comparing all pairs needs. They are reported as large; similarity_edges compares them like any other."""
     return c.get(candidate_blocks).where(F.col("n_unique_names") > c.config.block_cap).withColumn("reason", F.lit("block_size_exceeds_limit"))
 
 
 def similarity_edges(c: Catalog) -> DataFrame:
-    """Pairs of one block whose token-set ratio, cut to an integer, reaches the threshold."""
-    blocks = c.get(candidate_blocks).where(F.col("n_unique_names") <= c.config.block_cap).select("block_key")
-    names = c.get(blocked_names).join(blocks, "block_key").select("block_key", "canonical_name", "name_display")
-    a, b = names.alias("a"), names.alias("b")
-    pairs = a.join(b, (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.canonical_name") < F.col("b.canonical_name")))
-    pairs = pairs.select("a.block_key", F.col("a.canonical_name").alias("left_name"), F.col("b.canonical_name").alias("right_name"), F.col("a.name_display").alias("x"), F.col("b.name_display").alias("y"))
-    scored = pairs.withColumn("similarity", F.floor(token_set_ratio("x", "y")).cast("int"))
-    return scored.where(F.col("similarity") >= c.config.similarity).drop("x", "y")
+    """Pairs of one block whose token-set ratio, cut to an integer, reaches the threshold; blocks of any size."""
+    blocks = c.get(candidate_blocks).select("block_key")
+    return similar_pairs(c.get(blocked_names).join(blocks, "block_key"), c.config.similarity)
 
 
 def cluster_members(c: Catalog) -> DataFrame:

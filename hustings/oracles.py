@@ -541,8 +541,7 @@ joined AS (SELECT *, array_to_string(common, ' ') AS b, trim(array_to_string(com
 EDGES = f"""{RECORDS},
 persons AS (SELECT canonical_name, min(name_display) AS name_display, upper(left(min(last), 4) || '|' || left(min(first), 1)) AS block_key FROM sub GROUP BY 1),
 compared AS (
-  SELECT a.block_key, a.canonical_name AS left_name, b.canonical_name AS right_name, a.name_display AS x, b.name_display AS y FROM persons a JOIN persons b ON a.block_key = b.block_key AND a.canonical_name < b.canonical_name
-  WHERE a.block_key IN (SELECT block_key FROM persons GROUP BY 1 HAVING count(*) <= 5000)),
+  SELECT a.block_key, a.canonical_name AS left_name, b.canonical_name AS right_name, a.name_display AS x, b.name_display AS y FROM persons a JOIN persons b ON a.block_key = b.block_key AND a.canonical_name < b.canonical_name),
 {SPLIT_BOTH},
 edges AS MATERIALIZED (
   SELECT block_key, left_name, right_name, CAST(floor(CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 0.0::DOUBLE WHEN len(common) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 100.0::DOUBLE
