@@ -187,6 +187,28 @@ def stored_submissions(rows: DataFrame, source_file: str | None = None) -> DataF
     )
 
 
+def database_submissions(spark: SparkSession, url: str, table: str = "public_submissions", source_file: str | None = None, partitions: int = 8, driver: str | None = None, properties: dict[str, str] | None = None) -> DataFrame:
+    """Stored submissions of a database table over JDBC, in ranges of their row numbers, as canonical input.
+
+    The bounds of the ranges are one query; rows outside them, or without a number, fall into the first or last
+    range, so none is lost. A source file is a condition that the database answers, and so is the choice of columns.
+    """
+    options = {"url": url} | ({"driver": driver} if driver else {}) | (properties or {})
+    reader = spark.read.format("jdbc").options(**options)
+    columns = "source_file source_row_number source_id name_raw organization_raw position_raw signed_at".split()
+    rows = spark.read.format("jdbc").options(**options).option("dbtable", table)
+    named = {x.lower(): x for x in rows.load().columns}  # as the database writes them
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    number, text = quote(named["source_row_number"]), (source_file or "").replace("'", "''")
+    where = f" WHERE {quote(named['source_file'])} = '{text}'" if source_file is not None else ""
+    low, high = reader.option("query", f"SELECT min({number}) AS low_, max({number}) AS high_ FROM {table}{where}").load().first()
+    if low is not None and high > low and partitions > 1:
+        rows = rows.option("partitionColumn", named["source_row_number"]).option("lowerBound", low).option("upperBound", high).option("numPartitions", partitions)
+    df = rows.load()
+    df = df.select(*(F.col(x).alias(x.lower()) for x in df.columns if x.lower() in columns))
+    return stored_submissions(df.withColumn("signed_at", F.col("signed_at").cast("timestamp_ntz")), source_file)
+
+
 def side_car(text: str) -> dict:
     """Hearing metadata from JSON or flat YAML: version 1, an id, a zone, ordered times as wall-clock times of the zone."""
     try:
