@@ -114,6 +114,14 @@ def hourly_rates(c: Catalog) -> DataFrame:
     return spine.join(F.broadcast(seen), "hour", "left").join(F.broadcast(c.get(overall))).select("hour", F.coalesce("rate", "rate_per_minute").alias("rate_per_minute"))
 
 
+def day_hour_rates(c: Catalog) -> DataFrame:
+    """Mean count a minute for each day of the week (0 is Monday) and hour; cells never seen have the global mean."""
+    seen = c.get(counts_per_minute).groupBy(F.weekday("minute_bucket").alias("day_of_week"), F.hour("minute_bucket").alias("hour")).agg(F.avg("n_total").alias("rate"))
+    spine = c.spark.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("day_of_week"), (F.col("id") % 24).cast("int").alias("hour"))
+    cells = spine.join(F.broadcast(seen), ["day_of_week", "hour"], "left").join(F.broadcast(c.get(overall)))  # 168 rows, one row
+    return cells.select("day_of_week", "hour", F.coalesce("rate", "rate_per_minute").alias("rate_per_minute"))
+
+
 def burst_summary(c: Catalog) -> DataFrame:
     t = c.get(burst_window_tests)
     middle = t.where("is_significant").agg(F.percentile("abs_delta_pro_rate", F.lit(0.5)).alias("middle"))

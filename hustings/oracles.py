@@ -698,3 +698,5 @@ ORACLES["qu2_data_quality_warnings"] = rounded(
     " UNION ALL ".join(f"SELECT '{k}' AS warning, {x} AS observed, {limit}::DOUBLE AS threshold, {x} >= {limit}::DOUBLE AS is_raised FROM one" for k, x, limit in _CHECKS),
     "observed threshold",
 )
+_DAY_HOUR = f"{ROLL}, cells AS (SELECT d AS day_of_week, h AS hour, coalesce(r, rate) AS rate_per_minute FROM (SELECT CAST(unnest(range(0, 7)) AS BIGINT) AS d), (SELECT CAST(unnest(range(0, 24)) AS BIGINT) AS h) LEFT JOIN (SELECT isodow(minute_bucket) - 1 AS a, hour(minute_bucket) AS b, avg(n_total) AS r FROM grid GROUP BY 1, 2) ON a = d AND b = h, facts)"
+ORACLES["bu6_day_hour_rates"] = rounded(_DAY_HOUR, "SELECT * FROM cells", "rate_per_minute")

@@ -68,6 +68,7 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "bu3_burst_null_distribution": windows.burst_null_distribution,
     "bu4_burst_calibrated_windows": windows.burst_calibrated_windows,
     "bu6_hourly_rates": windows.hourly_rates,
+    "bu6_day_hour_rates": windows.day_hour_rates,
     "bu7_burst_summary": windows.burst_summary,
     "ps1_swing_windows": windows.swing_windows,
     "ps1_swing_window_tests": windows.swing_window_tests,
