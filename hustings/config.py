@@ -61,3 +61,7 @@ class Config:
     cutoff: str | None = None
     normalize_unicode: bool = False
     nicknames: dict[str, str] = field(default_factory=dict)
+    # further times of the hearing's side-car, beside the cutoff
+    sign_in_open: str | None = None
+    meeting_start: str | None = None
+    written_testimony_deadline: str | None = None

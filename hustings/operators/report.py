@@ -109,11 +109,22 @@ def lens_comparison(c: Catalog) -> DataFrame:
     return df.withColumns({"delta_n_total": F.col("n_total_dedup") - F.col("n_total"), "delta_pro_rate": F.col("pro_rate_dedup") - F.col("pro_rate_raw")})
 
 
+#: Times that a hearing's side-car may give.
+MARKERS = {"sign_in_open": "sign_in_open", "sign_in_cutoff": "cutoff", "meeting_start": "meeting_start", "written_testimony_deadline": "written_testimony_deadline"}
+
+
 def hearing_markers(c: Catalog) -> DataFrame:
-    """Process times of the side-car in order, with the volume before each."""
-    spine = c.spark.createDataFrame([("sign_in_cutoff", c.config.cutoff)], "marker string, t string").select("marker", F.col("t").cast("timestamp_ntz").alias("marker_time"))
-    m = c.get(minute_totals).select("minute_bucket", "n_total")
-    return spine.join(m, F.col("minute_bucket") <= F.col("marker_time"), "left").groupBy("marker", "marker_time").agg(F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_before"))
+    """Process times of the side-car that are given, with the volume up to each: one pass over the minutes, a row for each marker."""
+    given = {name: getattr(c.config, key) for name, key in MARKERS.items() if getattr(c.config, key)}
+    at = {name: F.lit(t).cast("timestamp_ntz") for name, t in given.items()}
+    sums = c.get(minute_totals).agg(*(F.coalesce(F.sum(F.when(F.col("minute_bucket") <= t, F.col("n_total"))), F.lit(0)).alias(name) for name, t in at.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("marker"), t.alias("marker_time"), F.col(name).alias("n_before")) for name, t in at.items()))
+    return sums.select(F.explode(rows).alias("r")).select("r.*").orderBy("marker_time", "marker")
+
+
+def hearing_minutes(c: Catalog) -> DataFrame:
+    """Minutes of each record to the cutoff and since sign-in opened and the meeting began."""
+    return c.records.select("id", *(x for x in ("minutes_to_cutoff", "minutes_since_sign_in_open", "minutes_since_meeting_start") if x in c.records.columns))
 
 
 # baselines over reports --------------------------------------------------------------------------

@@ -700,3 +700,11 @@ ORACLES["qu2_data_quality_warnings"] = rounded(
 )
 _DAY_HOUR = f"{ROLL}, cells AS (SELECT d AS day_of_week, h AS hour, coalesce(r, rate) AS rate_per_minute FROM (SELECT CAST(unnest(range(0, 7)) AS BIGINT) AS d), (SELECT CAST(unnest(range(0, 24)) AS BIGINT) AS h) LEFT JOIN (SELECT isodow(minute_bucket) - 1 AS a, hour(minute_bucket) AS b, avg(n_total) AS r FROM grid GROUP BY 1, 2) ON a = d AND b = h, facts)"
 ORACLES["bu6_day_hour_rates"] = rounded(_DAY_HOUR, "SELECT * FROM cells", "rate_per_minute")
+_TIMES = {"sign_in_open": "2024-01-02 09:00:00", "sign_in_cutoff": "2024-01-29 12:00:00", "meeting_start": "2024-01-29 13:30:00", "written_testimony_deadline": "2024-01-30 13:30:00"}
+ORACLES["hc3_process_markers"] = rounded(RECORDS, " UNION ALL ".join(f"SELECT '{k}' AS marker, TIMESTAMP '{t}' AS marker_time, count(*) FILTER (minute <= TIMESTAMP '{t}') AS n_before FROM sub" for k, t in _TIMES.items()))
+ORACLES["n9_hearing_minutes"] = rounded(
+    RECORDS,
+    f"""SELECT id, date_diff('microsecond', t, TIMESTAMP '{_TIMES["sign_in_cutoff"]}') / 60000000.0::DOUBLE AS minutes_to_cutoff, date_diff('microsecond', TIMESTAMP '{_TIMES["sign_in_open"]}', t) / 60000000.0::DOUBLE AS minutes_since_sign_in_open,
+    date_diff('microsecond', TIMESTAMP '{_TIMES["meeting_start"]}', t) / 60000000.0::DOUBLE AS minutes_since_meeting_start FROM sub""",
+    "minutes_to_cutoff minutes_since_sign_in_open minutes_since_meeting_start",
+)

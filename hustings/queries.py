@@ -11,7 +11,7 @@ from hustings.operators import corpus, duplicates, fusion, off_hours, ordering,
 from hustings.oracles import ORACLES
 from hustings.oracles_triage import ORACLES as TRIAGE_ORACLES
 from hustings.plans.catalog import Catalog
-from hustings.sources.adapters import surge_catalog, test_catalog
+from hustings.sources.adapters import hearing_catalog, surge_catalog, test_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,10 +160,13 @@ SURGES: dict[str, Callable[[Catalog], DataFrame]] = {
     "tr13_window_cluster_overlaps": triage.window_cluster_overlaps,
 }
 
+#: Over records of a hearing whose times are all given.
+HEARINGS: dict[str, Callable[[Catalog], DataFrame]] = {"hc3_process_markers": report.hearing_markers, "n9_hearing_minutes": report.hearing_minutes}
+
 
 def _query(build: Callable[[Catalog], DataFrame], catalog: Callable[[SparkSession, str], Catalog] = test_catalog) -> Query:
     return lambda spark, sf_dir: tidy(catalog(spark, sf_dir).get(build))
 
 
-QUERIES: dict[str, Query] = {name: _query(build) for name, build in TABLES.items()} | {name: _query(build, surge_catalog) for name, build in SURGES.items()}
+QUERIES: dict[str, Query] = {name: _query(build) for name, build in TABLES.items()} | {name: _query(build, surge_catalog) for name, build in SURGES.items()} | {name: _query(build, hearing_catalog) for name, build in HEARINGS.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, sql in (ORACLES | TRIAGE_ORACLES).items() if name in QUERIES}

@@ -45,6 +45,9 @@ def canonical(rows: DataFrame, config: Config) -> DataFrame:
     df = df.withColumn("is_off_hours", f.in_off_hours("hour", start, end))
     if config.cutoff:
         df = df.withColumn("minutes_to_cutoff", f.minutes_between(F.lit(config.cutoff).cast("timestamp_ntz"), "timestamp"))
+    for name in ("sign_in_open", "meeting_start"):
+        if at := getattr(config, name):
+            df = df.withColumn(f"minutes_since_{name}", f.minutes_between("timestamp", F.lit(at).cast("timestamp_ntz")))
     return df
 
 
@@ -108,6 +111,11 @@ def surge_catalog(spark: SparkSession, sf_dir: str, config: Config | None = None
     return Catalog(spark, canonical(surge_rows(spark, sf_dir), config), config, test_registry(spark, sf_dir), test_frequencies(spark, sf_dir))
 
 
+def hearing_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The test records with all times of a hearing."""
+    return test_catalog(spark, sf_dir, Config(cutoff="2024-01-29 12:00:00", sign_in_open="2024-01-02 09:00:00", meeting_start="2024-01-29 13:30:00", written_testimony_deadline="2024-01-30 13:30:00"))
+
+
 def test_catalog(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Catalog:
     config = config or Config(cutoff="2024-01-29 12:00:00")
     return Catalog(spark, canonical(test_rows(spark, sf_dir), config), config, test_registry(spark, sf_dir), test_frequencies(spark, sf_dir))
