@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import core as f
@@ -24,6 +24,35 @@ def minute_totals(c: Catalog) -> DataFrame:
     )
 
 
+def with_dedup_columns(df: DataFrame) -> DataFrame:
+    """A minute table of any origin with the columns of the deduplicated lens: what is there, else what can stand for it.
+
+    Totals fall back on distinct names, these on totals, stances on raw stances; counts that are no numbers are zero, none is below it.
+    Rates are null where nothing is counted; the duplicate share is 1 - names / total where it is not given, within 0 and 1.
+    """
+
+    def number(name: str, *instead: str) -> Column:
+        there = next((x for x in (name, *instead) if x in df.columns), None)
+        return F.lit(0.0) if there is None else F.coalesce(F.nanvl(F.col(there).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+    floor = lambda x: F.greatest(x, F.lit(0.0))
+    raw, names = number("n_total"), number("n_unique_names", "n_total")
+    total, pro, con = floor(number("n_total_dedup", "n_unique_names", "n_total")), floor(number("n_pro_dedup", "n_pro")), floor(number("n_con_dedup", "n_con"))
+    some = total > 0
+    given = number("dup_name_fraction_dedup") if "dup_name_fraction_dedup" in df.columns else F.lit(0.0)
+    out = {
+        "n_total_dedup": total,
+        "n_pro_dedup": pro,
+        "n_con_dedup": con,
+        "pro_rate_dedup": F.when(some, pro / total),
+        "con_rate_dedup": F.when(some, con / total),
+        "dup_name_fraction_dedup": F.least(floor(F.coalesce(F.when(some, given), F.when(some, 1.0 - names / total), F.lit(0.0))), F.lit(1.0)),
+        "dedup_drop_fraction": F.when(raw > 0, (raw - total) / raw),
+        "dedup_multiplier": F.when(some, raw / total),
+    }
+    return df.withColumns(out)
+
+
 def counts_per_minute(c: Catalog) -> DataFrame:
     """One row for every minute from the first to the last, zero where nothing came."""
     seen = c.get(minute_totals)

@@ -9,7 +9,7 @@ from hustings.functions import core as f
 from hustings.operators.duplicates import cluster_summary
 from hustings.operators.fusion import all_changepoints, evidence_bundle_windows, ranked_windows
 from hustings.operators.organisations import blank_rate_by_bucket
-from hustings.operators.profile import basic_quality, minute_totals
+from hustings.operators.profile import basic_quality, counts_per_minute, minute_totals
 from hustings.operators.windows import burst_window_tests, burst_windows
 from hustings.plans.catalog import Catalog
 
@@ -178,6 +178,13 @@ def evidence_flag_counts(c: Catalog) -> DataFrame:
     return c.get(evidence_bundle_windows).select(F.explode(F.split("evidence_flags", ",")).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
+def changepoint_timeline(c: Catalog) -> DataFrame:
+    """Every minute of the grid, marked where a level shift of volume or pro rate begins."""
+    changes = c.get(all_changepoints).select(F.col("change_minute").alias("minute_bucket")).distinct().withColumn("is_changepoint", F.lit(True))
+    minutes = c.get(counts_per_minute).select("minute_bucket", "n_total", "n_unique_names", "pro_rate", "is_low_power")
+    return minutes.join(changes, "minute_bucket", "left").na.fill(False, ["is_changepoint"])
+
+
 def composite_timeline(c: Catalog) -> DataFrame:
     return c.get(ranked_windows).select("minute_bucket", "composite_score", "n_total", "pro_rate", "evidence_count")
 

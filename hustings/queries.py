@@ -135,6 +135,7 @@ TABLES: dict[str, Callable[[Catalog], DataFrame]] = {
     "ch3_changepoints_by_hour": report.changepoints_by_hour,
     "ch3_cluster_size_histogram": report.cluster_size_histogram,
     "ch3_evidence_flag_counts": report.evidence_flag_counts,
+    "ch1_changepoint_timeline": report.changepoint_timeline,
     "ch1_composite_timeline": report.composite_timeline,
     "ch5_day_slot_heat": report.day_slot_heat,
     "ch5_rolling_pro_rate": report.rolling_pro_rate,

@@ -11,10 +11,11 @@ from hustings.functions.kernels import compatibility_form
 from hustings.plans.catalog import Catalog
 
 
-def canonical(rows: DataFrame, config: Config) -> DataFrame:
+def canonical(rows: DataFrame, config: Config, nicknames: DataFrame | None = None) -> DataFrame:
     """(id, name, organization, position, timestamp: timestamp_ntz) to the canonical record frame.
 
-    Nicknames map the first word of the first name; the map is a literal of the configuration.
+    Nicknames map the first word of the first name: a few of them are a literal of the configuration, a table of
+    them (alias, canonical; each alias once) is joined, after the literal.
     With `normalize_unicode` names that are not ASCII take their compatibility form first.
     """
     if config.normalize_unicode:
@@ -28,6 +29,9 @@ def canonical(rows: DataFrame, config: Config) -> DataFrame:
         pairs = [F.lit(x) for kv in sorted(config.nicknames.items()) for x in kv]
         head = F.coalesce(F.create_map(*pairs)[head], head)
     df = df.withColumn("first_canonical", head)
+    if nicknames is not None:
+        table = nicknames.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"))
+        df = df.join(table, F.col("first_canonical") == F.col("__alias"), "left").withColumn("first_canonical", F.coalesce("__canonical", "first_canonical")).drop("__alias", "__canonical")
     start, end = config.off_hours
     df = df.withColumns(
         {

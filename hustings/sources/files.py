@@ -74,6 +74,19 @@ def parse_time(c: Column | str) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("M/d/yyyy h:mm a")), F.try_to_timestamp(text)).cast("timestamp_ntz")
 
 
+def with_times(df: DataFrame, column: str = "time_signed_in", out: str = "timestamp") -> DataFrame:
+    """Wall-clock times of a whole source: the usual form in every row, or the general forms if no row has the usual one.
+
+    Unlike parse_time this never mixes forms. Which it is follows from a one-row aggregate; a source without any time is an error.
+    """
+    text = F.nullif(f.squeeze(column), F.lit(""))
+    usual, general = F.try_to_timestamp(text, F.lit("M/d/yyyy h:mm a")), F.try_to_timestamp(text)
+    seen = df.agg(F.count(usual).alias("usual"), F.count(general).alias("general")).first()
+    if not seen["usual"] and not seen["general"]:
+        raise ValueError(f"{column} holds no time")
+    return df.withColumn(out, (usual if seen["usual"] else general).cast("timestamp_ntz"))
+
+
 def sign_ins(spark: SparkSession, path: str, columns: dict[str, str] | None = None, zone: str = "America/Los_Angeles") -> DataFrame:
     """Rows ready for `adapters.canonical`."""
     df = normalize_columns(scan_csv(spark, path), columns)
