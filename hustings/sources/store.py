@@ -19,7 +19,8 @@ LEDGER = "import_id string, created_at timestamp, kind string, table string, fil
 class Store:
     """Keyed tables of Parquet files under one folder, parted by a hash of the key.
 
-    A manifest names the folder of each part; a batch rewrites only the parts that its keys fall
+    The number of parts is fixed by the first batch: at least the size of the table over what a batch may rewrite for one key. A part
+    is as many files as its size asks for. A manifest names the folder of each part; a batch rewrites only the parts that its keys fall
     into, and a new manifest takes effect when it is renamed to the next version's name, which fails if another writer
     was first. So readers see a whole old or new table, and files of earlier versions stay until `vacuum`.
     """
@@ -133,7 +134,7 @@ class Store:
         if before:  # columns that this batch lacks stay
             schema = StructType([*schema.fields, *(x for x in StructType.fromJson(before["schema"]).fields if x.name not in schema.names)])
         if touched:
-            merged.repartition(F.col("__part")).write.partitionBy("__part").parquet(f"{self.folder}/{table}/{stamp}")
+            merged.hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{self.folder}/{table}/{stamp}")
             parts |= {str(p): f"{stamp}/__part={p}" for p in touched}
         self._publish(table, {"version": version, "key": key, "n_parts": n_parts, "parts": parts, "schema": json.loads(schema.json()), "applied": applied})
         self._delete(f"{table}/{stamp}-batch")
