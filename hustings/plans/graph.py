@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of any orderable type to (node, label): the smallest node within reach.
 
     Each round a node takes the smallest label near it and then that label's own; the loop ends
-    when no label moves.
+    when no label moves, which it must, as labels only fall.
     """
     spark = edges.sparkSession
     folder = shared_folder(spark)
@@ -38,7 +39,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     edges = edges.where("a <> b").select("a", "b")
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels-0")
-    for k in range(1, most_rounds):
+    for k in count(1):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         far = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
@@ -48,4 +49,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if not moved.where("label <> new").limit(1).count():
             gone("edges")
             return labels
-    raise RuntimeError("components are not settled")
