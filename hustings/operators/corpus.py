@@ -64,8 +64,8 @@ def report_metrics(c: Catalog) -> DataFrame:
 
 
 def report_vector(c: Catalog) -> DataFrame:
-    """The metrics in long form: metric, value."""
-    return c.get(report_metrics).unpivot([], METRICS, "metric", "value")
+    """The metrics in long form: metric, value; a metric without a value has no row."""
+    return c.get(report_metrics).unpivot([], METRICS, "metric", "value").where("value is not null")
 
 
 # stored vectors ----------------------------------------------------------------------------------

@@ -160,10 +160,10 @@ ORACLES["tr9_triage_summary"] = surging(
           (SELECT CAST(count(*) FILTER (pos = 'Pro') AS DOUBLE) / count(*) FROM sub) AS overall_pro_rate, (SELECT CAST(count(*) FILTER (pos = 'Con') AS DOUBLE) / count(*) FROM sub) AS overall_con_rate, (SELECT count(*) FILTER (NOT off) FROM sub) AS on_hours, (SELECT CAST(count(*) FILTER (off) AS DOUBLE) / count(*) FROM sub) AS off_hours_ratio,
           (SELECT count(*) FROM windows_) AS n_window_queue, {', '.join(f"(SELECT count(*) FILTER (evidence_tier = '{t}') FROM windows_) AS n_windows_{t}" for t in ('high', 'medium', 'watch'))},
           (SELECT least(count(*), 250) FROM people) AS n_record_queue, (SELECT least(count(*), 250) FROM summary) AS n_cluster_queue,
-          (SELECT string_agg(x, '; ' ORDER BY r) FROM (SELECT {_SPAN} AS x, row_number() OVER (ORDER BY round(burst_q, 9), round(rate_ratio, 9) DESC, burst_n DESC, {_SPAN}) AS r FROM measures WHERE burst_n IS NOT NULL) WHERE r <= 5) AS top_burst_windows,
-          (SELECT string_agg(x, '; ' ORDER BY r) FROM (SELECT {_SPAN} AS x, row_number() OVER (ORDER BY round(swing_q, 9), round(abs_delta, 9) DESC, swing_n DESC, {_SPAN}) AS r FROM measures WHERE swing_n IS NOT NULL) WHERE r <= 5) AS top_swing_windows,
-          (SELECT string_agg(canonical_name, '; ' ORDER BY n DESC, canonical_name) FROM (SELECT * FROM rep ORDER BY n DESC, canonical_name LIMIT 5)) AS top_repeated_names,
-          (SELECT string_agg(cluster_id, '; ' ORDER BY cluster_id) FROM (SELECT * FROM summary ORDER BY cluster_id LIMIT 5)) AS top_near_dup_clusters, 'raw' AS lens""",
+          (SELECT coalesce(string_agg(x, '; ' ORDER BY r), '') FROM (SELECT {_SPAN} AS x, row_number() OVER (ORDER BY round(burst_q, 9), round(rate_ratio, 9) DESC, burst_n DESC, {_SPAN}) AS r FROM measures WHERE burst_n IS NOT NULL) WHERE r <= 5) AS top_burst_windows,
+          (SELECT coalesce(string_agg(x, '; ' ORDER BY r), '') FROM (SELECT {_SPAN} AS x, row_number() OVER (ORDER BY round(swing_q, 9), round(abs_delta, 9) DESC, swing_n DESC, {_SPAN}) AS r FROM measures WHERE swing_n IS NOT NULL) WHERE r <= 5) AS top_swing_windows,
+          (SELECT coalesce(string_agg(canonical_name, '; ' ORDER BY n DESC, canonical_name), '') FROM (SELECT * FROM rep ORDER BY n DESC, canonical_name LIMIT 5)) AS top_repeated_names,
+          (SELECT coalesce(string_agg(cluster_id, '; ' ORDER BY cluster_id), '') FROM (SELECT * FROM summary ORDER BY cluster_id LIMIT 5)) AS top_near_dup_clusters, 'raw' AS lens""",
         "overall_pro_rate overall_con_rate off_hours_ratio",
     )
 )
