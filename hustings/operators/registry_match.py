@@ -24,7 +24,8 @@ def assignments(c: Catalog) -> DataFrame:
     Candidates share the last name; only names without an exact match are compared. The best
     candidate and the number of close ones come from aggregations, not from sorting candidates.
     """
-    names = c.records.where("canonical_name <> '|'").select("canonical_name", "last", "first_canonical").groupBy("canonical_name").agg(F.min("last").alias("last"), F.min("first_canonical").alias("first"))
+    names = c.records.groupBy("canonical_name").agg(F.min("last").alias("last"), F.min("first_canonical").alias("first"), F.max("canonical_name").alias("same"))
+    names = names.where("same <> '|'").drop("same")  # of the group: a test of the key would move below all that makes names of rows
     registry = c.registry
     exact = registry.groupBy("canonical_name").agg(F.count(F.lit(1)).alias("n_registry"))
     known = names.join(exact, "canonical_name", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.config import Config
@@ -11,11 +11,17 @@ from hustings.functions.kernels import compatibility_form
 from hustings.plans.catalog import Catalog
 
 
+def never_null(name: Column) -> Column:
+    return F.coalesce(name, F.lit(""))
+
+
 def canonical(rows: DataFrame, config: Config, nicknames: DataFrame | None = None) -> DataFrame:
     """(id, name, organization, position, timestamp: timestamp_ntz) to the canonical record frame.
 
     Nicknames map the first word of the first name: a few of them are a literal of the configuration, a table of
     them (alias, canonical; each alias once) is joined, after the literal.
+    Names are never null and say so: else every join or grouping on one would first test it for null below the steps that
+    make it, with all of them spelled out in the test, tens of regular expressions a row.
     With `normalize_unicode` names that are not ASCII take their compatibility form first.
     """
     if config.normalize_unicode:
@@ -23,8 +29,8 @@ def canonical(rows: DataFrame, config: Config, nicknames: DataFrame | None = Non
         rows = rows.withColumn("name", F.coalesce(compatibility_form(odd), "name"))
     df = rows.withColumns({"name_normalized": f.clean_name("name"), "__split": f.clean_name("name", keep_commas=True)})
     last, first = f.split_name(F.col("__split"))
-    df = df.withColumns({"last": last, "first": first}).drop("__split")
-    head = F.element_at(F.split("first", " "), 1)
+    df = df.withColumns({"last": never_null(last), "first": never_null(first)}).drop("__split")
+    head = never_null(F.element_at(F.split("first", " "), 1))
     if config.nicknames:
         pairs = [F.lit(x) for kv in sorted(config.nicknames.items()) for x in kv]
         head = F.coalesce(F.create_map(*pairs)[head], head)
@@ -72,24 +78,24 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry rows made of `part`: names as the records have them, every second one active."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Registry rows made of `part`: names as the records have them, every second one active. Equal names are cleaned once."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size % 2 = 0")
     words = F.split("p_name", " ")
-    name = F.concat(words[1], (F.col("p_partkey") % 25).cast("string"), F.lit(", "), words[0])
-    last, first = f.split_name(f.clean_name(name, keep_commas=True))
-    rows = part.select(last.alias("last"), first.alias("first"), (F.col("p_size") % 2 == 0).alias("active"))
-    return rows.where("active").select("last", "first", F.concat("last", F.lit("|"), "first").alias("canonical_name")).distinct()
+    rows = part.select(F.concat(words[1], (F.col("p_partkey") % 25).cast("string"), F.lit(", "), words[0]).alias("name")).distinct()
+    last, first = f.split_name(F.col("split"))
+    rows = rows.withColumn("split", f.clean_name("name", keep_commas=True)).select(never_null(last).alias("last"), never_null(first).alias("first"))
+    return rows.select("last", "first", F.concat("last", F.lit("|"), "first").alias("canonical_name")).distinct()
 
 
 def test_frequencies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(first names, last names) as token and probability, counted over `part`; tokens that begin with an early letter only."""
+    """(first names, last names) as token and probability, counted over `part`; tokens that begin with an early letter only. Equal words are cleaned once."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     words = F.split("p_name", " ")
     out = []
     for word in (words[0], F.concat(words[1], (F.col("p_partkey") % 25).cast("string"))):
-        token = f.clean_token(word)
-        rows = part.select(token.alias("token")).where("token <> '' and token < 'R'")
-        counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        rows = part.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        counts = rows.groupBy(f.clean_token("word").alias("token")).agg(F.sum("n").alias("n"), F.max(f.clean_token("word")).alias("same"))
+        counts = counts.where("same <> '' and same < 'R'").drop("same")  # of the group: a test of the key would move below both groupings
         total = counts.agg(F.sum("n").alias("total"))
         out.append(counts.join(F.broadcast(total)).select("token", (F.col("n") / F.col("total")).alias("probability")))  # total: one row
     return out[0], out[1]
