@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def sortedness_metrics(c: Catalog) -> DataFrame:
 
 KEY = ["bucket_minutes", "bucket_start"]
 
+#: Records that one task orders. A record becomes a row for each bit of its rank, or for each bucket size, within the task that reads it.
+ROWS = 25_000
+
+
+def tasks(c: Catalog) -> int:
+    """How many tasks share the records, so that what one of them holds does not grow with their number."""
+    if c not in _tasks:
+        _tasks[c] = max(8, -(-c.records.where("minute_bucket is not null").count() // ROWS))
+    return _tasks[c]
+
+
+#: By catalog: records are counted once.
+_tasks: WeakKeyDictionary[Catalog, int] = WeakKeyDictionary()
+
 
 def minute_facts(c: Catalog) -> DataFrame:
     """For each minute: first and last name to arrive, steps back in the alphabet, and signs of its pairs of rows.
@@ -46,7 +62,7 @@ def minute_facts(c: Catalog) -> DataFrame:
     larger names; every pair is split at exactly one bit.
     """
     arrival = Window.partitionBy("minute_bucket").orderBy("timestamp", "id", "name_display")
-    rows = c.records.where("minute_bucket is not null").select("minute_bucket", "timestamp", "id", "name_display")
+    rows = c.records.where("minute_bucket is not null").select("minute_bucket", "timestamp", "id", "name_display").repartition(tasks(c), "minute_bucket")
     rows = rows.withColumns({"r": F.row_number().over(arrival) - 1, "falls": (F.lag("name_display").over(arrival) > F.col("name_display")).cast("long")})
     ends = rows.groupBy("minute_bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("name_display", "r").alias("head"), F.max_by("name_display", "r").alias("tail"), F.coalesce(F.sum("falls"), F.lit(0)).alias("falls"))
     bits = F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)).alias("bit")
@@ -77,13 +93,13 @@ def bucket_ordering(c: Catalog) -> DataFrame:
     """
     sizes = c.config.buckets
     minutes = c.get(minute_facts)
-    names = c.records.where("minute_bucket is not null").groupBy("minute_bucket", "name_display").agg(F.count(F.lit(1)).alias("n"))
+    names = c.records.where("minute_bucket is not null").select("minute_bucket", "name_display").repartition(tasks(c), "minute_bucket").groupBy("minute_bucket", "name_display").agg(F.count(F.lit(1)).alias("n"))
     inner = {big: small for small, big in zip((1, *sizes), sizes)}
     parts = max(big // small for big, small in inner.items())
     small = F.create_map(*(F.lit(x) for pair in inner.items() for x in pair))[F.col("bucket_minutes")]
     of_day = lambda t: F.hour(t) * 60 + F.minute(t)  # noqa: E731  (sizes divide a day)
     part = F.floor((of_day("minute_bucket") - of_day("bucket_start")) / small)
-    cells = f.with_buckets(names, "minute_bucket", sizes).withColumn("part", part)
+    cells = f.with_buckets(names, "minute_bucket", sizes).withColumn("part", part).repartition(tasks(c), *KEY)
     cells = cells.groupBy(*KEY, "name_display").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n_{i}") for i in range(parts)))
     k = sum((F.col(f"n_{i}") for i in range(1, parts)), F.col("n_0"))
     between = crossed(cells, KEY, parts).groupBy(*KEY).agg(F.sum(k).alias("n_records"), F.sum(k * (k - 1) / 2.0).alias("ties"), F.sum((k * (k - 1) * (2 * k + 5)).cast("double")).alias("tied"), F.sum("signs").alias("signs"))
