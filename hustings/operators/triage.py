@@ -181,7 +181,8 @@ def minute_measures(c: Catalog) -> DataFrame:
 
 def window_facts(c: Catalog) -> DataFrame:
     """One row: the 95th percentile of mean rarity by minute (1 where there is none above zero), and the number of clusters."""
-    rarity = c.get(rarity_by_minute).agg(F.percentile((F.col("rarity") / F.col("n_rarity")).cast("double"), F.lit(0.95)).alias("p95"))
+    # divided as the means of windows are: a window of one such minute has a share of one, not one less the last bit
+    rarity = c.get(rarity_by_minute).agg(F.percentile(F.col("rarity").cast("double") / F.col("n_rarity"), F.lit(0.95)).alias("p95"))
     clusters = c.stored(cluster_summary).agg(F.count(F.lit(1)).alias("n_clusters"))
     return rarity.join(F.broadcast(clusters)).select(F.when(F.col("p95") > 0, F.col("p95")).otherwise(1.0).alias("rarity_scale"), "n_clusters")
 
