@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hustings.functions import core as f
 from hustings.operators import triage
 from hustings.operators.duplicates import cluster_summary, top_repeated_names
+from hustings.operators.profile import name_frequency
+from hustings.operators.rare import weird_names
 from hustings.plans.catalog import Catalog
 
 #: Metrics of a report's vector, and those by which reports are compared.
@@ -36,6 +38,9 @@ UNAVAILABLE = "global_baselines_unavailable"
 
 def report_metrics(c: Catalog) -> DataFrame:
     """One row: the metrics of METRICS, from the queues of the raw lens and the totals of both."""
+    triage.shared(c)
+    c.stored(name_frequency)
+    c.stored(weird_names)
     w = c.stored(triage.statistical_queue_raw)
     of_tier = lambda t: f.count_where(F.col("evidence_tier") == t)
     windows = w.agg(

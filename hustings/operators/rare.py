@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hustings.functions import core as f
 from hustings.operators.duplicates import name_minutes
-from hustings.operators.profile import name_frequency, name_text_features
+from hustings.operators.profile import name_features, name_forms, name_frequency
 from hustings.plans.catalog import Catalog
 
 
@@ -33,14 +33,24 @@ def unique_ratio_windows(c: Catalog) -> DataFrame:
 
 def weird_names(c: Catalog) -> DataFrame:
     """A report: the `top_n` names with the highest mean weirdness."""
-    df = c.get(name_text_features).groupBy("canonical_name").agg(*(F.avg(x).alias(x) for x in ("weirdness_score", "name_length", "non_alpha_fraction", "name_entropy")), F.min("name_normalized").alias("sample_name"))
+    mean = lambda x: (F.sum(F.col(x) * F.col("records")) / F.sum("records")).alias(x)  # noqa: E731  (over records)
+    df = c.get(name_features).groupBy("canonical_name").agg(*map(mean, ("weirdness_score", "name_length", "non_alpha_fraction", "name_entropy")), F.min("name_normalized").alias("sample_name"))
     return df.orderBy(F.desc(F.round("weirdness_score", 9)), "canonical_name").limit(c.config.top_n)
 
 
 def record_rarity(c: Catalog) -> DataFrame:
-    """-ln of the product of token probabilities; a token that a lookup lacks counts as the smallest probability."""
+    return with_rarity(c, c.records.select("id", "minute_bucket", "canonical_name", "first_canonical", "last"))
+
+
+def name_rarity(c: Catalog) -> DataFrame:
+    """The same for each first and last name that records have: tokens are cleaned and looked up once a name."""
+    return with_rarity(c, c.get(name_forms).select("first_canonical", "last").distinct(), "first_canonical", "last").select("first_canonical", "last", "rarity_score")
+
+
+def with_rarity(c: Catalog, rows: DataFrame, *keep: str) -> DataFrame:
+    """-ln of the product of token probabilities; a token that a lookup lacks counts as the smallest probability. Names go unless kept."""
     first, last = c.frequencies
-    r = c.records.select("id", "minute_bucket", "canonical_name", f.clean_token("first_canonical").alias("first_token"), f.clean_token("last").alias("last_token"))
+    r = rows.withColumns({"first_token": f.clean_token("first_canonical"), "last_token": f.clean_token("last")}).drop(*({"first_canonical", "last"} - set(keep)))
     r = r.join(first.select(F.col("token").alias("first_token"), F.col("probability").alias("p_first")), "first_token", "left")
     r = r.join(last.select(F.col("token").alias("last_token"), F.col("probability").alias("p_last")), "last_token", "left")
     eps = F.lit(c.config.epsilon)
@@ -49,14 +59,16 @@ def record_rarity(c: Catalog) -> DataFrame:
 
 
 def rarity_by_bucket(c: Catalog) -> DataFrame:
-    df = f.with_buckets(c.get(record_rarity).select("minute_bucket", "rarity_score"), "minute_bucket", c.config.buckets)
-    s = F.col("rarity_score")
+    """Mean and percentiles of scores by bucket. Equal scores of a minute are counted first: names have few, records many."""
+    scores = c.get(record_rarity).groupBy("minute_bucket", "rarity_score").agg(F.count(F.lit(1)).alias("n"))
+    df = f.with_buckets(scores, "minute_bucket", c.config.buckets).groupBy("bucket_minutes", "bucket_start", "rarity_score").agg(F.sum("n").alias("n"))
+    s, n = F.col("rarity_score"), F.col("n")
     df = df.groupBy("bucket_minutes", "bucket_start").agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.avg(s).alias("rarity_mean"),
-        F.percentile(s, F.lit(0.5)).alias("rarity_median"),
-        F.percentile(s, F.lit(0.9)).alias("rarity_p90"),
-        F.percentile(s, F.lit(0.95)).alias("rarity_p95"),
+        F.sum(n).alias("n_total"),
+        (F.sum(s * n) / F.sum(n)).alias("rarity_mean"),
+        F.percentile(s, F.lit(0.5), n).alias("rarity_median"),
+        F.percentile(s, F.lit(0.9), n).alias("rarity_p90"),
+        F.percentile(s, F.lit(0.95), n).alias("rarity_p95"),
     )
     return df.withColumn("is_low_power", f.low_power("n_total", c.config.low_power_min))
 

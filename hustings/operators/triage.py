@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from hustings.functions import core as f
 from hustings.operators.duplicates import cluster_summary, top_repeated_names
 from hustings.operators.fusion import high_priority_windows
-from hustings.operators.profile import counts_per_minute
-from hustings.operators.rare import record_rarity, weird_names
+from hustings.operators.profile import counts_per_minute, name_frequency
+from hustings.operators.rare import name_rarity, weird_names
 from hustings.operators.windows import burst_significant_windows, burst_window_tests, swing_significant_windows
 from hustings.plans.catalog import Catalog
 from hustings.plans.contracts import SIGNALS
@@ -160,7 +160,7 @@ def met(rows: DataFrame) -> DataFrame:
 def rarity_by_minute(c: Catalog) -> DataFrame:
     """Sum and number of rarity scores by minute. Scores have twelve digits as decimals, so sums do not depend on their order."""
     score = F.round("rarity_score", 12).cast("decimal(21,12)")
-    return c.get(record_rarity).groupBy("minute_bucket").agg(F.sum(score).alias("rarity"), F.count(F.lit(1)).alias("n_rarity"))
+    return c.records.join(c.stored(name_rarity), ["first_canonical", "last"]).groupBy("minute_bucket").agg(F.sum(score).alias("rarity"), F.count(F.lit(1)).alias("n_rarity"))
 
 
 def minute_measures(c: Catalog) -> DataFrame:
@@ -169,12 +169,13 @@ def minute_measures(c: Catalog) -> DataFrame:
     A cluster overlaps a window if it is first seen by its end and not last seen before its start. So records of
     overlapping clusters are those of clusters begun by then, less those ended before: two totals in place of a join.
     """
+    shared(c)
     clusters = c.stored(cluster_summary).select("first_seen", "last_seen", "n_records")
     up = F.when(f.floor_minute("first_seen") == F.col("first_seen"), F.col("first_seen")).otherwise(f.plus_minutes(f.floor_minute("first_seen"), 1))
     begun = clusters.groupBy(up.alias("minute_bucket")).agg(F.sum("n_records").alias("near_begun"))
     ended = clusters.groupBy(f.floor_minute("last_seen").alias("minute_bucket")).agg(F.sum("n_records").alias("near_ended"))
     grid = c.get(counts_per_minute).select("minute_bucket", *MEASURED)
-    for extra in (c.get(rarity_by_minute), begun, ended):
+    for extra in (c.stored(rarity_by_minute), begun, ended):
         grid = grid.join(extra, "minute_bucket", "left")
     return running_totals(grid, "minute_bucket", [x for x in grid.columns if x != "minute_bucket"])
 
@@ -208,11 +209,19 @@ def measured(c: Catalog, candidates: DataFrame) -> DataFrame:
     return df.select(kept)
 
 
+def shared(c: Catalog) -> None:
+    """Write what several detectors and all that follows from them read: the records, and the minute grid."""
+    c.keep_records()
+    c.stored(counts_per_minute)
+
+
 def measured_statistical(c: Catalog) -> DataFrame:
+    shared(c)
     return measured(c, c.get(statistical_candidates))
 
 
 def measured_all(c: Catalog) -> DataFrame:
+    shared(c)
     return measured(c, c.get(all_candidates))
 
 
@@ -323,6 +332,7 @@ def contract_violations(c: Catalog) -> DataFrame:
 
 def record_evidence_queue(c: Catalog) -> DataFrame:
     """A report: names that repeat most and names that look most unusual (both as their own reports list them)."""
+    c.keep_records()
     repeated = c.get(top_repeated_names).where("trim(canonical_name) <> ''").select("canonical_name", F.col("display_name").alias("shown"), F.col("n").alias("repeats"), "n_pro", "n_con", "time_span_minutes")
     weird = c.get(weird_names).where("trim(canonical_name) <> ''").select("canonical_name", "sample_name", "weirdness_score")
     top = repeated.agg(F.max("repeats").alias("most"))
@@ -367,6 +377,9 @@ def score_breakdown(c: Catalog) -> DataFrame:
 
 def triage_summary(c: Catalog) -> DataFrame:
     """One row: totals, range, rates, off-hours share, the five strongest of each kind, and how many rows each queue and tier holds."""
+    shared(c)
+    c.stored(name_frequency)
+    c.stored(weird_names)
     r = c.records.agg(F.count(F.lit(1)).alias("total_submissions"), F.min("minute_bucket").alias("date_range_start"), F.max("minute_bucket").alias("date_range_end"), *f.stance_counts()[:2], f.count_where(F.col("is_off_hours")).alias("off_hours"))
     r = r.withColumns({"overall_pro_rate": f.ratio("n_pro", "total_submissions"), "overall_con_rate": f.ratio("n_con", "total_submissions"), "on_hours": F.col("total_submissions") - F.col("off_hours"), "off_hours_ratio": f.ratio("off_hours", "total_submissions")}).drop("n_pro", "n_con")
     w = c.stored(statistical_queue_raw).agg(F.count(F.lit(1)).alias("n_window_queue"), *(f.count_where(F.col("evidence_tier") == t).alias(f"n_windows_{t}") for t in ("high", "medium", "watch")))

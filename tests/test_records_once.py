@@ -1,7 +1,11 @@
 """Names and clusters read the records once for what is said of names and once for what is said of minutes."""
 
-from hustings.operators import duplicates, profile
-from hustings.sources.adapters import surge_catalog, test_catalog as catalog_of
+from pyspark.sql import functions as F
+
+from hustings.config import Config
+from hustings.functions import core as f
+from hustings.operators import corpus, duplicates, profile, rare, triage, windows
+from hustings.sources.adapters import canonical, surge_catalog, test_catalog as catalog_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +35,6 @@ def test_names_are_hashed_not_sorted(spark):
 def test_names_of_several_forms_have_the_first_one_by_id(spark):
     c = surge_catalog(spark, SF)
     rows = [(7, "Doe, Jane", "PRO"), (3, "Doe, Jane Ann", "con"), (5, "Doe, Jane", "PRO"), (4, "Roe, Jo", "x")]
-    from hustings.config import Config
-    from hustings.sources.adapters import canonical
-
     df = spark.createDataFrame(rows, "id long, name string, position string").selectExpr("id", "name", "'' organization", "position", "timestamp_ntz'2024-03-01 10:00:00' + make_dt_interval(0, 0, cast(id as int)) timestamp")
     c.records = canonical(df, Config())
     got = {r.canonical_name: (r.display_name, r.n, r.n_pro, r.n_con, r.first_seen.minute, r.last_seen.minute) for r in c.get(profile.name_frequency).collect()}
@@ -42,12 +43,33 @@ def test_names_of_several_forms_have_the_first_one_by_id(spark):
 
 
 def test_blanks_and_marks_leave_the_same_names(spark):
-    from pyspark.sql import functions as F
-
-    from hustings.functions import core as f
-
     texts = [None, "", "  ", " a . b ", "a\t.\n b", "x.y", "O'N. - z", ". a", "a .", " a !b ", "é,, ö"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for commas, kept in ((False, r"(?U)[^\w\s\-']"), (True, r"(?U)[^\w\s\-',]")):
         got = df.select(f.clean_name("t", commas).alias("x"), f.squeeze(F.regexp_replace(f.squeeze("t"), kept, "")).alias("y")).collect()
         assert all(r.x == r.y for r in got)
+
+
+def test_queues_read_written_records(spark):
+    c = surge_catalog(spark, SF)
+    for build in (triage.measured_statistical, triage.statistical_queue_raw, triage.lenses_side_by_side, triage.window_cluster_overlaps, triage.cluster_evidence_queue, triage.triage_summary, corpus.report_vector):
+        assert "p_partkey" not in plan_of(c.get(build)), build.__name__
+    assert sum("id#" in line and "parquet" in line and "position_normalized" in line for line in plan_of(c.get(windows.burst_window_tests)).split("\n")) == 0  # from the written minute grid
+
+
+def test_means_of_names_are_means_of_records(spark):
+    c = catalog_of(spark, SF)
+    scores = ("weirdness_score", "name_length", "non_alpha_fraction", "name_entropy")
+    want = {r.canonical_name: r for r in c.get(profile.name_text_features).groupBy("canonical_name").agg(*(F.avg(x).alias(x) for x in scores)).collect()}
+    got = c.get(rare.weird_names).collect()
+    assert got and all(abs(r[x] - want[r.canonical_name][x]) < 1e-12 for r in got for x in scores)
+
+
+def test_percentiles_of_counted_scores(spark):
+    c = surge_catalog(spark, SF)
+    rows = c.get(rare.record_rarity).select("minute_bucket", "rarity_score")
+    plain = f.with_buckets(rows, "minute_bucket", (60,)).groupBy("bucket_start").agg(F.avg("rarity_score").alias("m"), F.percentile("rarity_score", F.lit(0.9)).alias("p"), F.count("*").alias("n"))
+    want = {r.bucket_start: r for r in plain.collect()}
+    got = c.get(rare.rarity_by_bucket).where("bucket_minutes = 60").collect()
+    assert len(got) == len(want)
+    assert all((r.n_total, r.rarity_p90) == (want[r.bucket_start].n, want[r.bucket_start].p) and abs(r.rarity_mean - want[r.bucket_start].m) < 1e-12 for r in got)
