@@ -25,8 +25,8 @@ def name_windows(c: Catalog) -> DataFrame:
 
 
 def unique_ratio_windows(c: Catalog) -> DataFrame:
-    """Windows with enough rows; the flag marks the top hundredth of each bucket size, unflagged rows stay."""
-    df = c.get(name_windows).where(F.col("n_total") >= c.config.rare_min_total)
+    """Windows with enough rows; the flag marks the top hundredth of each bucket size, unflagged rows stay. Limits and rows read one written table."""
+    df = c.stored(name_windows).where(F.col("n_total") >= c.config.rare_min_total)
     limits = df.groupBy("bucket_minutes").agg(F.percentile("unique_ratio", F.lit(0.99)).alias("threshold_unique_ratio"))
     return df.join(limits, "bucket_minutes").withColumn("is_flagged_unique_ratio", F.col("unique_ratio") >= F.col("threshold_unique_ratio"))
 
@@ -74,7 +74,7 @@ def rarity_by_bucket(c: Catalog) -> DataFrame:
 
 
 def rarity_high_windows(c: Catalog) -> DataFrame:
-    df = c.get(rarity_by_bucket).where(F.col("n_total") >= c.config.rare_min_total)
+    df = c.stored(rarity_by_bucket).where(F.col("n_total") >= c.config.rare_min_total)
     limits = df.groupBy("bucket_minutes").agg(F.percentile("rarity_median", F.lit(0.99)).alias("threshold_rarity_median"))
     return df.join(limits, "bucket_minutes").where("rarity_median >= threshold_rarity_median")
 

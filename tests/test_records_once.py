@@ -73,3 +73,9 @@ def test_percentiles_of_counted_scores(spark):
     got = c.get(rare.rarity_by_bucket).where("bucket_minutes = 60").collect()
     assert len(got) == len(want)
     assert all((r.n_total, r.rarity_p90) == (want[r.bucket_start].n, want[r.bucket_start].p) and abs(r.rarity_mean - want[r.bucket_start].m) < 1e-12 for r in got)
+
+
+def test_limits_of_windows_do_not_count_the_records_again(spark):
+    c = catalog_of(spark, SF)
+    for build in (rare.unique_ratio_windows, rare.rarity_high_windows):
+        assert "p_partkey" not in plan_of(c.get(build)), build.__name__
